@@ -1,4 +1,4 @@
 """Named queries over the parquet tables, one per operator."""
 
-from docweave.catalog import corpus, sections  # noqa: F401
+from docweave.catalog import corpus, messages, sections, tables  # noqa: F401
 from docweave.catalog.registry import ORACLES, QUERIES  # noqa: F401

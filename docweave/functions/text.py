@@ -18,7 +18,7 @@ CP1252_BYTES = "".join(map(chr, [
 
 def nocase(pattern: str) -> str:
     """Case-insensitive with Unicode classes."""
-    return "(?iU)" + pattern
+    return "(?iUd)" + pattern
 
 
 def literal(text: str) -> str:
@@ -56,19 +56,20 @@ def let(value: Column, use) -> Column:
 
 def first_label(col: Column, rules: list[tuple[str, str]]) -> Column:
     """The label of the first rule whose pattern occurs."""
-    chosen = F.lit(None).cast("string")
-    for label, pattern in reversed(rules):
-        chosen = F.when(F.rlike(col, F.lit(nocase(pattern))), F.lit(label)).otherwise(chosen)
-    return chosen
+
+    def choose(text: Column) -> Column:
+        chosen = F.lit(None).cast("string")
+        for label, pattern in reversed(rules):
+            chosen = F.when(F.rlike(text, F.lit(nocase(pattern))), F.lit(label)).otherwise(chosen)
+        return chosen
+
+    return let(col, choose)
 
 
 def first_contained(col: Column, values: list[str]) -> Column:
     """The first value (list order) that occurs as a substring, ignoring case."""
-    lowered = F.lower(col)
-    chosen = F.lit(None).cast("string")
-    for value in reversed(values):
-        chosen = F.when(F.contains(lowered, F.lit(value.lower())), F.lit(value)).otherwise(chosen)
-    return chosen
+    listed = F.array(*[F.struct(F.lit(v).alias("name"), F.lit(v.lower()).alias("form")) for v in values])
+    return let(F.lower(col), lambda text: F.get(F.filter(listed, lambda v: F.contains(text, v["form"])), F.lit(0))["name"])
 
 
 # --- encoding repair ------------------------------------------------------------------------

@@ -46,7 +46,7 @@ def kind(dtype: str) -> str:
         return "bigint"
     if d in ("string", "varchar"):
         return "string"
-    return d
+    return "integer" if d == "int" else d
 
 
 def compare(spark, sf_dir: str, fn, sql: str, con) -> list[str]:
