@@ -69,8 +69,7 @@ def entities(t):
     f as (select {NORM.format('name')} as f from n), m as (select conv_id, turn, (conv_id + turn) % 12 as k,
        {OPENING} || '. ' || text || coalesce('. ' || name, '') as msg from conversations left join n on role = 'user' and item_id = conv_id % (select n from c)),
     h as (select conv_id, turn, k, {NORM.format('msg')} as h from m),
-    y as (select distinct conv_id, turn from h join f on length(f) >= 4 and contains(h, f)
-          where regexp_matches(h, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(f) || '($|[^\p{{L}}\p{{N}}_])')),
+    x as materialized (select conv_id, turn, h, f from h join f on length(f) >= 4 and contains(h, f)), y as (select distinct conv_id, turn from x where regexp_matches(h, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(f) || '($|[^\p{{L}}\p{{N}}_])')),
     z as (select h.conv_id, h.turn, k, y.turn is not null as named from h left join y using (conv_id, turn))
     select conv_id, turn, case when k = 0 then 'out_of_scope' when k in (1, 8) then 'eligibility_check' when k = 2 then 'document_upload' when k = 3 then 'comparison'
         when k = 10 and not named then 'unknown' else 'scheme_search' end as intent,
@@ -207,7 +206,8 @@ def turn_routes(t):
 # --- names in texts -------------------------------------------------------------------------
 MENTIONS = rf"""n as (select item_id as name_id, {NORM.format(FIRST_SENTENCE)} as f from benchmark),
     h as (select doc_id as text_id, {NORM.format('text')} as h from documents),
-    m as (select text_id, name_id, f from h join n on length(f) >= 4 and contains(h, f) and regexp_matches(h, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(f) || '($|[^\p{{L}}\p{{N}}_])')),
+    x as materialized (select text_id, name_id, f, h from h join n on length(f) >= 4 and contains(h, f)),
+    m as (select text_id, name_id, f from x where regexp_matches(h, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(f) || '($|[^\p{{L}}\p{{N}}_])')),
     k as (select * from m a where not exists (select 1 from m b where b.text_id = a.text_id and b.name_id <> a.name_id and contains(b.f, a.f) and (length(b.f) > length(a.f) or b.name_id < a.name_id))),
     r as (select text_id, row_number() over (partition by text_id order by length(f) desc, name_id) - 1 as place, name_id, f from k qualify place < 3)"""
 

@@ -188,7 +188,8 @@ SEARCH_PATTERNS = [
     r"\bschemes? for (?:farmers?|women|students?)\b", r"\bwhat are the schemes?\b",
     r"\btell me (?:the |about )?schemes?\b", r"\bavailable schemes?\b",
     r"\b(?:yojana|yojna)\b",
-    r"(?=.*\b(?:yojana|yojna|scheme|labh|subsidy|pension|sahayata|scholarship|bima|anudan|chhatravritti)\b)"
+    # anchored at line starts: the same lines match, without a scan from every character
+    r"(?m:^)(?=.*\b(?:yojana|yojna|scheme|labh|subsidy|pension|sahayata|scholarship|bima|anudan|chhatravritti)\b)"
     r".*\b(?:ke\s+baa?re\s+mein|bataiye|batao|kya\s+hai)\b",
 ]
 NATIVE_ELIGIBILITY_PATTERNS = [r"पात्र(?!ता)", r"योग्य", r"आवेदन कर सकता", r"मैं पात्र", r"தகுதியானவர்"]

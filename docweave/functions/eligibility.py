@@ -147,15 +147,14 @@ def compile_conditions(texts: Column, states: list[str] | None = None) -> Column
     def one(text: Column) -> Column:
         met, out = tx.shorten(F.concat(F.lit("Meets condition: "), text)), tx.shorten(F.concat(F.lit("Excluded: "), text))
 
-        def finish(open_text: Column) -> Column:
-            display = display_form(open_text)
+        def finish(open_text: Column, display: Column) -> Column:
             return F.struct(
                 text.alias("text"), read_rule(text, states).alias("rule"),
                 F.when(~tx.is_junk(met), met).alias("met"), F.when(~tx.is_junk(out), out).alias("excluded"),
-                F.when(~tx.is_junk(tx.shorten(text)), tx.shorten(text)).alias("failed"), open_text.alias("open"), display.alias("display"),
+                let(tx.shorten(text), lambda t: F.when(~tx.is_junk(t), t)).alias("failed"), open_text.alias("open"), display.alias("display"),
                 F.array_compact(F.array(*[F.when(_found(display, mentions[f]), F.lit(f)) for f in fixed.SLOTS])).alias("mentions"))
 
-        return let(shown(text), finish)
+        return let(shown(text), lambda open_text: let(display_form(open_text), lambda display: finish(open_text, display)))
 
     return F.transform(texts, one)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave import fixed
 from docweave.functions import rules, text as tx
-from docweave.operators.ordering import TARGET_ROWS, as_number, ordered_scan
+from docweave.operators.ordering import TARGET_ROWS, as_number, ordered_scan, spread_join
 
 
 def session_numbers(turns: DataFrame, keys: list[str], order: list[str], gap_seconds: int = fixed.SESSION_GAP_SECONDS,
@@ -42,3 +42,44 @@ def turn_route(message: Column, remembered: Column, pending_slot: Column) -> Col
         .when(pending_slot, F.lit("slot_reply"))
         .when(rules.is_followup(message, remembered, F.lit(False)), F.lit("followup"))
         .otherwise(F.lit("classify")))
+
+
+def slot_outcomes(replies: DataFrame) -> DataFrame:
+    """Batch form of the slot dialogue: two aggregates and a lookup join, no per-session fold."""
+    keys = ["session_id", "slot"]
+    said = ~F.col("is_skip")
+    read = said & F.col("value").isNotNull()
+    first = replies.groupBy(*keys).agg(
+        F.min(F.when(read, F.struct("turn", "value"))).alias("_first"), F.bool_or("is_skip").alias("_skip"), F.count(F.lit(1)).alias("_n"))
+    open_rows = spread_join(replies, first, keys, "turn", "_n").filter(
+        said & F.col("value").isNull() & (F.col("_first").isNull() | (F.col("turn") < F.col("_first.turn"))))
+    failed = open_rows.groupBy(*keys).agg(F.least(F.count(F.lit(1)), F.lit(fixed.MAX_SLOT_FAILURES)).alias("failures"))
+    joined = first.join(failed, keys, "left").withColumn("failures", F.coalesce("failures", F.lit(0)).cast("long"))
+    return joined.select(*keys, F.col("_first.value").alias("value"), "failures",
+                         (F.col("_skip") | (F.col("failures") >= fixed.MAX_SLOT_FAILURES)).alias("skipped"))
+
+
+def answer_starts(asked: DataFrame, keys: list[str], at: str, ttl: int = fixed.CACHE_TTL_SECONDS, folder: str | None = None) -> DataFrame:
+    """The questions that had to be answered: later equal ones within the TTL reuse the stored answer.
+
+    A hit does not renew an entry, so starts of one key are at least a TTL apart: a period of TTL length
+    holds at most one, and only the start of the period before can still be valid. Periods are taken in
+    turn; each is one partial aggregate per key over that period's rows, so every row is read once and
+    no key is gathered. The starts of a period are written to the shared folder before the next one.
+    """
+    from docweave.streaming.files import work_folder
+
+    spark, step = asked.sparkSession, ttl * 1_000_000
+    folder = folder or work_folder(spark, "answers")
+    cut = asked.select(*keys, F.unix_micros(at).alias("_t")).withColumn("period", F.floor(F.col("_t") / step))
+    cut.write.partitionBy("period").parquet(f"{folder}/asked")
+    rows = spark.read.parquet(f"{folder}/asked")
+    periods = sorted(r[0] for r in rows.select("period").distinct().collect())   # one value per TTL of history
+    schema = cut.select(*keys, F.col("_t").alias("start")).schema
+    for before, period in zip([None, *periods], periods):
+        found = rows.filter(F.col("period") == period)
+        if before == period - 1:
+            last = spark.read.schema(schema).parquet(f"{folder}/starts/period={before}").withColumnRenamed("start", "_s")
+            found = found.join(last, keys, "left").filter(F.col("_s").isNull() | (F.col("_t") >= F.col("_s") + step))
+        found.groupBy(*keys).agg(F.min("_t").alias("start")).write.mode("overwrite").parquet(f"{folder}/starts/period={period}")
+    return spark.read.schema(schema).parquet(f"{folder}/starts").select(*keys, "start")
