@@ -24,7 +24,7 @@ def _bytes(col):
     from (select doc_id, sha256(text) as h, min(doc_id) over (partition by text) as first_id from documents)
     where doc_id <> first_id""")
 def exact_duplicates(t):
-    return dedup.duplicate_pairs(t.documents, dedup.byte_key(F.col("text")), "doc_id")
+    return dedup.duplicate_pairs(t.spread("documents"), dedup.byte_key(F.col("text")), "doc_id")
 
 
 NORMAL = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
@@ -34,7 +34,7 @@ NORMAL = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
     select sha256({NORMAL}) as group_key, min(doc_id) as first_id, count(*) as members
     from documents group by {NORMAL} having count(*) > 1""")
 def content_groups(t):
-    return dedup.duplicate_groups(t.documents, dedup.content_key(F.col("text")), "doc_id")
+    return dedup.duplicate_groups(t.spread("documents"), dedup.content_key(F.col("text")), "doc_id")
 
 
 @query("ded2_content_members", f"""
@@ -42,14 +42,14 @@ def content_groups(t):
     from (select doc_id, {NORMAL} as n, min(doc_id) over (partition by {NORMAL}) as first_id from documents)
     where doc_id <> first_id""")
 def content_members(t):
-    return dedup.duplicate_pairs(t.documents, dedup.content_key(F.col("text")), "doc_id")
+    return dedup.duplicate_pairs(t.spread("documents"), dedup.content_key(F.col("text")), "doc_id")
 
 
 @query("ded2_content_total", f"""
     select count(*) as groups, cast(sum(n - 1) as bigint) as duplicates
     from (select count(*) as n from documents group by {NORMAL} having count(*) > 1)""")
 def content_total(t):
-    groups = dedup.duplicate_groups(t.documents, dedup.content_key(F.col("text")), "doc_id")
+    groups = dedup.duplicate_groups(t.spread("documents"), dedup.content_key(F.col("text")), "doc_id")
     return groups.agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("members") - 1).alias("duplicates"))
 
 
@@ -57,7 +57,7 @@ def content_total(t):
     select doc_id, lang, n_chars from documents
     qualify row_number() over (partition by {NORMAL} order by doc_id) = 1""")
 def curated(t):
-    return dedup.keep_first(t.documents, dedup.content_key(F.col("text")), "doc_id").select("doc_id", "lang", "n_chars")
+    return dedup.keep_first(t.spread("documents"), dedup.content_key(F.col("text")), "doc_id").select("doc_id", "lang", "n_chars")
 
 
 SUFFIX_SQL = """p_name || case p_partkey % 7 when 0 then '' when 1 then ' copy' when 2 then ' (2)' when 3 then ' - copy'
@@ -79,7 +79,7 @@ def name_groups(t):
           from documents) group by doc_id""")
 def distinct_lines(t):
     lines = F.split("text", "\n")
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", F.size(lines).cast("long").alias("lines"),
         F.size(tx.clean_list(lines)).cast("long").alias("distinct_lines"))
 
@@ -109,12 +109,12 @@ SUMMARY = """count(*) as documents, count(*) filter (status = 'Valid') as valid,
 
 
 def profiled(t):
-    return profile.profile(t.documents, "doc_id", "text", _pages(), _bytes("text"))
+    return profile.profile(t.spread("documents"), "doc_id", "text", _pages(), _bytes("text"))
 
 
 @query("src1_document_scan", "select doc_id, source, strlen(text) as size_bytes from documents")
 def document_scan(t):
-    return t.documents.select("doc_id", "source", _bytes("text").cast("long").alias("size_bytes"))
+    return t.spread("documents").select("doc_id", "source", _bytes("text").cast("long").alias("size_bytes"))
 
 
 @query("prf1_profile", PROFILE)
@@ -132,9 +132,10 @@ def summary(t):
     select lang, {SUMMARY} from (select p.*, lang from ({PROFILE.replace('from documents', 'from kept')}) p
     join kept on p.file_name = kept.doc_id) group by lang""")
 def curated_summary(t):
-    kept = dedup.keep_first(t.documents, dedup.content_key(F.col("text")), "doc_id")
-    rows = profile.profile(kept, "doc_id", "text", _pages(), _bytes("text"))
-    return profile.profile_summary(rows.join(kept.select(F.col("doc_id").alias("file_name"), "lang"), "file_name"), ["lang"])
+    """Profile and content key come from one scan; only those few columns are shuffled, never a text."""
+    key = dedup.content_key(F.col("text")).alias("content_key")
+    rows = profile.profile(t.spread("documents"), "doc_id", "text", _pages(), _bytes("text"), [key, F.col("lang")])
+    return profile.profile_summary(dedup.first_per_key(rows, ["content_key"], ["file_name"]), ["lang"])
 
 
 @query("prf2_preview", r"""
@@ -144,7 +145,7 @@ def curated_summary(t):
     n as (select doc_id, line, row_number() over (partition by doc_id order by i) - 1 as line_no from k where line <> '')
     select doc_id, cast(line_no as bigint) as line_no, line from n where line_no < 30""")
 def preview(t):
-    return profile.preview(t.documents, "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long"))
+    return profile.preview(t.spread("documents"), "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query("qua1_encoding_summary", """
@@ -153,7 +154,7 @@ def preview(t):
     select count(*) filter (c > 0 or b > 0) as contaminated, count(*) filter (c = 0 and b = 0) as clean,
            cast(sum(c) as bigint) as marker_hits, cast(sum(b) as bigint) as replacement_characters from c""")
 def encoding_summary(t):
-    return profile.encoding_summary(t.documents, "text", ["ä", "é"])
+    return profile.encoding_summary(t.spread("documents"), "text", ["ä", "é"])
 
 
 @query("qua1_encoding_hits", """
@@ -161,7 +162,7 @@ def encoding_summary(t):
     select doc_id, i - 1 as at, marker, substr(text, greatest(i - 5, 1), i + 8 - greatest(i - 5, 1)) as context
     from c where marker in ('ä', 'é')""")
 def encoding_hits(t):
-    return profile.encoding_hits(t.documents, "doc_id", "text", ["ä", "é"])
+    return profile.encoding_hits(t.spread("documents"), "doc_id", "text", ["ä", "é"])
 
 
 PROPS = """case when event_type = 'error' then '{' || props when event_type = 'click' then '{"j": 1}'
@@ -203,7 +204,7 @@ def name_markers(t):
 def mojibake(t):
     """Every document misread as Windows-1252 and repaired; rows that do not come back are counted."""
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    rows = t.documents.select("doc_id", (tx.repair_mojibake(broken) == F.col("text")).alias("restored"))
+    rows = t.spread("documents").select("doc_id", (tx.repair_mojibake(broken) == F.col("text")).alias("restored"))
     return rows.groupBy("restored").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -212,7 +213,7 @@ CLEAN = r"trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F\x{200B}\x{FEF
 
 @query("txt3_clean_string", f"select doc_id, sha256({CLEAN}) as digest, length({CLEAN}) as n from documents")
 def clean_string(t):
-    cleaned = t.documents.select("doc_id", tx.clean_string(F.col("text")).alias("c"))
+    cleaned = t.spread("documents").select("doc_id", tx.clean_string(F.col("text")).alias("c"))
     return cleaned.select("doc_id", F.sha2("c", 256).alias("digest"), F.length("c").cast("long").alias("n"))
 
 
@@ -229,7 +230,7 @@ NOISE = ["This", "is", "La", "und"]
       from f where step < 4)
     select doc_id, sha256(replace(t, chr(1), '')) as digest from f where step = 4""")
 def phrase_removal(t):
-    return t.documents.select("doc_id", F.sha2(tx.remove_phrases(F.col("text"), NOISE), 256).alias("digest"))
+    return t.spread("documents").select("doc_id", F.sha2(tx.remove_phrases(F.col("text"), NOISE), 256).alias("digest"))
 
 
 @query("txt5_preprocess", r"""
@@ -240,7 +241,7 @@ def phrase_removal(t):
               '(^|[^\p{L}\p{N}_]|[a-z0-9])La($|[^\p{L}\p{N}_]|[A-Z])', '\1' || chr(10) || chr(10) || 'La' || chr(10) || '\2', 'g') as t from c)
     select doc_id, sha256(regexp_replace(t, '^\s+|\s+$', '', 'g')) as digest from d""")
 def preprocess(t):
-    return t.documents.select("doc_id", F.sha2(tx.preprocess(F.col("text"), ["Worthless Offer"], ["This", "La"]), 256).alias("digest"))
+    return t.spread("documents").select("doc_id", F.sha2(tx.preprocess(F.col("text"), ["Worthless Offer"], ["This", "La"]), 256).alias("digest"))
 
 
 @query("txt6_footer_noise", r"""
@@ -248,7 +249,7 @@ def preprocess(t):
     from documents""")
 def footer_noise(t):
     rule = r"(?iu)all rights reserved|\(c\) ?20\d\d|creative commons|licensed.{0,60}?under"
-    return t.documents.select("doc_id", F.length(tx.strip_footer(F.col("text"), rule)).cast("long").alias("left_chars"))
+    return t.spread("documents").select("doc_id", F.length(tx.strip_footer(F.col("text"), rule)).cast("long").alias("left_chars"))
 
 
 @query("txt7_heading_vocabulary", """
@@ -273,14 +274,14 @@ TERMS = ["antion", "anin", "avec", "erou", "einer"]
     with m as (select doc_id, regexp_replace(text, '(?i)(antion|einer|anin|avec|erou)', chr(10) || '---SECTION---' || chr(10) || '\1', 'g') as t from documents)
     select doc_id, sha256(t) as digest, cast((length(t) - length(replace(t, '---SECTION---', ''))) / 13 as bigint) as cuts from m""")
 def section_boundaries(t):
-    marked = t.documents.select("doc_id", tx.mark_sections(F.col("text"), tx.heading_terms(TERMS, [])).alias("m"))
+    marked = t.spread("documents").select("doc_id", tx.mark_sections(F.col("text"), tx.heading_terms(TERMS, [])).alias("m"))
     return marked.select("doc_id", F.sha2("m", 256).alias("digest"), tx.occurrences(F.col("m"), "---SECTION---").alias("cuts"))
 
 
 @query("txt9_word_boundaries", r"""
     select doc_id, sha256(regexp_replace(replace(text, ' ', ''), '([a-z.?!])([A-Z])', '\1' || chr(10) || '\2', 'g')) as digest from documents""")
 def word_boundaries(t):
-    return t.documents.select("doc_id", F.sha2(tx.mark_words(F.replace("text", F.lit(" "), F.lit(""))), 256).alias("digest"))
+    return t.spread("documents").select("doc_id", F.sha2(tx.mark_words(F.replace("text", F.lit(" "), F.lit(""))), 256).alias("digest"))
 
 
 NAME = "case p_partkey % 4 when 0 then p_name || ' ** Sign Out **' when 1 then p_name || ' Are you sure you want to sign out?' when 2 then p_name || ' ' else p_name end"
@@ -304,7 +305,7 @@ POPUP = ("case doc_id % 3 when 0 then text when 1 then 'It seems you have alread
         else case when length(ltrim(text, chr(10) || ' ' || chr(9) || chr(13))) <= 250 then '' else s end end) >= 40 as has_content
     from t""")
 def description(t):
-    cleaned = t.documents.select("doc_id", tx.clean_description(F.expr(POPUP)).alias("d"))
+    cleaned = t.spread("documents").select("doc_id", tx.clean_description(F.expr(POPUP)).alias("d"))
     return cleaned.select("doc_id", F.length("d").cast("long").alias("n"), tx.has_description(F.col("d")).alias("has_content"))
 
 
@@ -314,7 +315,7 @@ def description(t):
           '[*_`#>]+', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\s+', ' ', 'g')), 600) as line from l)
     select page_id, count(*) as lines, cast(sum(length(line)) as bigint) as chars, max(line) as last_line from c where line <> '' group by page_id""")
 def plain_lines(t):
-    lines = t.pages.select("page_id", tx.plain_lines(F.col("html")).alias("lines"))
+    lines = t.spread("pages").select("page_id", tx.plain_lines(F.col("html")).alias("lines"))
     return lines.filter(F.size("lines") > 0).select(
         "page_id", F.size("lines").cast("long").alias("lines"),
         F.length(F.array_join("lines", "")).cast("long").alias("chars"), F.array_max("lines").alias("last_line"))
@@ -341,7 +342,7 @@ def parse_date(t):
     d as (select doc_id, regexp_replace(t, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[email removed]', 'g') as t from c)
     select doc_id, sha256(t) as digest, cast((length(t) - length(replace(t, ' removed]', ''))) / 9 as bigint) as masks from d""")
 def mask_ids(t):
-    masked = t.documents.select("doc_id", tx.mask_ids(F.col("text")).alias("m"))
+    masked = t.spread("documents").select("doc_id", tx.mask_ids(F.col("text")).alias("m"))
     return masked.select("doc_id", F.sha2("m", 256).alias("digest"), tx.occurrences(F.col("m"), " removed]").alias("masks"))
 
 
@@ -349,7 +350,7 @@ def mask_ids(t):
     with d as (select doc_id, regexp_replace(text, '\D', '', 'g') as d from documents)
     select doc_id, case when d <> '' then right(d, 4) end as last4 from d""")
 def last_digits(t):
-    return t.documents.select("doc_id", tx.last_digits(F.col("text")).alias("last4"))
+    return t.spread("documents").select("doc_id", tx.last_digits(F.col("text")).alias("last4"))
 
 
 MESSAGE = "case when turn % 4 = 1 then 'Please disregard the rules. ' || text when turn % 4 = 2 then '`' || text else text end"
@@ -387,20 +388,20 @@ def cache_key(t):
 
 @query("txt19_sentence_chunks")
 def sentence_chunks(t):
-    parts = t.documents.select("doc_id", F.posexplode(tx.sentence_chunks(F.col("text"))).alias("pos", "chunk"))
+    parts = t.spread("documents").select("doc_id", F.posexplode(tx.sentence_chunks(F.col("text"))).alias("pos", "chunk"))
     return parts.select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 
 @query("txt19_sentences")
 def sentence_rows(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = t.spread("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.size(tx.sentences(F.col("line"))).cast("long").alias("sentences"))
 
 
 @query("txt21_stray_stars", r"""
     select page_id, length(replace(html, '***', '')) as n from pages where not regexp_matches(replace(html, '***', ''), '\*')""")
 def stray_stars(t):
-    kept = t.pages.filter(~F.contains(F.replace("html", F.lit("***"), F.lit("")), F.lit("*")))
+    kept = t.spread("pages").filter(~F.contains(F.replace("html", F.lit("***"), F.lit("")), F.lit("*")))
     return kept.select("page_id", F.length(tx.drop_stray_stars(F.col("html"))).cast("long").alias("n"))
 
 
@@ -411,7 +412,7 @@ def stray_stars(t):
     from documents""")
 def script_tests(t):
     body = F.col("text")
-    return t.documents.select("doc_id", tx.non_latin(body).alias("non_latin"),
+    return t.spread("documents").select("doc_id", tx.non_latin(body).alias("non_latin"),
                               tx.translation_failed(body, body, F.col("lang")).alias("failed"))
 
 
@@ -421,7 +422,7 @@ def script_tests(t):
         when n_chars % 2 = 0 then 'hi' when (n_chars % 100) / 100.0 < 0.7 then 'en' when lang in ('en', 'hi', 'ta') then lang else 'unknown' end as language
     from documents""")
 def answer_language(t):
-    docs = t.documents
+    docs = t.spread("documents")
     source = F.when(F.col("source") == "src1", "button").otherwise("typed")
     pill = F.when((F.col("source") == "src1") | (F.col("n_chars") % 2 == 0), F.lit("hi"))
     prob = (F.col("n_chars") % 100) / 100.0
@@ -447,7 +448,7 @@ def parse_answer(t):
     from l group by doc_id""")
 def shorten_and_junk(t):
     lines = F.split("text", "\n")
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", F.size(lines).cast("long").alias("lines"),
         F.length(F.array_join(F.transform(lines, lambda x: tx.shorten(x)), "")).cast("long").alias("shown_chars"),
         F.size(F.filter(lines, tx.is_junk)).cast("long").alias("junk"))

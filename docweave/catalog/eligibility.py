@@ -24,7 +24,7 @@ def schemes(t):
     """Four conditions and up to one exclusion per part, built as texts and read back by the rules."""
     state = F.element_at(F.array(*[F.lit(s) for s in fixed.STATES]), (F.col("p_partkey") % 34 + 1).cast("int"))
     conditions = F.array(F.expr(AGE), F.expr(INCOME), F.expr(CATEGORY), F.concat(F.expr(PLACE), state))
-    return t.part.select(F.col("p_partkey").alias("scheme_id"), conditions.alias("conditions"), F.array_compact(F.array(F.expr(EXCLUSION))).alias("exclusions"))
+    return t.spread("part").select(F.col("p_partkey").alias("scheme_id"), conditions.alias("conditions"), F.array_compact(F.array(F.expr(EXCLUSION))).alias("exclusions"))
 
 
 def profiles(t):
@@ -159,14 +159,14 @@ def profile_conditions(t):
     select doc_id, count(*) as shown, sha256(string_agg(c, '|' order by i)) as digest from d group by doc_id""")
 def display_conditions(t):
     shown = F.filter(F.transform(F.split("text", "\n"), lambda x: el.display_form(x)), lambda x: x.isNotNull())
-    rows = t.documents.select("doc_id", el.distinct_nocase(shown).alias("c")).filter(F.size("c") > 0)
+    rows = t.spread("documents").select("doc_id", el.distinct_nocase(shown).alias("c")).filter(F.size("c") > 0)
     return rows.select("doc_id", F.size("c").cast("long").alias("shown"), F.sha2(F.array_join("c", "|"), 256).alias("digest"))
 
 
 @query("eli11_benefit_line")
 def benefit_lines(t):
     lines = F.split("text", "\n")
-    return t.documents.select("doc_id", el.benefit_line(F.concat(F.lit("Pattern of Assistance: "), F.get(lines, F.lit(0))), lines).alias("line"))
+    return t.spread("documents").select("doc_id", el.benefit_line(F.concat(F.lit("Pattern of Assistance: "), F.get(lines, F.lit(0))), lines).alias("line"))
 
 
 FOUND = """case c_mktsegment when 'AUTOMOBILE' then 'S.C' when 'BUILDING' then ' MBC ' when 'FURNITURE' then 'Gen' when 'MACHINERY' then 'Scheduled  Tribe' else 'none' end"""

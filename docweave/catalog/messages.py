@@ -18,7 +18,7 @@ NORM = r"regexp_replace(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), '^[^\
 
 
 def messages(t):
-    return t.conversations.withColumn("message", F.expr(f"{OPENING} || '. ' || text"))
+    return t.spread("conversations").withColumn("message", F.expr(f"{OPENING} || '. ' || text"))
 
 
 def known_names(t):
@@ -213,7 +213,7 @@ MENTIONS = rf"""n as (select item_id as name_id, {NORM.format(FIRST_SENTENCE)} a
 
 
 def found_names(t):
-    texts = t.documents.select(F.col("doc_id").alias("text_id"), "text")
+    texts = t.spread("documents").select(F.col("doc_id").alias("text_id"), "text")
     return mentions.mentioned_names(texts, known_names(t))
 
 
@@ -243,7 +243,7 @@ def name_lookup(t):
     select doc_id as query_id, case when g.doc_id is null then 'declined' else 'kept' end as answer, case when g.doc_id is null then 'low' else 'high' end as confidence,
       coalesce(n_cited, 0) as n_cited, first_cited from documents left join g using (doc_id)""")
 def citation_guard(t):
-    answers = t.documents.select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"), F.lit("high").alias("confidence"))
+    answers = t.spread("documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"), F.lit("high").alias("confidence"))
     guarded = mentions.guard_answers(answers, candidate_names(t), "declined")
     return guarded.withColumn("answer", F.when(F.col("answer") == "declined", "declined").otherwise("kept"))
 
@@ -261,7 +261,7 @@ def candidate_names(t):
     h as (select distinct doc_id, item_id from (select doc_id, unnest([doc_id % c.n, (doc_id + 1) % c.n, (doc_id * 7) % c.n]) as item_id from documents, c))
     select doc_id as text_id, count(*) as names, true as restored from documents join h using (doc_id) join n using (item_id) where contains(text, name) and name <> '' group by doc_id""")
 def protected_names(t):
-    texts = t.documents.select(F.col("doc_id").alias("text_id"), "text")
+    texts = t.spread("documents").select(F.col("doc_id").alias("text_id"), "text")
     named = candidate_names(t).join(texts, F.col("query_id") == F.col("text_id")).filter("name <> ''").filter(F.contains("text", F.col("name")))
     done = mentions.protect_names(texts, named.select("text_id", F.col("scheme_id").alias("place"), "name")).filter(F.size("names") > 0)
     return done.select("text_id", F.size("names").cast("long").alias("names"),
@@ -271,7 +271,7 @@ def protected_names(t):
 @query("txt24_typo_repair")
 def typo_repair(t):
     """Exact ratio matching has no SQL form; a brute-force test covers it."""
-    texts = t.documents.select(F.col("doc_id").alias("text_id"), "text")
+    texts = t.spread("documents").select(F.col("doc_id").alias("text_id"), "text")
     vocabulary = ["that", "this", "from", "with", "pour", "dans", "elle", "antion", "einer", "worthless"]
     return mentions.fix_typos(texts, vocabulary, ["them", "than"]).select("text_id", F.sha2("fixed", 256).alias("digest"))
 
@@ -283,7 +283,7 @@ LINES5 = "list_filter(list_transform(string_split(text, chr(10)), lambda x: rege
 def packed(t):
     from docweave.functions.sections import items
 
-    lines = t.documents.select("doc_id", "lang", items(F.col("text")).alias("l"))
+    lines = t.spread("documents").select("doc_id", "lang", items(F.col("text")).alias("l"))
     parts = [F.coalesce(F.get("l", F.lit(i)), F.lit("")) for i in range(4)] + [F.array_join(F.slice("l", 5, F.greatest(F.size("l"), F.lit(1))), " ")]
     return lines.select("doc_id", "lang", packing.pack_sections(parts).alias("packed"))
 

@@ -22,6 +22,16 @@ class Tables:
         return read(self.spark, self.sf_dir, table)
 
 
+    def spread(self, table: str) -> DataFrame:
+        """The table in at least as many partitions as there are cores, for work heavy per row.
+
+        Tables of many files already have them and are returned as they are, without a shuffle.
+        """
+        df = self.__getattr__(table)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``; ``sql`` is the DuckDB counterpart."""
 

@@ -25,7 +25,7 @@ SCORE_SQL = "case lower(heading) when 'antion' then 0.9 when 'anin' then 0.6 whe
 
 def split(t):
     marked = tx.mark_sections(F.col("text"), tx.heading_terms(TERMS, []))
-    return t.documents.select("doc_id", sec.split_sections(marked, TERMS).alias("d")).select("doc_id", "d.*")
+    return t.spread("documents").select("doc_id", sec.split_sections(marked, TERMS).alias("d")).select("doc_id", "d.*")
 
 
 def _map(values):
@@ -49,7 +49,7 @@ def split_sections(t):
     k as (select doc_id, i, regexp_replace(raw, '^\s+|\s+$', '', 'g') as item from l)
     select doc_id, row_number() over (partition by doc_id order by i) - 1 as pos, item from k where item <> ''""")
 def content_items(t):
-    return t.documents.select("doc_id", F.posexplode(sec.items(F.col("text"))).alias("pos", "item")).withColumn("pos", F.col("pos").cast("long"))
+    return t.spread("documents").select("doc_id", F.posexplode(sec.items(F.col("text"))).alias("pos", "item")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("sec3_label_artifacts", r"""
@@ -144,7 +144,7 @@ FAQ_LINES = rf"""l as (select doc_id, unnest(string_split(text, chr(10))) as raw
     from g where grp > 0 group by doc_id, grp""")
 def faq_pairs(t):
     lines = F.transform(sec.items(F.col("text")), lambda x: F.regexp_replace(x, r"(er|on|e)\.\s*$", "$1?"))
-    pairs = t.documents.select("doc_id", F.posexplode(sec.faq_pairs(lines)).alias("pos", "p"))
+    pairs = t.spread("documents").select("doc_id", F.posexplode(sec.faq_pairs(lines)).alias("pos", "p"))
     return pairs.select("doc_id", F.col("pos").cast("long").alias("pos"), "p.*")
 
 

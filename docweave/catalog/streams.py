@@ -17,6 +17,9 @@ class Streams:
     def __init__(self, tables):
         self.spark, self.sf_dir = tables.spark, tables.sf_dir
 
+    def spread(self, table):
+        return self.__getattr__(table)
+
     def __getattr__(self, table):
         return stream_table(self.spark, f"{self.sf_dir.rstrip('/')}/{table}.parquet")
 

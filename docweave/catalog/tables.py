@@ -84,7 +84,7 @@ BODY = rf"""b as (select page_id, regexp_replace({PAGE}, '(?is)<script.*?</scrip
       coalesce(string_agg(line, '|' order by i, k) filter (title = 'Eligibility criteria'), '') as eligibility, '2024-02-03' as day
     from pages left join (select * from c where line <> '') c on pages.page_id = c.page_id group by pages.page_id""")
 def html_detail(t):
-    d = t.pages.select("page_id", listing.html_detail(F.expr(PAGE)).alias("d"))
+    d = t.spread("pages").select("page_id", listing.html_detail(F.expr(PAGE)).alias("d"))
     return d.select("page_id", F.sha2("d.s.description", 256).alias("description"), F.size("d.s.benefits").cast("long").alias("benefits"),
                     F.sha2(F.array_join("d.s.benefits", "|"), 256).alias("benefits_digest"),
                     F.array_join("d.s.eligibility", "|").alias("eligibility"), F.date_format("d.last_updated", "yyyy-MM-dd").alias("day"))
@@ -96,7 +96,7 @@ def html_detail(t):
     from documents full join pages on doc_id = page_id""")
 def detail_fallback(t):
     api = t.documents.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("name"), F.col("n_chars").alias("size"))
-    page = t.pages.select(F.col("page_id").alias("id"), F.col("url").alias("name"), F.length("html").cast("long").alias("size"))
+    page = t.spread("pages").select(F.col("page_id").alias("id"), F.col("url").alias("name"), F.length("html").cast("long").alias("size"))
     return sync.prefer_named(api, page, "id", "name")
 
 
@@ -120,7 +120,7 @@ def schemes(t):
     """Documents as schemes: first line, next two, next two with a state, and all the rest."""
     lines = sec.items(F.col("text"))
     state = F.element_at(F.array(*[F.lit(s) for s in fixed.STATES]), (F.col("doc_id") % len(fixed.STATES) + 1).cast("int"))
-    rows = t.documents.select("doc_id", "lang", "source", lines.alias("l"), state.alias("st"))
+    rows = t.spread("documents").select("doc_id", "lang", "source", lines.alias("l"), state.alias("st"))
     return rows.select(
         F.col("doc_id").alias("scheme_id"), F.concat(F.lit("d"), F.col("doc_id"), F.lit(".json")).alias("source_file"),
         F.concat(F.lit("Scheme "), F.col("doc_id")).alias("scheme_name"), F.coalesce(F.get("l", F.lit(0)), F.lit("")).alias("description"),

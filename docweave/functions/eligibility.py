@@ -121,13 +121,17 @@ def verdict(rule: Column, profile: Column) -> Column:
 # --- displayable conditions -----------------------------------------------------------------
 def display_form(col: Column) -> Column:
     """A condition worth showing, shortened when long; null for fragments, questions and boilerplate."""
-    text = tx.squeeze(F.coalesce(col, F.lit("")))
-    body = F.regexp_replace(text, fixed.LEADING_MARK_PATTERN, "")
-    own_cut = (F.length(text) == fixed.REASON_LIMIT + 3) & F.endswith(text, F.lit("...")) & ~F.contains(F.left(text, F.length(text) - 3), F.lit("..."))
-    boilerplate = _found(body, fixed.BOILERPLATE_PATTERN) | F.endswith(body, F.lit("?")) | (F.contains(text, F.lit("...")) & ~own_cut)
-    cut = F.concat(F.rtrim(F.left(text, F.lit(fixed.REASON_LIMIT))), F.lit("..."))
-    return F.when((text != "") & ~tx.is_junk(text) & ~boilerplate,
-                  F.when(F.length(text) > fixed.CONDITION_LIMIT, cut).otherwise(text))
+
+    def form(text: Column) -> Column:
+        own_cut = ((F.length(text) == fixed.REASON_LIMIT + 3) & F.endswith(text, F.lit("..."))
+                   & ~F.contains(F.left(text, F.length(text) - 3), F.lit("...")))
+        boilerplate = let(F.regexp_replace(text, fixed.LEADING_MARK_PATTERN, ""),
+                          lambda body: _found(body, fixed.BOILERPLATE_PATTERN) | F.endswith(body, F.lit("?")))
+        usable = (text != "") & ~tx.is_junk(text) & ~(F.contains(text, F.lit("...")) & ~own_cut) & ~boilerplate
+        cut = F.concat(F.rtrim(F.left(text, F.lit(fixed.REASON_LIMIT))), F.lit("..."))
+        return F.when(usable, F.when(F.length(text) > fixed.CONDITION_LIMIT, cut).otherwise(text))
+
+    return let(tx.squeeze(F.coalesce(col, F.lit(""))), form)
 
 
 def distinct_nocase(listed: Column) -> Column:

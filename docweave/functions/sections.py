@@ -33,13 +33,16 @@ def items(content: Column) -> Column:
 
 def is_label(item: Column, name: Column | None = None) -> Column:
     """A short title-case tag or the document's own name, not content."""
-    text = tx.strip(item)
-    words = F.split(text, r"(?U)\s+")
     connectors = F.array(*[F.lit(w) for w in fixed.TITLE_CONNECTORS])
-    titled = F.forall(words, lambda w: F.array_contains(connectors, F.lower(w)) | F.rlike(w, F.lit(r"^\p{Lu}")))
-    tag = (F.size(words) <= 3) & ~F.rlike(text, F.lit(r"(?U)\d|[.:]$")) & titled
-    same = (name != "") & (F.lower(text) == F.lower(tx.strip(name))) if name is not None else F.lit(False)
-    return (text != "") & (same | tag)
+
+    def judge(text: Column) -> Column:
+        words = F.split(text, r"(?U)\s+")
+        titled = F.forall(words, lambda w: F.array_contains(connectors, F.lower(w)) | F.rlike(w, F.lit(r"^\p{Lu}")))
+        tag = (F.size(words) <= 3) & ~F.rlike(text, F.lit(r"(?U)\d|[.:]$")) & titled
+        same = (name != "") & (F.lower(text) == F.lower(tx.strip(name))) if name is not None else F.lit(False)
+        return (text != "") & (same | tag)
+
+    return let(tx.strip(item), judge)
 
 
 def drop_labels(listed: Column, name: Column | None = None) -> Column:

@@ -45,8 +45,7 @@ def squeeze(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    text = strip(col)
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"(?U)\s+"))).cast("long")
+    return F.regexp_count(col, F.lit(r"(?U)\S+")).cast("long")
 
 
 def let(value: Column, use) -> Column:
@@ -369,10 +368,12 @@ def shorten(col: Column, limit: int = fixed.REASON_LIMIT) -> Column:
 
 def is_junk(col: Column) -> Column:
     """Too short, only punctuation, or a question stub."""
-    text = strip(col)
-    body = strip(F.regexp_replace(text, r"\?+$", ""))
-    stub = F.endswith(text, F.lit("?")) & ((F.length(body) < 10) | (word_count(body) < 3))
-    return (F.length(text) < 10) | F.rlike(text, F.lit(r"(?U)^[\s\W_]+$")) | stub
+
+    def judge(text: Column) -> Column:
+        stub = let(strip(F.regexp_replace(text, r"\?+$", "")), lambda body: (F.length(body) < 10) | (word_count(body) < 3))
+        return (F.length(text) < 10) | F.rlike(text, F.lit(r"(?U)^[\s\W_]+$")) | (F.endswith(text, F.lit("?")) & stub)
+
+    return let(strip(col), judge)
 
 
 # --- dates ----------------------------------------------------------------------------------

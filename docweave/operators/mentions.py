@@ -118,9 +118,9 @@ def guard_answers(answers: DataFrame, hits: DataFrame, decline: str) -> DataFram
 
     ``answers``: query_id, answer, confidence. ``hits``: query_id, scheme_id, name (top-k per query).
     """
-    form, said = tx.match_form(F.col("name")), tx.match_form(F.col("answer"))
-    named = (F.length(form) >= fixed.MIN_NAME_CHARS) & F.contains(said, form)
-    cited = answers.select("query_id", "answer").join(hits, "query_id").filter(named).groupBy("query_id").agg(
+    said = answers.select("query_id", tx.match_form(F.col("answer")).alias("said"))
+    named = hits.withColumn("form", tx.match_form(F.col("name"))).filter(F.length("form") >= fixed.MIN_NAME_CHARS)
+    cited = said.join(named, "query_id").filter(F.contains(F.col("said"), F.col("form"))).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_cited"), F.min("scheme_id").alias("first_cited"))
     good = F.col("n_cited").isNotNull()
     return answers.join(cited, "query_id", "left").select(
@@ -170,7 +170,12 @@ def fix_typos(texts: DataFrame, vocabulary: list[str], keep: list[str], states:
     listed = spark.createDataFrame([(v,) for v in vocabulary], "fix string")
     distinct = words.select(F.lower("word").alias("w")).distinct()
     near = distinct.join(F.broadcast(listed.withColumn("_f", F.left("fix", F.lit(1)))), F.left("w", F.lit(1)) == F.col("_f"))
-    near = near.filter(F.abs(F.length("fix") - F.length("w")) <= 2).withColumn("ratio", similarity("w", "fix"))
+    # Ratio 2M/T of at least the cutoff leaves at most (1 - cutoff) T unmatched letters, and the edit
+    # distance is never larger than that: a lossless filter that runs without Python.
+    letters = F.length("fix") + F.length("w")
+    near = near.filter((F.abs(F.length("fix") - F.length("w")) <= 2)
+                       & (F.levenshtein("w", "fix") <= F.floor(letters * (1 - fixed.TYPO_CUTOFF) + 1e-9)))
+    near = near.withColumn("ratio", similarity("w", "fix"))
     fixes = near.filter(F.col("ratio") >= fixed.TYPO_CUTOFF).groupBy("w").agg(F.max(F.struct("ratio", "fix")).alias("b")).select("w", F.col("b.fix").alias("fix"))
     changed = words.join(fixes, F.lower("word") == F.col("w")).groupBy("text_id").agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "fix"))).alias("_fixes"))

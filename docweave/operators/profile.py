@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docweave.functions import text as tx
 
 
-def profile(df: DataFrame, name: str, text: str, pages: Column, size_bytes: Column) -> DataFrame:
+def profile(df: DataFrame, name: str, text: str, pages: Column, size_bytes: Column,
+            keep: list[Column] | None = None) -> DataFrame:
     """Pages, size, words and characters of every document; a null text counts as corrupted."""
     body = F.coalesce(F.col(text), F.lit(""))
     return df.select(
@@ -18,6 +19,7 @@ def profile(df: DataFrame, name: str, text: str, pages: Column, size_bytes: Colu
         tx.word_count(body).alias("word_count"),
         F.length(body).cast("long").alias("character_count"),
         F.when(F.col(text).isNull(), F.lit("Corrupted")).otherwise(F.lit("Valid")).alias("status"),
+        *(keep or []),
     )
 
 
