@@ -237,8 +237,8 @@ def phrase_removal(t):
     with a as (select doc_id, regexp_replace(text, '\s+', ' ', 'g') as t from documents),
     b as (select doc_id, regexp_replace(t, '(^|[^\p{L}\p{N}_]|[a-z0-9])Worthless\s*Offer($|[^\p{L}\p{N}_]|[A-Z])', '\1\2', 'g') as t from a),
     c as (select doc_id, regexp_replace(t, ' {2,}', ' ', 'g') as t from b),
-    d as (select doc_id, regexp_replace(regexp_replace(t, '(^|[^\p{L}\p{N}_]|[a-z0-9])This($|[^\p{L}\p{N}_]|[A-Z])', '\1' || chr(10) || chr(10) || 'This' || chr(10) || '\2', 'g'),
-              '(^|[^\p{L}\p{N}_]|[a-z0-9])La($|[^\p{L}\p{N}_]|[A-Z])', '\1' || chr(10) || chr(10) || 'La' || chr(10) || '\2', 'g') as t from c)
+    d as (select doc_id, replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(^|[^\p{L}\p{N}_]|[a-z0-9])This($|[^\p{L}\p{N}_]|[A-Z])', '\1' || chr(1) || '\2', 'g'), '(^|[^\p{L}\p{N}_]|[a-z0-9])This($|[^\p{L}\p{N}_]|[A-Z])', '\1' || chr(1) || '\2', 'g'), '(^|[^\p{L}\p{N}_]|[a-z0-9])La($|[^\p{L}\p{N}_]|[A-Z])', '\1' || chr(2) || '\2', 'g'), '(^|[^\p{L}\p{N}_]|[a-z0-9])La($|[^\p{L}\p{N}_]|[A-Z])', '\1' || chr(2) || '\2', 'g'), chr(1), chr(10) || chr(10) || 'This' || chr(10)),
+        chr(2), chr(10) || chr(10) || 'La' || chr(10)) as t from c)
     select doc_id, sha256(regexp_replace(t, '^\s+|\s+$', '', 'g')) as digest from d""")
 def preprocess(t):
     return t.spread("documents").select("doc_id", F.sha2(tx.preprocess(F.col("text"), ["Worthless Offer"], ["This", "La"]), 256).alias("digest"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
@@ -21,7 +21,7 @@ def nfkc(col: Column) -> Column:
     return F.coalesce(_nfkc(wide), col)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-block ratio 2M/T of two strings; meant for distinct pairs."""
     return pd.Series([SequenceMatcher(None, b, a).ratio() for a, b in zip(left, right)])
@@ -46,7 +46,7 @@ def embedder(load: Callable[[], Callable[[list[str]], list]], prefix: str = "pas
 def answer_model(load: Callable[[], Callable[[list[str]], list[str]]]):
     """Column function for a text model: a batch of prompts in, raw answers out."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for batch in batches:

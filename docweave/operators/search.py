@@ -98,14 +98,18 @@ def _keep_best(query_ids, matrix, states, keep: int) -> Callable[[Iterator[pd.Da
     return run
 
 
+def _blocks(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def _grid(chunks: DataFrame, queries: DataFrame, keep: int, n_queries: int, block: int, cell: int) -> DataFrame:
     """Many queries: every (query block, chunk block) cell is one bounded task and returns its top rows."""
     query_blocks = -(-n_queries // block)
     chunk_blocks = max(1, -(-chunks.count() // cell))
-    left = chunks.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_blocks))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long"))
-    right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(chunk_blocks - 1))).cast("long"))
+    left = chunks.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_blocks).cast("long"))).withColumn(
+        "_q", F.explode(_blocks(query_blocks)))
+    right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks).cast("long"))).withColumn(
+        "_c", F.explode(_blocks(chunk_blocks)))
 
     def cell_hits(chunk_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(chunk_rows) or not len(query_rows):
