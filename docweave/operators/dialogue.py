@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave import fixed
 from docweave.functions import rules, text as tx
-from docweave.operators.ordering import TARGET_ROWS, as_number, ordered_scan, spread_join
+from docweave.operators.ordering import TARGET_ROWS, as_number, cut_pieces, ordered_scan, scan_pieces, spread_join
 
 
 def session_numbers(turns: DataFrame, keys: list[str], order: list[str], gap_seconds: int = fixed.SESSION_GAP_SECONDS,
                     target_rows: int = TARGET_ROWS) -> DataFrame:
     """Number sessions per key; a pause of more than the gap starts a new one."""
     at = as_number(turns, order[0])
-    timed = ordered_scan(turns, keys, order, None, {"_prev": at}, target_rows)
+    cut, hot = cut_pieces(turns, keys, order[0], target_rows)
+    timed = scan_pieces(cut, hot, keys, order, None, {"_prev": at})
     starts = F.when(F.col("_prev").isNull() | (at - F.col("_prev") > gap_seconds * 1_000_000), 1).otherwise(0)
-    return ordered_scan(timed, keys, order, {"session_no": starts}, None, target_rows).drop("_prev")
+    return scan_pieces(timed, hot, keys, order, {"session_no": starts}).drop("_prev", "_piece")
 
 
 def carry_profile(turns: DataFrame, keys: list[str], order: list[str], fields: list[str], target_rows: int = TARGET_ROWS) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 TARGET_ROWS = 2_000_000
 HOT_ROWS = 10_000_000
 SALTS = 64
-_ALL = "_all"
 
 
 def as_number(df: DataFrame, column: str) -> Column:
@@ -22,12 +21,13 @@ def as_number(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def with_pieces(df: DataFrame, keys: list[str], order: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def cut_pieces(df: DataFrame, keys: list[str], order: str, target_rows: int = TARGET_ROWS) -> tuple[DataFrame, DataFrame]:
     """Add ``_piece``: 0 for ordinary keys; hot keys get equal-width ranges of ``order``.
 
-    Counts and bounds come from exact partial aggregates, so a recomputed task cuts the same pieces.
-    The broadcast side holds only keys above ``target_rows``: at most rows / target_rows entries.
-    Four times as many pieces as needed are cut to allow for uneven order values.
+    Also returns the hot keys. Counts and bounds come from exact partial aggregates, so a recomputed
+    task cuts the same pieces. The broadcast side holds only keys above ``target_rows``: at most
+    rows / target_rows entries. Four times as many pieces as needed are cut to allow for uneven values.
+    Without hot keys the adaptive plan drops the join with the empty broadcast.
     """
     position = as_number(df, order)
     hot = (
@@ -38,25 +38,15 @@ def with_pieces(df: DataFrame, keys: list[str], order: str, target_rows: int = T
     )
     width = (F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces")
     piece = F.least(F.col("_pieces") - 1, F.floor((position - F.col("_lo")) / width))
-    cut = df.withColumn(_ALL, F.lit(0)).join(F.broadcast(hot.withColumn(_ALL, F.lit(0))), [_ALL, *keys], "left")
-    return cut.withColumn("_piece", F.coalesce(piece, F.lit(0)).cast("long")).drop("_n", "_lo", "_hi", "_pieces", _ALL)
+    cut = df.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.coalesce(piece, F.lit(0)).cast("long"))
+    return cut.drop("_n", "_lo", "_hi", "_pieces"), hot.select(*keys)
 
 
-def ordered_scan(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    sums: dict[str, Column] | None = None,
-    before: dict[str, Column] | None = None,
-    target_rows: int = TARGET_ROWS,
-) -> DataFrame:
-    """Running sums (this row included) and last known values (rows strictly before this one).
-
-    ``sums`` maps a new column to the summed expression, ``before`` to the expression whose latest
-    non-null value is carried. ``order[0]`` must be numeric or a timestamp; the rest breaks ties.
-    """
+def scan_pieces(cut: DataFrame, hot: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None,
+                before: dict[str, Column] | None = None) -> DataFrame:
+    """Running sums and last known values over pieces; keeps ``_piece`` so that scans can be chained
+    without another shuffle. Only hot keys take part in the summaries between pieces."""
     sums, before = sums or {}, before or {}
-    cut = with_pieces(df, keys, order[0], target_rows)
     for name, value in {**sums, **before}.items():
         cut = cut.withColumn(f"_v_{name}", value)
     group = [*keys, "_piece"]
@@ -64,7 +54,7 @@ def ordered_scan(
     parts = [F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums]
     parts += [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), row)).alias(f"_l_{n}") for n in before]
     earlier = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    carried = cut.groupBy(*group).agg(*parts).select(
+    carried = cut.join(F.broadcast(hot), keys, "left_semi").groupBy(*group).agg(*parts).select(
         *group,
         *[F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in before],
@@ -82,7 +72,24 @@ def ordered_scan(
     for n in before:
         joined = joined.withColumn(n, F.coalesce(F.col(n), F.col(f"_c_{n}")))
     names = [*sums, *before]
-    return joined.drop("_piece", *[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
+    return joined.drop(*[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
+
+
+def ordered_scan(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: dict[str, Column] | None = None,
+    before: dict[str, Column] | None = None,
+    target_rows: int = TARGET_ROWS,
+) -> DataFrame:
+    """Running sums (this row included) and last known values (rows strictly before this one).
+
+    ``sums`` maps a new column to the summed expression, ``before`` to the expression whose latest
+    non-null value is carried. ``order[0]`` must be numeric or a timestamp; the rest breaks ties.
+    """
+    cut, hot = cut_pieces(df, keys, order[0], target_rows)
+    return scan_pieces(cut, hot, keys, order, sums, before).drop("_piece")
 
 
 def global_scan(df: DataFrame, order: list[str], sums: dict[str, Column], target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -121,7 +128,9 @@ def spread_join(
     Keys above ``hot_rows`` (at most facts / hot_rows of them, hence the broadcast) are salted on both
     sides, so no shuffle partition holds a whole hot key.
     """
-    hot = lookup.filter(F.col(count) > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    # The flag reads every lookup column so that both uses of the lookup share one shuffle.
+    flag = F.size(F.array(*[F.col(c).cast("string") for c in lookup.columns if c not in keys])) > 0
+    hot = lookup.filter(F.col(count) > hot_rows).select(*keys, flag.alias("_hot"))
     salted = facts.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts))).otherwise(F.lit(0).cast("long"))
     ).drop("_hot")

@@ -20,7 +20,7 @@ def test_ordered_scan_equals_window(spark):
                      F.last("v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("b"))
     got = ordering.ordered_scan(df, ["k"], ["t", "id"], {"s": F.coalesce("v", F.lit(0))}, {"b": F.col("v")}, target_rows=25).select("id", "s", "b")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    pieces = ordering.with_pieces(df, ["k"], "t", 25).groupBy("k").agg(F.count_distinct("_piece").alias("n")).collect()
+    pieces = ordering.cut_pieces(df, ["k"], "t", 25)[0].groupBy("k").agg(F.count_distinct("_piece").alias("n")).collect()
     assert dict(map(tuple, pieces))["hot"] > 10
 
 
