@@ -298,3 +298,16 @@ def hit_at_5(t):
     named = hits.select("query_id", F.concat(F.lit("label "), F.col("state"), F.lit(" x")).alias("name"))
     expected = query_table(t).select("query_id", F.concat(F.lit("Label "), F.col("query_id"), F.lit(" x / other")).alias("expected"))
     return hit_rate(expected, named)
+
+
+@query("udf5_sql_functions", rf"""
+    with {SECTIONS} select lang, count(*) as documents, cast(sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) as bigint) as words,
+      count(distinct trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) as contents, (select count(*) from s) as sections from documents group by lang""")
+def sql_functions(t):
+    from docweave.functions.sql import register_functions, register_views
+
+    register_functions(t.spark)
+    register_views(t.documents, TERMS)
+    t.documents.createOrReplaceTempView("corpus")
+    return t.spark.sql("""select lang, count(*) as documents, sum(dw_word_count(text)) as words, count(distinct dw_content_key(text)) as contents,
+        (select count(*) from sections) as sections from corpus group by lang""")

@@ -144,6 +144,16 @@ def section_chunks(t):
     return chunks.build_chunks(schemes(t)).select("chunk_id", F.sha2("text", 256).alias("digest"), "scheme_id", "source_file", "section", "state")
 
 
+@query("vec4_embedded_chunks", f"with {CHUNKS} select chunk_id, 64 as width, 1.0::double as norm from ch")
+def embedded_chunks(t):
+    """The default hashing model through the embedder hook; texts already carry their task prefix."""
+    from docweave.functions.arrow import embedder, hashing_model
+
+    rows = chunks.build_chunks(schemes(t)).select("chunk_id", embedder(hashing_model, "")("text").alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return rows.select("chunk_id", F.size("v").alias("width"), F.round(length, 4).alias("norm"))
+
+
 @query("sec13_first_state", f"""
     select l_orderkey, l_linenumber, ({STATES_SQL})[l_partkey % 34 + 1] as state from lineitem where l_returnflag = 'R'""")
 def first_state(t):

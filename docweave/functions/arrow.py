@@ -43,6 +43,25 @@ def embedder(load: Callable[[], Callable[[list[str]], list]], prefix: str = "pas
     return embed
 
 
+def hashing_model(width: int = 64) -> Callable[[list[str]], list]:
+    """A model-free default: words hashed into ``width`` signed counters."""
+    import re
+    import zlib
+
+    import numpy as np
+
+    def vectors(texts: list[str]) -> list:
+        out = np.zeros((len(texts), width))
+        for row, text in enumerate(texts):
+            for word in re.findall(r"\w+", text.lower()):
+                code = zlib.crc32(word.encode("utf-8"))
+                out[row, code % width] += 1.0 if code & 0x80000000 else -1.0
+        out[~out.any(axis=1), 0] = 1.0
+        return list(out)
+
+    return vectors
+
+
 def answer_model(load: Callable[[], Callable[[list[str]], list[str]]]):
     """Column function for a text model: a batch of prompts in, raw answers out."""
 

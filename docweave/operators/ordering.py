@@ -93,8 +93,27 @@ def ordered_scan(
 
 
 def global_scan(df: DataFrame, order: list[str], sums: dict[str, Column], target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Running sums over the whole table: :func:`ordered_scan` with the table as the single key."""
-    return ordered_scan(df.withColumn("_table", F.lit(0)), ["_table"], order, sums, None, target_rows).drop("_table")
+    """Running sums over the whole table: pieces of the order column, plus one summary row per piece.
+
+    The window over the summaries sees 4 rows / target_rows rows; no task sees the whole table.
+    """
+    position = as_number(df, order[0])
+    stats = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi"))).scalar()
+    pieces = F.when(stats["n"] > target_rows, F.ceil(stats["n"] / target_rows) * 4).otherwise(1)
+    piece = F.least(pieces - 1, F.floor((position - stats["lo"]) / ((stats["hi"] - stats["lo"] + 1) / pieces)))
+    cut = df.withColumn("_piece", piece.cast("long"))
+    for n, value in sums.items():
+        cut = cut.withColumn(f"_v_{n}", value)
+    earlier = W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    carried = cut.groupBy("_piece").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums]).select(
+        "_piece", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums])
+    local = W.partitionBy("_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    for n in sums:
+        cut = cut.withColumn(n, F.sum(f"_v_{n}").over(local))
+    joined = cut.join(carried, "_piece")
+    for n in sums:
+        joined = joined.withColumn(n, F.col(n) + F.col(f"_c_{n}"))
+    return joined.drop("_piece", *[f"_v_{n}" for n in sums], *[f"_c_{n}" for n in sums])
 
 
 def trailing_rows(
