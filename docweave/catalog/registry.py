@@ -23,13 +23,14 @@ class Tables:
 
 
     def spread(self, table: str) -> DataFrame:
-        """The table in at least as many partitions as there are cores, for work heavy per row.
+        """The table in several partitions per core, for work heavy per row on a table of few files.
 
-        Tables of many files already have them and are returned as they are, without a shuffle.
+        A split of a small file can be empty (one row group), so split counts up to twice the cores
+        count as few. Larger tables are returned as they are, without a shuffle.
         """
         df = self.__getattr__(table)
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+        return df.repartition(cores * 4) if df.rdd.getNumPartitions() <= cores * 2 else df
 
 
 def query(name: str, sql: str | None = None):

@@ -49,15 +49,18 @@ def drop_labels(listed: Column, name: Column | None = None) -> Column:
     return F.filter(listed, lambda x: ~is_label(x, name))
 
 
-def classify(sections: Column, category: Column, score, threshold=fixed.CONFIDENCE_THRESHOLD) -> Column:
+def classify(sections: Column, category: Column, score: Column, thresholds: dict[str, float] | None = None) -> Column:
     """Attach a category and score looked up by heading: two maps keyed by the lower-cased heading."""
+    thresholds = fixed.CATEGORY_THRESHOLDS if thresholds is None else thresholds
 
     def one(s: Column) -> Column:
         key = F.lower(tx.strip(s["heading"]))
-        value = F.coalesce(F.element_at(score, key), F.lit(0.0))
-        return F.struct(s["heading"].alias("heading"), s["content"].alias("content"),
-                        F.element_at(category, key).alias("category"), value.alias("score"),
-                        (value >= threshold).alias("confident"))
+        value, label = F.coalesce(F.element_at(score, key), F.lit(0.0)), F.element_at(category, key)
+        limit = F.lit(fixed.CONFIDENCE_THRESHOLD)
+        for name, own in thresholds.items():
+            limit = F.when(label == name, F.lit(own)).otherwise(limit)
+        return F.struct(s["heading"].alias("heading"), s["content"].alias("content"), label.alias("category"),
+                        value.alias("score"), (value >= limit).alias("confident"))
 
     return F.transform(sections, one)
 

@@ -125,6 +125,21 @@ def json_detail(raw: Column) -> Column:
     )
 
 
+def page_detail(html: Column) -> Column:
+    """Detail record of a page: its embedded payload when there is one, else what the HTML shows."""
+
+    def choose(payload: Column) -> Column:
+        given, seen = json_detail(payload), html_detail(html)
+        none = F.array().cast("array<string>")
+        shown = F.struct(
+            seen["scheme_name"].alias("scheme_name"), F.lit("").alias("department"), F.lit("").alias("state"), F.lit("").alias("category"),
+            seen["s"]["description"].alias("description"), seen["s"]["benefits"].alias("benefits"), seen["s"]["eligibility"].alias("eligibility"),
+            F.coalesce(seen["s"]["steps"], none).alias("steps"), seen["last_updated"].alias("last_updated"))
+        return F.when(payload.isNotNull(), given).otherwise(shown)
+
+    return let(embedded_json(html), choose)
+
+
 def required_content(df: DataFrame, name: Column, description: Column, benefits: Column, conditions: Column) -> DataFrame:
     """Reason a record cannot become a document: null when it can."""
     reason = F.when(F.coalesce(name, F.lit("")) == "", "scheme_name missing").when(

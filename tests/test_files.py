@@ -134,3 +134,14 @@ def test_slot_stream_over_batches(spark, tmp_path):
     streamed = jobs.slot_dialogue(stream_table(spark, str(src), 1), str(tmp_path / "job"))
     want = {(1, "age", "30", 2, False), (2, "age", None, 3, True), (3, "state", None, 0, True)}
     assert {tuple(r) for r in slot_outcomes(batch).collect()} == want == {tuple(r) for r in streamed.collect()}
+
+
+def test_page_detail_prefers_the_payload(value):
+    from docweave.sources import listing
+
+    plain = "<html><h1>My &amp; Plan</h1><h2>Benefits</h2><ul><li>- one</li><li>two</li></ul><h2>Else</h2><p>x</p><h3>Eligibility</h3><p>all</p>Last updated: 3 Feb 2024</html>"
+    got = value(listing.page_detail, plain)
+    assert (got["scheme_name"], got["benefits"], got["eligibility"][0]) == ("My & Plan", ["one", "two"], "all")
+    payload = '{"props":{"pageProps":{"schemeData":{"en":{"basicDetails":{"schemeName":"Given"},"schemeContent":{"benefits":"a\\nb"}}}}}}'
+    got = value(listing.page_detail, plain.replace("<h1>", f'<script id="__NEXT_DATA__" type="application/json">{payload}</script><h1>'))
+    assert (got["scheme_name"], got["benefits"]) == ("Given", ["a", "b"])
