@@ -45,7 +45,10 @@ def contained_pairs(haystacks: DataFrame, needles: DataFrame, whole_words: bool)
         return _words(F.col(col)) if whole_words else F.split(col, "")
 
     grams = tx.let(units("needle"), lambda u: _own_grams(u, sizes))
-    hay_grams = tx.let(units("hay"), lambda u: F.flatten(F.array(*[_grams(u, n) for n in sizes])))
+    # At most one row per gram size: texts are cut only into the sizes that needles really use.
+    longest = F.greatest(F.least(F.size(units("needle")), F.lit(sizes[-1])), F.lit(sizes[0]))
+    used = sorted(r[0] for r in needles.select(longest.alias("n")).distinct().collect())
+    hay_grams = tx.let(units("hay"), lambda u: F.flatten(F.array(*[_grams(u, n) for n in used or sizes])))
     exploded = needles.select("needle_id", F.posexplode(grams).alias("pos", "gram"))
     frequency = exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     anchors = exploded.join(frequency, "gram").groupBy("needle_id").agg(F.min_by("gram", F.struct("n", "pos")).alias("gram"))
