@@ -1 +1,8 @@
-"""docweave: document-corpus analytics as Spark DataFrame and Structured Streaming jobs."""
+"""Document-corpus analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the workers by value, so a cluster needs no installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,11 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for one job under ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docweave-")
+    """A new folder for one job under ``spark.checkpoint.dir``, the folder all executors share.
+
+    Only a local master may do without the setting: there one temporary folder serves the session.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="docweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """``df`` written once to a shared folder and read back: the cut of a lineage that survives lost executors."""
+    folder = work_folder(df.sparkSession, name)
+    df.write.partitionBy(*partitions).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """The parquet files of a table (a folder or one file) as a stream; every file is taken once.
 
