@@ -27,8 +27,8 @@ _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
 
 
 @query("op5_url_cascade", f"""
-with u as (select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as at from pages),
-p as (select page_id, case when at > 0 then substr(url, at + 3) else '' end as rest from u),
+with u as (select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as pos from pages),
+p as (select page_id, case when pos > 0 then substr(url, pos + 3) else '' end as rest from u),
 h as (select page_id, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1, 's') as raw_host,
              regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2, 's') as path from p),
 k as (select page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from h),
