@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from docweave.catalog import registry
 from docweave.llm.exact_dedup import exact_groups
 from docweave.llm.mixing import poisson_mix
+from docweave.llm.packing import pack_documents
+from docweave.llm.token_counts import token_counts
 from docweave.llm.url_filter import RULES, judge_urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(registry.Tables(spark, sf_dir))
@@ -23,6 +31,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op4_bounded_packing")
+def op4(t):
+    pieces = pack_documents(t.documents, tokenizer("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES)
 
 
@@ -66,3 +80,8 @@ select doc_id, text, lang, source, n_chars, cast(unnest(range(1, n + 1)) as inte
 """)
 def op8(t):
     return poisson_mix(t.documents)
+
+
+@query("op10_token_counts")
+def op10(t):
+    return token_counts(t.documents, tokenizer("byte_bpe_50k.json"))
