@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.catalog import registry
 from docweave.llm.exact_dedup import exact_groups
 from docweave.llm.mixing import poisson_mix
+from docweave.llm.near_dedup import near_groups
 from docweave.llm.packing import pack_documents
 from docweave.llm.token_counts import token_counts
 from docweave.llm.url_filter import RULES, judge_urls
@@ -82,6 +83,11 @@ def op8(t):
     return poisson_mix(t.documents)
 
 
+@query("op9_near_groups")
+def op9(t):
+    return near_groups(t.documents, 85)
+
+
 @query("op10_token_counts")
 def op10(t):
     return token_counts(t.documents, tokenizer("byte_bpe_50k.json"))
