@@ -9,6 +9,7 @@ from docweave.llm.exact_dedup import exact_groups
 from docweave.llm.mixing import poisson_mix
 from docweave.llm.near_dedup import near_groups
 from docweave.llm.packing import pack_documents
+from docweave.llm.substring_dedup import remove_repeats
 from docweave.llm.token_counts import token_counts
 from docweave.llm.url_filter import RULES, judge_urls
 
@@ -32,6 +33,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_repeated_strings")
+def op2(t):
+    return remove_repeats(t.documents).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_bounded_packing")
 def op4(t):
     pieces = pack_documents(t.documents, tokenizer("word_bpe_49k.json"))
