@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.catalog import registry
+from docweave.llm import quality, toxicity
 from docweave.llm.exact_dedup import exact_groups
 from docweave.llm.mixing import poisson_mix
 from docweave.llm.near_dedup import near_groups
@@ -33,6 +34,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_toxic_lexicon")
+def op1(t):
+    return toxicity.judged(t.documents, t.labels)
+
+
 @query("op2_repeated_strings")
 def op2(t):
     return remove_repeats(t.documents).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -73,6 +79,11 @@ def op6(t):
     return exact_groups(t.documents)
 
 
+@query("op7_attention_quality")
+def op7(t):
+    return quality.judged(t.documents, t.labels)
+
+
 @query("op8_poisson_mix", """
 with s as (select source, cast(sum(length(coalesce(text, ''))) as double) as size from documents group by 1),
 w as (select source, size, case when size > 0 then pow(size, 0.7) else 0.0 end as target from s),
