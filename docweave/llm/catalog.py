@@ -12,6 +12,7 @@ from docweave.llm.near_dedup import near_groups
 from docweave.llm.packing import pack_documents
 from docweave.llm.substring_dedup import remove_repeats
 from docweave.llm.token_counts import token_counts
+from docweave.llm.vector_search import nearest
 from docweave.llm.url_filter import RULES, judge_urls
 
 QUERIES: dict = {}
@@ -44,6 +45,11 @@ def op2(t):
     return remove_repeats(t.documents).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op3_prefix_forest")
+def op3(t):
+    return nearest(t.embeddings, F.col("vec_id") % 20 == 0)
+
+
 @query("op4_bounded_packing")
 def op4(t):
     pieces = pack_documents(t.documents, tokenizer("word_bpe_49k.json"))
