@@ -47,6 +47,7 @@ def poisson_steps(rate: Column) -> Column:
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, total: float = 1.0,
                 seed: int = 17) -> DataFrame:
     """Every document as often as its draw says, in a globally shuffled order: columns of ``docs`` and copy, from 1.
+    A column copy that ``docs`` has already is left out.
 
     A document's count inverts the Poisson distribution of its source's rate at a number hashed from seed and
     doc_id, so rows that repeat a doc_id get the same count. Rates come from ``mixing_rates`` over all rows. A
@@ -55,6 +56,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     """
     steps = mixing_rates(docs, weights, temperature, total).select(
         F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps"))
+    docs = docs.drop("copy")
     drawn = docs.withColumn("_u", uniform(F.lit(seed), F.col("doc_id")))
     joined = drawn.join(steps, F.col("source").eqNullSafe(F.col("_source")))
     count = F.size(F.filter("_steps", lambda p: p <= F.col("_u")))

@@ -158,3 +158,15 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mos
     scores = quality_scores(docs, fit_quality(docs, labels, most))
     return scores.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"), "n_passages")
+
+
+def keep_quality(docs: DataFrame, model: Attention, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, all columns, in one pass without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch["text"].to_pylist()]
+            scores = [model.scores(*passage_features(texts[a:b])) for a, b in chunked(texts, 2 << 20)]
+            yield batch.filter(pa.array(np.concatenate(scores or [np.zeros(0)]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
