@@ -19,18 +19,12 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, table: str) -> DataFrame:
-        return read(self.spark, self.sf_dir, table)
+        """The table as its files are split, unless the session sets ``docweave.partitions``.
 
-
-    def spread(self, table: str) -> DataFrame:
-        """The table in several partitions per core, for work heavy per row on a table of few files.
-
-        A split of a small file can be empty (one row group), so split counts up to twice the cores
-        count as few. Larger tables are returned as they are, without a shuffle.
+        The setting is for local runs on tables of one small file and row group, which would keep one core busy.
         """
-        df = self.__getattr__(table)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores * 4) if df.rdd.getNumPartitions() <= cores * 2 else df
+        df, parts = read(self.spark, self.sf_dir, table), self.spark.conf.get("docweave.partitions", None)
+        return df.repartition(int(parts)) if parts else df
 
 
 def query(name: str, sql: str | None = None):

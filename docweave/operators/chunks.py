@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave import fixed
 from docweave.functions import text as tx
-from docweave.operators.ordering import HOT_ROWS, spread_join
+from docweave.operators.ordering import lookup_join
 
 
 def build_chunks(schemes: DataFrame, states: list[str] | None = None) -> DataFrame:
@@ -39,14 +39,13 @@ def _joined(column: str) -> Column:
     return F.array_join(F.coalesce(F.col(column), F.array().cast("array<string>")), " ")
 
 
-def load_new(existing: DataFrame, incoming: DataFrame, key: str, order: str, valid: Column,
-             hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Outcome of every incoming row: inserted, skipped (key present or repeated) or failed.
+def load_new(existing: DataFrame, incoming: DataFrame, key: str, order: str, valid: Column) -> DataFrame:
+    """Outcome of every incoming row: inserted, skipped (key present or repeated) or failed (not valid, or no key).
 
     Idempotent: loading the inserted rows again skips all of them.
     """
-    checked = incoming.withColumn("_valid", valid)
-    first = checked.groupBy(key).agg(F.min(F.when(F.col("_valid"), F.col(order))).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    checked = incoming.withColumn("_valid", F.coalesce(valid, F.lit(False)) & F.col(key).isNotNull())
+    first = checked.groupBy(key).agg(F.min(F.when(F.col("_valid"), F.col(order))).alias("_first"))
     present = existing.select(key).distinct().withColumn("_present", F.lit(True))
     fate = first.join(present, key, "left")
     outcome = (
@@ -54,8 +53,7 @@ def load_new(existing: DataFrame, incoming: DataFrame, key: str, order: str, val
         .when(F.col("_present") | (F.col(order) != F.col("_first")), "skipped")
         .otherwise("inserted")
     )
-    joined = spread_join(checked, fate, [key], order, "_n", hot_rows=hot_rows)
-    return joined.withColumn("outcome", outcome).drop("_valid", "_first", "_present", "_n")
+    return lookup_join(checked, fate, [key]).withColumn("outcome", outcome).drop("_valid", "_first", "_present")
 
 
 def append_new(existing_ids: DataFrame, chunks: DataFrame) -> DataFrame:

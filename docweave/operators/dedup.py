@@ -1,11 +1,14 @@
-"""Exact, content and name duplicates without ever gathering a group of copies in one place."""
+"""Exact, content and name duplicates without ever gathering a group of copies in one place.
+
+Null is a key like any other: rows with a null key are copies of one another.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave.functions import text as tx
-from docweave.operators.ordering import HOT_ROWS, spread_join
+from docweave.operators.ordering import lookup_join
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
@@ -21,19 +24,18 @@ def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     )
 
 
-def duplicate_pairs(df: DataFrame, key: Column, id_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def duplicate_pairs(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     """(copy, original) rows: every member of a group but its first."""
     keyed = df.select(key.alias("group_key"), F.col(id_col))
-    groups = duplicate_groups(df, key, id_col)
-    joined = spread_join(keyed, groups, ["group_key"], id_col, "members", hot_rows=hot_rows)
-    return joined.filter(F.col(id_col) != F.col("first_id")).select(
+    groups = duplicate_groups(keyed, F.col("group_key"), id_col)
+    return lookup_join(keyed, groups, ["group_key"]).filter(F.col(id_col) != F.col("first_id")).select(
         F.col(id_col).alias("copy_id"), F.col("first_id").alias("original_id"), "group_key"
     )
 
 
-def keep_first(df: DataFrame, key: Column, id_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def keep_first(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     """The rows left after removing copies. Only ids and keys are shuffled to find them."""
-    copies = duplicate_pairs(df, key, id_col, hot_rows).select(F.col("copy_id").alias(id_col))
+    copies = duplicate_pairs(df, key, id_col).select(F.col("copy_id").alias(id_col))
     return df.join(copies, id_col, "left_anti")
 
 

@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave import fixed
 from docweave.functions import rules, text as tx
-from docweave.operators.ordering import TARGET_ROWS, as_number, cut_pieces, ordered_scan, scan_pieces, spread_join
+from docweave.operators.ordering import TARGET_ROWS, as_number, cut_pieces, lookup_join, ordered_scan, scan_pieces
 
 
 def session_numbers(turns: DataFrame, keys: list[str], order: list[str], gap_seconds: int = fixed.SESSION_GAP_SECONDS,
                     target_rows: int = TARGET_ROWS) -> DataFrame:
     """Number sessions per key; a pause of more than the gap starts a new one."""
     at = as_number(turns, order[0])
-    cut, hot = cut_pieces(turns, keys, order[0], target_rows)
-    timed = scan_pieces(cut, hot, keys, order, None, {"_prev": at})
+    timed = scan_pieces(cut_pieces(turns, keys, order, target_rows), keys, order, None, {"_prev": at})
     starts = F.when(F.col("_prev").isNull() | (at - F.col("_prev") > gap_seconds * 1_000_000), 1).otherwise(0)
-    return scan_pieces(timed, hot, keys, order, {"session_no": starts}).drop("_prev", "_piece")
+    return scan_pieces(timed, keys, order, {"session_no": starts}).drop("_prev", "_piece", "_hot")
 
 
 def carry_profile(turns: DataFrame, keys: list[str], order: list[str], fields: list[str], target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -51,11 +50,11 @@ def slot_outcomes(replies: DataFrame) -> DataFrame:
     said = ~F.col("is_skip")
     read = said & F.col("value").isNotNull()
     first = replies.groupBy(*keys).agg(
-        F.min(F.when(read, F.struct("turn", "value"))).alias("_first"), F.bool_or("is_skip").alias("_skip"), F.count(F.lit(1)).alias("_n"))
-    open_rows = spread_join(replies, first, keys, "turn", "_n").filter(
+        F.min(F.when(read, F.struct("turn", "value"))).alias("_first"), F.bool_or("is_skip").alias("_skip"))
+    open_rows = lookup_join(replies, first, keys).filter(
         said & F.col("value").isNull() & (F.col("_first").isNull() | (F.col("turn") < F.col("_first.turn"))))
     failed = open_rows.groupBy(*keys).agg(F.least(F.count(F.lit(1)), F.lit(fixed.MAX_SLOT_FAILURES)).alias("failures"))
-    joined = first.join(failed, keys, "left").withColumn("failures", F.coalesce("failures", F.lit(0)).cast("long"))
+    joined = lookup_join(first, failed, keys, "left").withColumn("failures", F.coalesce("failures", F.lit(0)).cast("long"))
     return joined.select(*keys, F.col("_first.value").alias("value"), "failures",
                          (F.col("_skip") | (F.col("failures") >= fixed.MAX_SLOT_FAILURES)).alias("skipped"))
 

@@ -1,17 +1,21 @@
-"""Ordered computations per key that stay bounded per task, and joins that spread hot keys.
+"""Ordered computations per key that stay bounded per task, and joins to per-key lookups.
 
 A plain ``Window.partitionBy(key)`` puts every row of a key into one task. Here a key with more than
-``target_rows`` rows is cut into consecutive pieces of its order column, each piece is scanned on its
-own, and what a piece needs from the pieces before it comes from one summary row per piece.
+``target_rows`` rows is cut into consecutive pieces of its order, each piece is scanned on its own, and what
+a piece needs from the pieces before it is put in front of it as one more row. Nulls are a key and an order
+value like any other, and come first in the order, whether a key is cut or not.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 TARGET_ROWS = 2_000_000
-HOT_ROWS = 10_000_000
-SALTS = 64
+HOT_KEYS = 10_000       # cut keys whose bounds are broadcast; more are joined by a shuffle
+SAMPLES = 200_000       # order values that are gathered of one key at most
+PER_PIECE = 50          # order values sampled for each piece
 
 
 def as_number(df: DataFrame, column: str) -> Column:
@@ -21,58 +25,71 @@ def as_number(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def cut_pieces(df: DataFrame, keys: list[str], order: str, target_rows: int = TARGET_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Add ``_piece``: 0 for ordinary keys; hot keys get equal-width ranges of ``order``.
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join to a lookup with one row per key; null keys match null keys.
 
-    Also returns the hot keys. Counts and bounds come from exact partial aggregates, so a recomputed
-    task cuts the same pieces. The broadcast side holds only keys above ``target_rows``: at most
-    rows / target_rows entries. Four times as many pieces as needed are cut to allow for uneven values.
-    Without hot keys the adaptive plan drops the join with the empty broadcast.
+    A hot key is hot on the side of the facts alone, so the adaptive skew join can split it as often as it needs.
     """
-    position = as_number(df, order)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-        .filter(F.col("_n") > target_rows)
-        .withColumn("_pieces", F.ceil(F.col("_n") / target_rows) * 4)
-    )
-    width = (F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces")
-    piece = F.least(F.col("_pieces") - 1, F.floor((position - F.col("_lo")) / width))
-    cut = df.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.coalesce(piece, F.lit(0)).cast("long"))
-    return cut.drop("_n", "_lo", "_hi", "_pieces"), hot.select(*keys)
+    renamed = lookup.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    equal = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return facts.join(renamed, equal, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def _bounds(samples: Column, every: Column, target_rows: int) -> Column:
+    """Every so-manieth of the sorted samples, so that pieces hold about ``target_rows`` rows."""
+    step = F.greatest(F.lit(1), F.ceil(F.lit(target_rows) / every)).cast("int")
+    return F.when(F.size(samples) > step, F.transform(F.sequence(step, F.size(samples) - 1, step), lambda i: F.get(samples, i))).otherwise(
+        F.slice(samples, 1, 0))
+
+
+def cut_pieces(df: DataFrame, keys: list[str], order: list[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Add ``_piece``, 0 for ordinary keys, and ``_hot``; the pieces of hot keys follow one another in the full order.
+
+    Bounds are order values of the rows themselves, chosen by a hash, so outliers do not matter and a recomputed
+    task cuts the same pieces. Rows that agree in all order columns stay together. Whether any key is hot is
+    counted first: mostly none is, and the rows are left as they are.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows)
+    n_hot = sizes.limit(HOT_KEYS + 1).count()
+    if not n_hot:
+        return df.withColumns({"_piece": F.lit(0).cast("long"), "_hot": F.lit(False)})
+    checked = F.broadcast if n_hot <= HOT_KEYS else (lambda x: x)
+    every = F.greatest(F.lit(1), F.lit(target_rows // PER_PIECE), F.ceil(F.col("_n") / SAMPLES)).cast("long")
+    sampled = lookup_join(df.select(*keys, *[c for c in order if c not in keys]), checked(sizes.withColumn("_every", every)), keys)
+    sampled = sampled.filter(F.pmod(F.xxhash64(*order), F.col("_every")) == 0).withColumn("_row", F.struct(*order))
+    bounds = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list("_row")).alias("_s"), F.max("_every").alias("_every"))
+    bounds = sizes.select(*keys).transform(lambda x: lookup_join(x, bounds.select(*keys, _bounds(F.col("_s"), F.col("_every"), target_rows).alias("_b")), keys, "left"))
+    cut = lookup_join(df, checked(bounds.withColumn("_hot", F.lit(True))), keys, "left")
+    return cut.withColumns({"_piece": _place(F.col("_b"), order), "_hot": F.coalesce("_hot", F.lit(False))}).drop("_b")
+
+
+def _place(bounds: Column, order: list[str]) -> Column:
+    return F.when(bounds.isNotNull(), F.size(F.filter(bounds, lambda b: b <= F.struct(*order)))).otherwise(0).cast("long")
 
 
-def scan_pieces(cut: DataFrame, hot: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None,
+def scan_pieces(cut: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None,
                 before: dict[str, Column] | None = None) -> DataFrame:
-    """Running sums and last known values over pieces; keeps ``_piece`` so that scans can be chained
-    without another shuffle. Only hot keys take part in the summaries between pieces."""
+    """Running sums and last known values over pieces; keeps ``_piece`` and ``_hot`` so that scans can be chained.
+
+    The sums and last values of the pieces before a piece are one row in front of it: no join."""
     sums, before = sums or {}, before or {}
+    columns = [*cut.columns, *[n for n in [*sums, *before] if n not in cut.columns]]
     for name, value in {**sums, **before}.items():
         cut = cut.withColumn(f"_v_{name}", value)
     group = [*keys, "_piece"]
     row = F.struct(*order)
-    parts = [F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums]
-    parts += [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), row)).alias(f"_l_{n}") for n in before]
+    parts = [F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums]
+    parts += [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), row)).alias(f"_v_{n}") for n in before]
     earlier = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    carried = cut.join(F.broadcast(hot), keys, "left_semi").groupBy(*group).agg(*parts).select(
-        *group,
-        *[F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
-        *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in before],
-    ).filter("_piece > 0")
-    local = W.partitionBy(*group).orderBy(*order)
+    carried = cut.filter("_hot").groupBy(*group).agg(*parts).select(
+        *group, *[F.sum(f"_v_{n}").over(earlier).alias(f"_v_{n}") for n in sums],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(f"_v_{n}") for n in before], F.lit(0).alias("_own"))
+    rows = cut.withColumn("_own", F.lit(1)).unionByName(carried.filter("_piece > 0"), allowMissingColumns=True)
+    local = W.partitionBy(*group).orderBy("_own", *order)
     so_far, previous = local.rowsBetween(W.unboundedPreceding, 0), local.rowsBetween(W.unboundedPreceding, -1)
-    scanned = cut
-    for n in sums:
-        scanned = scanned.withColumn(n, F.sum(f"_v_{n}").over(so_far))
-    for n in before:
-        scanned = scanned.withColumn(n, F.last(f"_v_{n}", ignorenulls=True).over(previous))
-    joined = scanned.join(carried, group, "left")
-    for n in sums:
-        joined = joined.withColumn(n, F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)))
-    for n in before:
-        joined = joined.withColumn(n, F.coalesce(F.col(n), F.col(f"_c_{n}")))
-    names = [*sums, *before]
-    return joined.drop(*[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
+    scanned = {n: F.sum(f"_v_{n}").over(so_far) for n in sums}
+    scanned |= {n: F.last(f"_v_{n}", ignorenulls=True).over(previous) for n in before}
+    return rows.withColumns(scanned).filter("_own = 1").select(*columns)
 
 
 def ordered_scan(
@@ -86,34 +103,23 @@ def ordered_scan(
     """Running sums (this row included) and last known values (rows strictly before this one).
 
     ``sums`` maps a new column to the summed expression, ``before`` to the expression whose latest
-    non-null value is carried. ``order[0]`` must be numeric or a timestamp; the rest breaks ties.
+    non-null value is carried. Rows are ordered by all ``order`` columns.
     """
-    cut, hot = cut_pieces(df, keys, order[0], target_rows)
-    return scan_pieces(cut, hot, keys, order, sums, before).drop("_piece")
+    return scan_pieces(cut_pieces(df, keys, order, target_rows), keys, order, sums, before).drop("_piece", "_hot")
 
 
 def global_scan(df: DataFrame, order: list[str], sums: dict[str, Column], target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Running sums over the whole table: pieces of the order column, plus one summary row per piece.
-
-    The window over the summaries sees 4 rows / target_rows rows; no task sees the whole table.
-    """
-    position = as_number(df, order[0])
-    stats = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi"))).scalar()
-    pieces = F.when(stats["n"] > target_rows, F.ceil(stats["n"] / target_rows) * 4).otherwise(1)
-    piece = F.least(pieces - 1, F.floor((position - stats["lo"]) / ((stats["hi"] - stats["lo"] + 1) / pieces)))
-    cut = df.withColumn("_piece", piece.cast("long"))
-    for n, value in sums.items():
-        cut = cut.withColumn(f"_v_{n}", value)
-    earlier = W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    carried = cut.groupBy("_piece").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums]).select(
-        "_piece", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums])
-    local = W.partitionBy("_piece").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    for n in sums:
-        cut = cut.withColumn(n, F.sum(f"_v_{n}").over(local))
-    joined = cut.join(carried, "_piece")
-    for n in sums:
-        joined = joined.withColumn(n, F.col(n) + F.col(f"_c_{n}"))
-    return joined.drop("_piece", *[f"_v_{n}" for n in sums], *[f"_c_{n}" for n in sums])
+    """Running sums over the whole table, which is cut like one hot key; no task sees more than a piece."""
+    n = df.count()
+    if n > target_rows:
+        every = max(1, target_rows // PER_PIECE, -(-n // SAMPLES))
+        sampled = df.filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
+        samples = sampled.agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_s"))
+        bounds = samples.select(_bounds(F.col("_s"), F.lit(every), target_rows).alias("_b")).scalar()
+        cut = df.withColumn("_b", bounds).withColumns({"_piece": _place(F.col("_b"), order), "_hot": F.lit(True)}).drop("_b")
+    else:
+        cut = df.withColumns({"_piece": F.lit(0).cast("long"), "_hot": F.lit(False)})
+    return scan_pieces(cut, [], order, sums).drop("_piece", "_hot")
 
 
 def trailing_rows(
@@ -136,25 +142,3 @@ def trailing_rows(
         .filter(F.col("_home") == F.col("_block"))
         .drop("_rn", "_home", "_block", "_value")
     )
-
-
-def spread_join(
-    facts: DataFrame, lookup: DataFrame, keys: list[str], salt_by: str, count: str, how: str = "inner",
-    hot_rows: int = HOT_ROWS, salts: int = SALTS,
-) -> DataFrame:
-    """Join ``facts`` to a lookup with one row per key and the key's fact count in ``count``.
-
-    Keys above ``hot_rows`` (at most facts / hot_rows of them, hence the broadcast) are salted on both
-    sides, so no shuffle partition holds a whole hot key.
-    """
-    # The flag reads every lookup column so that both uses of the lookup share one shuffle.
-    flag = F.size(F.array(*[F.col(c).cast("string") for c in lookup.columns if c not in keys])) > 0
-    hot = lookup.filter(F.col(count) > hot_rows).select(*keys, flag.alias("_hot"))
-    salted = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts))).otherwise(F.lit(0).cast("long"))
-    ).drop("_hot")
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    copies = lookup.withColumn(
-        "_salt", F.explode(F.when(F.col(count) > hot_rows, every).otherwise(F.array(F.lit(0).cast("long"))))
-    )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docweave.operators.ordering import HOT_ROWS, spread_join
+from docweave.operators.ordering import lookup_join
 
 
 def compare_listing(listing: DataFrame, stored: DataFrame) -> DataFrame:
@@ -53,11 +53,10 @@ def data_as_of(sources: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return sources.join(dated, key, "left").withColumn("data_as_of", text)
 
 
-def rename_plan(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def rename_plan(rows: DataFrame) -> DataFrame:
     """Fate of rows named after their file: rename, duplicate (name used elsewhere) or unrecoverable.
 
-    ``rows``: source_file, scheme_name, recovered. Uses counts per name, never lists of files, and the
-    joins on names are salted for names shared by very many rows.
+    ``rows``: source_file, scheme_name, recovered. Uses counts per name, never lists of files.
     """
     stem = F.regexp_replace("source_file", r"\.json$", "")
     named = rows.withColumn("_old", F.lower(F.coalesce("scheme_name", F.lit("")))).withColumn("_new", F.lower("recovered"))
@@ -65,7 +64,7 @@ def rename_plan(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     used = named.groupBy(F.col("_old").alias("_new")).agg(F.count(F.lit(1)).alias("_used"))
     planned = candidates.filter(F.col("_new").isNotNull()).groupBy("_new").agg(F.count(F.lit(1)).alias("_planned"))
     lookup = planned.join(used, "_new", "left")
-    known = spread_join(candidates.filter(F.col("_new").isNotNull()), lookup, ["_new"], "source_file", "_planned", hot_rows=hot_rows)
+    known = lookup_join(candidates.filter(F.col("_new").isNotNull()), lookup, ["_new"])
     others = F.coalesce("_used", F.lit(0)) - F.when(F.col("_old") == F.col("_new"), 1).otherwise(0) + F.col("_planned") - 1
     done = known.withColumn("outcome", F.when(others > 0, "duplicate").otherwise("rename"))
     lost = candidates.filter(F.col("_new").isNull()).withColumn("outcome", F.lit("unrecoverable"))

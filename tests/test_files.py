@@ -65,7 +65,7 @@ def test_load_is_idempotent(spark):
     empty = incoming.select("f").limit(0)
     first = chunks.load_new(empty, incoming, "f", "id", F.col("ok"))
     assert {r["id"]: r["outcome"] for r in first.collect()} == {1: "inserted", 2: "skipped", 3: "failed", 4: "inserted"}
-    again = chunks.load_new(first.filter("outcome = 'inserted'").select("f"), incoming, "f", "id", F.col("ok"), hot_rows=1)
+    again = chunks.load_new(first.filter("outcome = 'inserted'").select("f"), incoming, "f", "id", F.col("ok"))
     assert "inserted" not in {r["outcome"] for r in again.collect()}
 
 

@@ -1,7 +1,9 @@
 """The split and salted paths give the same rows as the plain ones."""
 
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import Window as W, functions as F
 
 from docweave.operators import dedup, dialogue, ordering
@@ -20,10 +22,33 @@ def test_ordered_scan_equals_window(spark):
                      F.last("v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("b"))
     got = ordering.ordered_scan(df, ["k"], ["t", "id"], {"s": F.coalesce("v", F.lit(0))}, {"b": F.col("v")}, target_rows=25).select("id", "s", "b")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    pieces = ordering.cut_pieces(df, ["k"], "t", 25)[0].groupBy("k").agg(F.count_distinct("_piece").alias("n")).collect()
+    pieces = ordering.cut_pieces(df, ["k"], ["t", "id"], 25).groupBy("k").agg(F.count_distinct("_piece").alias("n")).collect()
     assert dict(map(tuple, pieces))["hot"] > 10
 
 
+EDGES = [None, -9 * 10**18, 9 * 10**18, 0]
+
+
+@pytest.mark.parametrize("target", [2, 50])
+def test_pieces_do_not_change_results(spark, target):
+    """Null keys and order values, the ends of the number range, one outlier, one value shared by a whole key."""
+    rng = random.Random(8)
+    rows = [(None if rng.random() < 0.4 else "k", rng.choice(EDGES), i, i % 5) for i in range(120)]
+    rows += [("outlier", i, 200 + i, 1) for i in range(99)] + [("outlier", 10**18, 299, 1)]
+    rows += [("same", 7, 300 + i, 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v long")
+    w = W.partitionBy("k").orderBy("t", "id")
+    want = df.select("id", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("s"), F.lag("v").over(w).alias("b"))
+    for size in (target, ordering.TARGET_ROWS):
+        got = ordering.ordered_scan(df, ["k"], ["t", "id"], {"s": F.col("v")}, {"b": F.col("v")}, target_rows=size).select("id", "s", "b")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    largest = ordering.cut_pieces(df, ["k"], ["t", "id"], target).groupBy("k", "_piece").count().agg(F.max("count")).first()[0]
+    assert largest <= 2 * target
+    whole = W.orderBy("t", "id").rowsBetween(W.unboundedPreceding, 0)
+    total = ordering.global_scan(df, ["t", "id"], {"s": F.col("v")}, target_rows=target).select("id", "s")
+    assert sorted(map(tuple, total.collect())) == sorted(map(tuple, df.select("id", F.sum("v").over(whole)).collect()))
+
+
 def test_trailing_rows_equal_window(spark):
     df = turns(spark).fillna(-1)
     w = W.partitionBy("k").orderBy("t", "id").rowsBetween(-6, -1)
@@ -51,13 +76,15 @@ def test_session_boundary_is_strict(spark):
     assert got == {1: 1, 2: 1, 3: 2}
 
 
-def test_hot_copies_are_salted(spark):
-    rows = [(i, "same" if i % 3 else f"u{i % 50}") for i in range(400)]
+def test_copies_of_null_are_copies(spark):
+    rows = [(i, "same" if i % 3 else None if i % 2 else f"u{i % 50}") for i in range(400)]
     df = spark.createDataFrame(rows, "id long, text string")
-    plain = dedup.duplicate_pairs(df, F.col("text"), "id")
-    salted = dedup.duplicate_pairs(df, F.col("text"), "id", hot_rows=20)
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
-    kept = {r["id"] for r in dedup.keep_first(df, F.col("text"), "id", hot_rows=20).collect()}
+    sizes = Counter(t for _, t in rows)
+    groups = {r["group_key"]: r["members"] for r in dedup.duplicate_groups(df, F.col("text"), "id").collect()}
+    assert groups == {t: n for t, n in sizes.items() if n > 1}
+    assert dedup.duplicate_pairs(df, F.col("text"), "id").count() == len(rows) - len(sizes)
+    kept = {r["id"] for r in dedup.keep_first(df, F.col("text"), "id").collect()}
+    assert kept == {r["id"] for r in dedup.first_per_key(df, ["text"], ["id"]).collect()}
     first = {}
     for i, text in rows:
         first.setdefault(text, i)
