@@ -268,11 +268,12 @@ def closest_names(t):
 
 
 @query("joi3_hydrated_hits", f"""
-    with {SCORED}, {ranked_sql('true', 10)} select cast(query_id as bigint) as query_id, place, k.scheme_id, lang, n_chars from k join documents on doc_id = k.scheme_id""")
+    with {SCORED}, {ranked_sql('true', 10)}, j as (select b.*, lang, n_chars from b join documents on doc_id = scheme_id where doc_id not in (select doc_id from labels where quality = 1))
+    select cast(query_id as bigint) as query_id, row_number() over (partition by query_id order by rank) as place, scheme_id, lang, n_chars from j qualify place <= 5""")
 def hydrated(t):
-    hits = search.retrieve(chunk_table(t), query_table(t))
-    docs = t.documents.select(F.col("doc_id").alias("scheme_id"), "lang", "n_chars")
-    return hits.join(docs, "scheme_id").select("query_id", "place", "scheme_id", "lang", "n_chars")
+    """Labelled documents count as missing: the next schemes take their places."""
+    docs = t.documents.join(t.labels.filter("quality = 1"), "doc_id", "left_anti").select(F.col("doc_id").alias("scheme_id"), "lang", "n_chars")
+    return search.retrieve(chunk_table(t), query_table(t), documents=docs).select("query_id", "place", "scheme_id", "lang", "n_chars")
 
 
 @query("ded6_preferred_candidates", f"""

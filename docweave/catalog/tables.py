@@ -155,11 +155,11 @@ def embedded_chunks(t):
 
 
 @query("sec13_first_state", f"""
-    select l_orderkey, l_linenumber, ({STATES_SQL})[l_partkey % 34 + 1] as state from lineitem where l_returnflag = 'R'""")
+    select l_orderkey, l_linenumber, ({STATES_SQL})[l_partkey % 34 + 1] as state from lineitem""")
 def first_state(t):
     state = F.element_at(F.array(*[F.lit(s) for s in fixed.STATES]), (F.col("l_partkey") % 34 + 1).cast("int"))
     text = F.concat(F.lit("people of "), F.upper(state), F.lit(" may apply"))
-    return t.lineitem.filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", tx.first_contained(text, fixed.STATES).alias("state"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", tx.first_contained(text, fixed.STATES).alias("state"))
 
 
 def labelled(t):
@@ -264,11 +264,11 @@ def ordered_fetch(t):
     return sync.fetch_in_order(asked, t.part.select("p_partkey", "p_name"), "p_partkey").withColumn("pos", F.col("pos").cast("long"))
 
 
-BRIDGE = "br as (select distinct l_partkey as scheme_id, n_name as state from lineitem join supplier on l_suppkey = s_suppkey join nation on n_nationkey = s_nationkey where l_returnflag = 'R' and l_quantity > 45)"
+BRIDGE = "br as (select distinct l_partkey as scheme_id, n_name as state from lineitem join supplier on l_suppkey = s_suppkey join nation on n_nationkey = s_nationkey)"
 
 
 def bridge(t):
-    lines = t.lineitem.filter("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("scheme_id"), "l_suppkey")
+    lines = t.lineitem.select(F.col("l_partkey").alias("scheme_id"), "l_suppkey")
     named = lines.join(t.supplier, lines.l_suppkey == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return named.select("scheme_id", F.col("n_name").alias("state")).distinct()
 
@@ -297,10 +297,7 @@ def counts_by_state(t):
 def candidates_in_scope(t):
     """Top candidates of every label inside the schemes of one state plus the central ones."""
     ids = sync.state_scope(bridge(t), scheme_ids(t), "NATION_3").select("scheme_id")
-    asked = query_table(t)
-    labels = asked.agg(F.sort_array(F.collect_set("query_id"))).scalar()
-    scope = ids.withColumn("query_id", F.explode(labels))
-    return shown(search.retrieve(chunk_table(t), asked, scope=scope))
+    return shown(search.retrieve(chunk_table(t), query_table(t), within=ids))
 
 
 # --- synchronisation ------------------------------------------------------------------------
@@ -451,11 +448,11 @@ def subset_by_ids(t):
 
 
 @query("set1_union_with_priority", """
-    select k, min(p) as source_place from (select o_orderkey as k, cast(0 as bigint) as p from orders where o_orderstatus = 'P' union all select l_orderkey, 1 from lineitem where l_quantity > 40) group by k""")
+    select k, min(p) as source_place from (select o_orderkey as k, cast(0 as bigint) as p from orders union all select l_orderkey, 1 from lineitem union all select l_partkey, 2 from lineitem) group by k""")
 def union_with_priority(t):
-    first = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"), F.lit(0).cast("long").alias("source_place"))
-    second = t.lineitem.filter("l_quantity > 40").select(F.col("l_orderkey").alias("k"), F.lit(1).cast("long").alias("source_place"))
-    return first.unionByName(second).groupBy("k").agg(F.min("source_place").alias("source_place"))
+    tables = [t.orders.select(F.col("o_orderkey").alias("k")), t.lineitem.select(F.col("l_orderkey").alias("k")), t.lineitem.select(F.col("l_partkey").alias("k"))]
+    first, second, third = [rows.withColumn("source_place", F.lit(place).cast("long")) for place, rows in enumerate(tables)]
+    return first.unionByName(second).unionByName(third).groupBy("k").agg(F.min("source_place").alias("source_place"))
 
 
 @query("set2_difference", "select doc_id from documents except select doc_id from labels")

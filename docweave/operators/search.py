@@ -13,7 +13,7 @@ from docweave import fixed
 MAX_QUERIES = 4096        # query vectors held by every task; more go through the grid
 MAX_CATEGORIES = 1024
 GRID_CHUNKS = 50_000      # chunk vectors of one grid cell
-_HITS = "query_id long, chunk_id long, scheme_id long, score double"
+QUERY_BLOCK = 256         # query vectors of one matrix product: 10,000 chunks of a batch make 20 MB of scores
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
@@ -32,15 +32,22 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
 
 def classify_vectors(df: DataFrame, vector: str, centroids: DataFrame, key: str, centroid: str,
                      thresholds: dict[str, float] | None = None) -> DataFrame:
-    """Nearest centroid by dot product; ties go to the smallest category, flag by its threshold."""
+    """Nearest centroid by dot product; ties go to the smallest category, flag by its threshold.
+
+    A null vector, or one of another width than the centroids', has no category and is not confident.
+    """
     rows = sorted(bounded_rows(centroids.select(key, centroid), MAX_CATEGORIES, "categories"), key=lambda r: r[0])
     names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype="float64")
 
     @F.pandas_udf("best long, score double")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
-        scores = np.stack(vectors.to_numpy()).astype("float64") @ matrix.T
-        best = scores.argmax(axis=1)
-        return pd.DataFrame({"best": best, "score": scores[np.arange(len(best)), best]})
+        out = pd.DataFrame({"best": pd.array([None] * len(vectors), dtype="Int64"), "score": np.nan})
+        usable = [v is not None and len(v) == matrix.shape[1] for v in vectors]
+        if any(usable):
+            scores = np.stack(vectors[usable].to_numpy()).astype("float64") @ matrix.T
+            best = scores.argmax(axis=1)
+            out.loc[usable, "best"], out.loc[usable, "score"] = best, scores[np.arange(len(best)), best]
+        return out
 
     limit = F.lit(fixed.CONFIDENCE_THRESHOLD)
     for name, value in (thresholds or {}).items():
@@ -49,117 +56,137 @@ def classify_vectors(df: DataFrame, vector: str, centroids: DataFrame, key: str,
     return (
         df.withColumn("_near", nearest(vector))
         .withColumn("category", F.get(listed, F.col("_near.best").cast("int")))
-        .withColumn("score", F.col("_near.score"))
-        .withColumn("confident", F.col("score") >= limit)
+        .withColumn("score", F.when(F.col("_near.best").isNotNull(), F.col("_near.score")))
+        .withColumn("confident", F.coalesce(F.col("score") >= limit, F.lit(False)))
         .drop("_near")
     )
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, schemes: np.ndarray, query_ids: np.ndarray, keep: int) -> pd.DataFrame:
-    """Top ``keep`` finite scores per query column, ties by id."""
-    parts = []
-    for column, query_id in enumerate(query_ids):
-        values = scores[:, column]
-        usable = np.flatnonzero(np.isfinite(values))
-        if len(usable) > keep:
-            floor = np.partition(values[usable], len(usable) - keep)[len(usable) - keep]
-            usable = usable[values[usable] >= floor]
-        order = usable[np.lexsort((ids[usable], -values[usable]))][:keep]
-        parts.append(pd.DataFrame({"query_id": query_id, "chunk_id": ids[order], "scheme_id": schemes[order], "score": values[order]}))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["query_id", "chunk_id", "scheme_id", "score"])
+_ASK = ["query_id", "turn", "query_vector", "query_state"]
+_HITS = "query_id long, turn int, chunk_id long, scheme_id long, score double"
 
 
-def _scores(batch: pd.DataFrame, query_ids, matrix, states) -> np.ndarray:
+def _masked(batch: pd.DataFrame, asks: pd.DataFrame) -> np.ndarray:
+    """Scores (2 cos - 1 on unit vectors) of all chunks for all asks; what an ask may not see is -inf."""
+    matrix = np.stack(asks["query_vector"].to_numpy()).astype("float64")
     scores = 2.0 * (np.stack(batch["embedding"].to_numpy()).astype("float64") @ matrix.T) - 1.0
-    filtered = np.array([s is not None for s in states])
+    filtered = asks["query_state"].notna().to_numpy()
     if filtered.any():
-        same = batch["state"].to_numpy(dtype=object)[:, None] == np.array(states, dtype=object)[None, :]
-        scores = np.where(filtered[None, :] & ~same, -np.inf, scores)
+        same = batch["state"].to_numpy(dtype=object)[:, None] == asks["query_state"].to_numpy(dtype=object)[None, :]
+        scores[filtered[None, :] & ~same] = -np.inf
     if "allowed" in batch.columns:
-        inside = np.array([np.isin(query_ids, a) for a in batch["allowed"]])
-        scores = np.where(inside, scores, -np.inf)
+        flat = np.concatenate(batch["allowed"].to_numpy())
+        rows = np.repeat(np.arange(len(batch)), [len(a) for a in batch["allowed"]])
+        inside = np.zeros(scores.shape, dtype=bool)
+        ids = asks["query_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        lo, hi = np.searchsorted(ids[order], flat, "left"), np.searchsorted(ids[order], flat, "right")
+        for shift in range(int((hi - lo).max(initial=0))):  # one ask a query, or two with a fallback
+            at = lo + shift < hi
+            inside[rows[at], order[(lo + shift)[at]]] = True
+        scores[~inside] = -np.inf
     return scores
 
 
-def _keep_best(query_ids, matrix, states, keep: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _keep_best(asks: pd.DataFrame, keep: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The ``keep`` best chunks of each ask over all batches, ties by id; asks are taken in blocks."""
+
+    def best(batch: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        ids, schemes = batch["chunk_id"].to_numpy(), batch["scheme_id"].to_numpy()
+        for at in range(0, len(asks), QUERY_BLOCK):
+            block = asks.iloc[at:at + QUERY_BLOCK]
+            scores = _masked(batch, block)
+            for column, (query_id, turn) in enumerate(zip(block["query_id"], block["turn"])):
+                values = scores[:, column]
+                usable = np.flatnonzero(np.isfinite(values))
+                if len(usable) > keep:
+                    floor = np.partition(values[usable], len(usable) - keep)[len(usable) - keep]
+                    usable = usable[values[usable] >= floor]
+                order = usable[np.lexsort((ids[usable], -values[usable]))][:keep]
+                parts.append(pd.DataFrame({"query_id": query_id, "turn": turn, "chunk_id": ids[order], "scheme_id": schemes[order], "score": values[order]}))
+        return pd.concat(parts, ignore_index=True).astype({"turn": "int32"})
+
     def run(batches):
         held = None
         for batch in batches:
             if not len(batch):
                 continue
-            found = _best(_scores(batch, query_ids, matrix, states), batch["chunk_id"].to_numpy(),
-                          batch["scheme_id"].to_numpy(), query_ids, keep)
+            found = best(batch)
             both = found if held is None else pd.concat([held, found], ignore_index=True)
-            both = both.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
-            held = both.groupby("query_id", sort=False).head(keep)
+            both = both.sort_values(["query_id", "turn", "score", "chunk_id"], ascending=[True, True, False, True])
+            held = both.groupby(["query_id", "turn"], sort=False).head(keep)
         if held is not None:
             yield held
 
     return run
 
 
-def _blocks(n: int) -> Column:
+def _every(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
-def _grid(chunks: DataFrame, queries: DataFrame, keep: int, n_queries: int, block: int, cell: int) -> DataFrame:
-    """Many queries: every (query block, chunk block) cell is one bounded task and returns its top rows."""
-    query_blocks = -(-n_queries // block)
-    chunk_blocks = max(1, -(-chunks.count() // cell))
-    left = chunks.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_blocks).cast("long"))).withColumn(
-        "_q", F.explode(_blocks(query_blocks)))
-    right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks).cast("long"))).withColumn(
-        "_c", F.explode(_blocks(chunk_blocks)))
-
-    def cell_hits(chunk_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(chunk_rows) or not len(query_rows):
-            return pd.DataFrame(columns=["query_id", "chunk_id", "scheme_id", "score"])
-        query_ids = query_rows["query_id"].to_numpy()
-        matrix = np.stack(query_rows["query_vector"].to_numpy()).astype("float64")
-        return next(_keep_best(query_ids, matrix, list(query_rows["query_state"]), keep)(iter([chunk_rows])))
-
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(cell_hits, _HITS)
-
-
-def top_chunks(chunks: DataFrame, queries: DataFrame, keep: int, scope: DataFrame | None = None,
+def top_chunks(chunks: DataFrame, queries: DataFrame, keep: int, scope: DataFrame | None = None, fallback: bool = False,
                max_queries: int = MAX_QUERIES, cell: int = GRID_CHUNKS) -> DataFrame:
     """Ranked hits per query (score = 2 cos - 1 on unit vectors), at most ``keep`` each.
 
-    ``chunks``: chunk_id, scheme_id, state, embedding. ``queries``: query_id, query_vector, query_state
-    (null = no filter). ``scope``: allowed (query_id, scheme_id) pairs, applied before scoring.
+    ``chunks``: chunk_id, scheme_id, state, embedding; chunks without an embedding, or one of another width than the
+    queries', take no part. ``queries``: query_id, query_vector, query_state (null = no filter). ``scope``: allowed
+    (query_id, scheme_id) pairs, applied before scoring. With ``fallback`` a filtered query that hits nothing gets
+    its unfiltered hits; both are found in one pass over the chunks.
+
+    Up to ``max_queries`` query vectors are sent to every task. More are cut into blocks, and each pair of a query
+    block and a chunk block is a bounded task. The ids allowed to see a scheme are gathered per query block.
     """
-    needed = chunks.select("chunk_id", "scheme_id", "state", "embedding")
-    asked = queries.select("query_id", "query_vector", "query_state")
+    asks = queries.select("query_id", F.lit(0).alias("turn"), "query_vector", "query_state")
+    if fallback:
+        asks = asks.unionByName(asks.filter("query_state is not null").withColumns({"turn": F.lit(1), "query_state": F.lit(None).cast("string")}))
+    rows = asks.take(max_queries + 1)
+    if not rows:
+        return chunks.sparkSession.createDataFrame([], f"{_HITS}, rank long").drop("turn")
+    width = len(rows[0]["query_vector"])
+    needed = chunks.select("chunk_id", "scheme_id", "state", "embedding").filter(F.size("embedding") == width)
+    blocks = 1 if len(rows) <= max_queries else -(-asks.count() // max_queries)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long")).alias("_q")
     if scope is not None:
-        allowed = scope.groupBy("scheme_id").agg(F.collect_set("query_id").alias("allowed"))
+        allowed = scope.groupBy("scheme_id", block).agg(F.collect_set("query_id").alias("allowed"))
         needed = needed.join(allowed, "scheme_id")
-    rows = asked.take(max_queries + 1)
-    if len(rows) <= max_queries:
-        if not rows:
-            hits = chunks.sparkSession.createDataFrame([], _HITS)
-        else:
-            ids = np.array([r[0] for r in rows])
-            matrix = np.array([r[1] for r in rows], dtype="float64")
-            hits = needed.mapInPandas(_keep_best(ids, matrix, [r[2] for r in rows], keep), _HITS)
+    if blocks == 1:
+        hits = needed.drop("_q").mapInPandas(_keep_best(pd.DataFrame([tuple(r) for r in rows], columns=_ASK), keep), _HITS)
     else:
-        hits = _grid(needed, asked, keep, asked.count(), max_queries, cell)
-    ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(ranked).cast("long")).filter(F.col("rank") <= keep)
-
-
-def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 5, scope: DataFrame | None = None,
-             fallback: bool = True, **limits) -> DataFrame:
+        parts = max(1, -(-chunks.count() // cell))
+        left = needed if scope is not None else needed.withColumn("_q", F.explode(_every(blocks)))
+        left = left.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(parts).cast("long")))
+        right = asks.select(*_ASK, block).withColumn("_c", F.explode(_every(parts)))
+
+        def cell_hits(chunk_rows: pd.DataFrame, ask_rows: pd.DataFrame) -> pd.DataFrame:
+            if not len(chunk_rows) or not len(ask_rows):
+                return pd.DataFrame(columns=[c.split()[0] for c in _HITS.split(", ")])
+            return next(_keep_best(ask_rows, keep)(iter([chunk_rows])))
+
+        hits = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(cell_hits, _HITS)
+    ranked = W.partitionBy("query_id", "turn").orderBy(F.desc("score"), "chunk_id")
+    best = hits.withColumn("rank", F.row_number().over(ranked).cast("long")).filter(F.col("rank") <= keep)
+    if fallback:
+        best = best.withColumn("_first", F.min("turn").over(W.partitionBy("query_id"))).filter(F.col("turn") == F.col("_first")).drop("_first")
+    return best.drop("turn")
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 5, scope: DataFrame | None = None, within: DataFrame | None = None,
+             documents: DataFrame | None = None, fallback: bool = True, **limits) -> DataFrame:
     """Best schemes per query: over-fetch chunks (2k, 6k in a scope), keep the best chunk of each scheme.
 
-    A state-filtered query without any hit is searched again without its filter, never in a scope.
+    ``scope`` restricts each query to its own schemes, ``within`` (scheme_id) all queries to the same ones. A
+    state-filtered query without any hit is searched again without its filter, never in a scope. ``documents``
+    (scheme_id and what is to be shown) is joined before the cut to k, so schemes without one leave no gap.
     """
-    fetch = top_k * (6 if scope is not None else 2)
-    hits = top_chunks(chunks, queries, fetch, scope, **limits)
-    if fallback and scope is None:
-        missed = queries.filter(F.col("query_state").isNotNull()).join(hits.select("query_id").distinct(), "query_id", "left_anti")
-        again = missed.withColumn("query_state", F.lit(None).cast("string"))
-        hits = hits.unionByName(top_chunks(chunks, again, fetch, None, **limits))
+    scoped = scope is not None or within is not None
+    if within is not None:
+        chunks = chunks.join(within.select("scheme_id"), "scheme_id", "left_semi")
+    hits = top_chunks(chunks, queries, top_k * (6 if scoped else 2), scope, fallback and not scoped, **limits)
     best = hits.groupBy("query_id", "scheme_id").agg(F.min(F.struct("rank", "chunk_id", "score")).alias("b")).select("query_id", "scheme_id", "b.*")
+    if documents is not None:
+        best = best.join(documents, "scheme_id")
     place = W.partitionBy("query_id").orderBy("rank")
     return best.withColumn("place", F.row_number().over(place).cast("long")).filter(F.col("place") <= top_k)
 

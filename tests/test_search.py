@@ -54,6 +54,39 @@ def test_scope(spark):
     assert sorted(map(tuple, got.collect())) == brute(c, q, 3, set(pairs))
 
 
+def test_scope_in_the_grid_and_for_all(spark):
+    chunks, queries, c, q = tables(spark)
+    pairs = [(qi, s) for qi in range(12) for s in range(100) if (s + qi) % 7 == 0]
+    scope = spark.createDataFrame(pairs, "query_id long, scheme_id long")
+    got = search.retrieve(chunks, queries, 3, scope, max_queries=5, cell=80).select("query_id", "place", "scheme_id")
+    assert sorted(map(tuple, got.collect())) == brute(c, q, 3, set(pairs))
+    within = spark.range(0, 100, 3).withColumnRenamed("id", "scheme_id")
+    got = search.retrieve(chunks, queries, 3, within=within).select("query_id", "place", "scheme_id")
+    assert sorted(map(tuple, got.collect())) == brute(c, q, 3, {(i, s) for i in range(12) for s in range(0, 100, 3)})
+
+
+def test_missing_documents_and_vectors(spark):
+    """Schemes without a document leave no gap; chunks not embedded yet, or wrongly, take no part."""
+    chunks, queries, c, q = tables(spark)
+    odd = spark.createDataFrame([(900, 900, "1", None), (901, 901, "1", [1.0])], chunks.schema)
+    full = search.retrieve(chunks.union(odd), queries, 12, fallback=False).select("query_id", "place", "scheme_id")
+    assert sorted(map(tuple, full.collect())) == brute(c, q, 12, fallback=False)
+    ranked = {}
+    for query, _, scheme in brute(c, q, 12):
+        ranked.setdefault(query, []).append(scheme)
+    gone = {s for schemes in ranked.values() for s in schemes[:2]}
+    docs = spark.range(100).filter(~F.col("id").isin(*gone)).select(F.col("id").alias("scheme_id"), F.lit("x").alias("title"))
+    got = {}
+    for r in search.retrieve(chunks, queries, 12, documents=docs).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append(r.scheme_id)
+    want = {query: [s for s in schemes if s not in gone] for query, schemes in ranked.items()}
+    assert all(got.get(query, [])[: len(left)] == left for query, left in want.items())
+    centres = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "k string, c array<double>")
+    vectors_ = spark.createDataFrame([(1, [0.9, 0.1]), (2, None), (3, [1.0])], "id long, v array<double>")
+    near = {r.id: (r.category, r.confident) for r in search.classify_vectors(vectors_, "v", centres, "k", "c").collect()}
+    assert near == {1: ("a", True), 2: (None, False), 3: (None, False)}
+
+
 def test_category_limit_is_an_error(spark):
     import pytest
 
