@@ -1,13 +1,17 @@
-"""Names inside texts: containment as an equi-join on one rare gram per name, then verification."""
+"""Names inside texts: one scan with an automaton of all names, or an equi-join on one rare gram per name."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docweave import fixed
 from docweave.functions import text as tx
 
-MAX_BROADCAST_NEEDLES = 500_000   # anchors are two longs per needle: about 16 MB at this bound
+MAX_SCAN_NEEDLES = 20_000         # names sent to every task as one automaton: about 100 MB at this bound
 WORD_SIZES = [1, 2, 3, 4]         # words per gram
 CHAR_SIZES = [4, 5, 6, 7, 8]      # characters per gram; needles have at least four
 
@@ -31,13 +35,68 @@ def _own_grams(units: Column, sizes: list[int]) -> Column:
     return chosen
 
 
-def contained_pairs(haystacks: DataFrame, needles: DataFrame, whole_words: bool) -> DataFrame:
+def contained_lists(haystacks: DataFrame, needles: DataFrame, whole_words: bool, most: int = MAX_SCAN_NEEDLES) -> DataFrame:
+    """hay_id and found, an array of (needle_id, needle), for every hay text with needles in it; exact.
+
+    ``haystacks``: hay_id, hay. ``needles``: needle_id, needle (normalised, at least four characters); nulls are left
+    out. Up to ``most`` needles, counted first, make one automaton that runs over each text in its row: the texts are
+    read once and never moved. More needles are found by ``gram_pairs``.
+    """
+    known = needles.select("needle_id", "needle").filter("needle <> ''")
+    rows = known.take(most + 1)
+    if len(rows) > most:
+        pairs = gram_pairs(haystacks, known, whole_words)
+        return pairs.groupBy("hay_id").agg(F.collect_list(F.struct("needle_id", "needle")).alias("found"))
+    by_form: dict[str, list] = {}
+    for needle_id, needle in rows:
+        by_form.setdefault(needle, []).append(needle_id)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for form in by_form:
+            automaton.add_word(form, form)
+        if by_form:
+            automaton.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for hay_id, hay in zip(batch["hay_id"], batch["hay"]):
+                if not by_form or not hay:
+                    continue
+                forms = {form for end, form in automaton.iter(hay)
+                         if not whole_words or not (_joins(hay, end - len(form)) or _joins(hay, end + 1))}
+                if forms:
+                    ids.append(hay_id)
+                    found.append([{"needle_id": i, "needle": form} for form in forms for i in by_form[form]])
+            yield pd.DataFrame({"hay_id": ids, "found": found})
+
+    types = dict(haystacks.dtypes)["hay_id"], dict(needles.dtypes)["needle_id"]
+    return haystacks.select("hay_id", "hay").mapInPandas(
+        scan, f"hay_id {types[0]}, found array<struct<needle_id:{types[1]},needle:string>>")
+
+
+def _joins(text: str, at: int) -> bool:
+    """Whether the character belongs to a word: letters, digits, marks, connectors and joiners."""
+    if not 0 <= at < len(text):
+        return False
+    c = text[at]
+    return c.isalnum() or unicodedata.category(c) in ("Mn", "Mc", "Me", "Pc", "Nl") or c in "\u200c\u200d"
+
+
+def contained_pairs(haystacks: DataFrame, needles: DataFrame, whole_words: bool, most: int = MAX_SCAN_NEEDLES) -> DataFrame:
+    """(hay_id, needle_id, needle) of ``contained_lists``."""
+    lists = contained_lists(haystacks, needles, whole_words, most)
+    return lists.select("hay_id", F.explode("found").alias("f")).select("hay_id", "f.*")
+
+
+def gram_pairs(haystacks: DataFrame, needles: DataFrame, whole_words: bool) -> DataFrame:
     """(hay_id, needle_id) pairs where the needle occurs in the hay text; exact.
 
     ``haystacks``: hay_id, hay. ``needles``: needle_id, needle (normalised, at least four characters).
     Each needle is represented by its rarest gram among all needles (four words, or eight characters),
     so a phrase shared by many needles does not become a hot join key. Only ids and gram hashes are
-    exploded and joined; the texts are fetched for the candidates alone.
+    exploded and joined; the texts are fetched for the candidates alone, by one shuffle.
     """
     sizes = WORD_SIZES if whole_words else CHAR_SIZES
 
@@ -45,16 +104,11 @@ def contained_pairs(haystacks: DataFrame, needles: DataFrame, whole_words: bool)
         return _words(F.col(col)) if whole_words else F.split(col, "")
 
     grams = tx.let(units("needle"), lambda u: _own_grams(u, sizes))
-    # At most one row per gram size: texts are cut only into the sizes that needles really use.
-    longest = F.greatest(F.least(F.size(units("needle")), F.lit(sizes[-1])), F.lit(sizes[0]))
-    used = sorted(r[0] for r in needles.select(longest.alias("n")).distinct().collect())
-    hay_grams = tx.let(units("hay"), lambda u: F.flatten(F.array(*[_grams(u, n) for n in used or sizes])))
+    hay_grams = tx.let(units("hay"), lambda u: F.array_distinct(F.flatten(F.array(*[_grams(u, n) for n in sizes]))))
     exploded = needles.select("needle_id", F.posexplode(grams).alias("pos", "gram"))
     frequency = exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     anchors = exploded.join(frequency, "gram").groupBy("needle_id").agg(F.min_by("gram", F.struct("n", "pos")).alias("gram"))
-    if needles.select("needle_id").limit(MAX_BROADCAST_NEEDLES + 1).count() <= MAX_BROADCAST_NEEDLES:
-        anchors = F.broadcast(anchors)
-    seen = haystacks.select("hay_id", F.explode(F.array_distinct(hay_grams)).alias("gram"))
+    seen = haystacks.select("hay_id", F.explode(hay_grams).alias("gram"))
     candidates = seen.join(anchors, "gram").select("hay_id", "needle_id").distinct()
     texts = candidates.join(haystacks.select("hay_id", "hay"), "hay_id").join(needles.select("needle_id", "needle"), "needle_id")
     found = F.contains(F.col("hay"), F.col("needle"))
@@ -78,17 +132,16 @@ def mentioned_names(texts: DataFrame, names: DataFrame, limit: int = 3, generic:
     """
     known = usable_names(names, generic).withColumnRenamed("name_id", "needle_id")
     hay = texts.select(F.col("text_id").alias("hay_id"), tx.match_form(F.col("text")).alias("hay"))
-    found = contained_pairs(hay, known.select("needle_id", "needle"), whole_words=True)
-    order = F.sort_array(F.collect_list(F.struct((-F.length("needle")).alias("o"), F.col("needle_id"), F.col("needle"))))
+    per_text = contained_lists(hay, known.select("needle_id", "needle"), whole_words=True)
+    order = F.sort_array(F.transform("found", lambda f: F.struct((-F.length(f["needle"])).alias("o"), f["needle_id"].alias("needle_id"), f["needle"].alias("needle"))))
 
     def keep(kept: Column, x: Column) -> Column:
         inside = F.exists(kept, lambda k: F.contains(k["needle"], x["needle"]) | (k["needle_id"] == x["needle_id"]))
         return F.when(inside, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kind = dict(found.dtypes)["needle_id"]
+    kind = dict(known.dtypes)["needle_id"]
     start = F.array().cast(f"array<struct<o:int,needle_id:{kind},needle:string>>")
-    per_text = found.groupBy("hay_id").agg(order.alias("found"))
-    kept = per_text.select("hay_id", F.slice(F.aggregate("found", start, keep), 1, limit).alias("kept"))
+    kept = per_text.select("hay_id", F.slice(F.aggregate(order, start, keep), 1, limit).alias("kept"))
     return kept.select(F.col("hay_id").alias("text_id"), F.posexplode("kept").alias("place", "k")).select(
         "text_id", F.col("place").cast("long").alias("place"), F.col("k.needle_id").alias("name_id"), F.col("k.needle").alias("name_form"))
 
@@ -119,14 +172,18 @@ def lookup_names(targets: DataFrame, names: DataFrame, limit: int = 2) -> DataFr
 def guard_answers(answers: DataFrame, hits: DataFrame, decline: str) -> DataFrame:
     """An answer must name a retrieved scheme, else it is replaced, unsourced and of low confidence.
 
-    ``answers``: query_id, answer, confidence. ``hits``: query_id, scheme_id, name (top-k per query).
+    ``answers``: query_id, answer, confidence. ``hits``: query_id, scheme_id, name (top-k per query, so a list of k).
+    The answers are moved by one join; names are looked for inside the row.
     """
-    said = answers.select("query_id", tx.match_form(F.col("answer")).alias("said"))
-    named = hits.withColumn("form", tx.match_form(F.col("name"))).filter(F.length("form") >= fixed.MIN_NAME_CHARS)
-    cited = said.join(named, "query_id").filter(F.contains(F.col("said"), F.col("form"))).groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_cited"), F.min("scheme_id").alias("first_cited"))
+    forms = hits.select("query_id", F.struct("scheme_id", tx.match_form(F.col("name")).alias("form")).alias("hit")).filter(
+        F.length("hit.form") >= fixed.MIN_NAME_CHARS)
+    listed = forms.groupBy("query_id").agg(F.collect_list("hit").alias("_hits"))
+    cited = F.filter("_hits", lambda h: F.contains(F.col("_said"), h["form"]))
+    judged = answers.join(listed, "query_id", "left").withColumn("_said", F.when(F.col("_hits").isNotNull(), tx.match_form(F.col("answer"))))
+    judged = judged.withColumn("_cited", cited).withColumns({
+        "n_cited": F.when(F.size("_cited") > 0, F.size("_cited").cast("long")), "first_cited": F.array_min(F.transform("_cited", lambda h: h["scheme_id"]))})
     good = F.col("n_cited").isNotNull()
-    return answers.join(cited, "query_id", "left").select(
+    return judged.select(
         "query_id", F.when(good, F.col("answer")).otherwise(F.lit(decline)).alias("answer"),
         F.when(good, F.col("confidence")).otherwise(F.lit("low")).alias("confidence"),
         F.coalesce("n_cited", F.lit(0)).alias("n_cited"), "first_cited")

@@ -98,6 +98,19 @@ def test_category_limit_is_an_error(spark):
 WORDS = "amma two wheeler scheme for working women post matric scholarship pension plan of kerala new grant".split()
 
 
+def test_automaton_and_grams_agree(spark):
+    rng = random.Random(6)
+    alphabet = ["two", "wheeler", "योजना", "पेंशन", "a_b", "x", "-", "é", "plan", "plans"]
+    names = [(i, rng.choice([" ", "-"]).join(rng.choices(alphabet, k=rng.randint(1, 4)))) for i in range(80)]
+    names = [(i, n) for i, n in names if len(n) >= 4] + [(900, None)]
+    texts = [(i, rng.choice(["", " "]).join(rng.choices(alphabet + [" "], k=25))) for i in range(120)] + [(900, None), (901, "")]
+    hay, needles = spark.createDataFrame(texts, "hay_id long, hay string"), spark.createDataFrame(names, "needle_id long, needle string")
+    for whole in (True, False):
+        one = mentions.contained_pairs(hay, needles, whole).select("hay_id", "needle_id", "needle")
+        other = mentions.contained_pairs(hay, needles, whole, most=3).select("hay_id", "needle_id", "needle")
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) != []
+
+
 def test_mentions_match_brute_force(spark):
     rng = random.Random(1)
     names = [(i, " ".join(rng.choices(WORDS, k=rng.randint(1, 5)))) for i in range(60)]
