@@ -69,7 +69,7 @@ def contained_lists(haystacks: DataFrame, needles: DataFrame, whole_words: bool,
                 if forms:
                     ids.append(hay_id)
                     found.append([{"needle_id": i, "needle": form} for form in forms for i in by_form[form]])
-            yield pd.DataFrame({"hay_id": ids, "found": found})
+            yield pd.DataFrame({"hay_id": pd.Series(ids, dtype=batch["hay_id"].dtype), "found": pd.Series(found, dtype=object)})
 
     types = dict(haystacks.dtypes)["hay_id"], dict(needles.dtypes)["needle_id"]
     return haystacks.select("hay_id", "hay").mapInPandas(
