@@ -9,6 +9,9 @@ from docweave.catalog.registry import query
 from docweave.functions import text as tx
 from docweave.operators import dedup, profile
 
+_SQL_ABBREVIATIONS = f"'{fixed.ABBREVIATIONS}'"
+
+
 def _pages():
     """Pages are not part of the tables: 3,000 characters count as one."""
     return F.ceil(F.length("text") / 3000)
@@ -200,12 +203,15 @@ def name_markers(t):
 
 
 # --- text repair ----------------------------------------------------------------------------
-@query("txt1_mojibake_repair")
+@query("txt1_mojibake_repair", "select doc_id, case when regexp_matches(text, '[ÁÍÏÐÝà]') then null else sha256(text) end as digest from documents")
 def mojibake(t):
-    """Every document misread as Windows-1252 and repaired; rows that do not come back are counted."""
-    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    rows = t.documents.select("doc_id", (tx.repair_mojibake(broken) == F.col("text")).alias("restored"))
-    return rows.groupBy("restored").agg(F.count(F.lit(1)).alias("documents"))
+    """Every document misread as Windows-1252 and repaired: what comes back is the text itself.
+
+    Lost are letters with a byte that Windows-1252 does not have, or reads as a space; such texts have no digest."""
+    marks = [(chr(code), name) for code in range(0x80, 0xA0) if (name := bytes([code]).decode("cp1252", "ignore"))]
+    read = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), "".join(a for a, _ in marks), "".join(b for _, b in marks))
+    repaired = tx.repair_mojibake(read)
+    return t.documents.select("doc_id", F.when(repaired == F.col("text"), F.sha2(repaired, 256)).alias("digest"))
 
 
 CLEAN = r"trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F\x{200B}\x{FEFF}]', '', 'g'), '\s+', ' ', 'g'))"
@@ -386,13 +392,24 @@ def cache_key(t):
     return t.conversations.select("conv_id", "turn", tx.cache_key(nfkc(F.col("text")), F.lit("en"), pill).alias("key"))
 
 
-@query("txt19_sentence_chunks")
+@query("txt19_sentence_chunks", rf"""
+    with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+    s as (select doc_id, i, line, case when length(line) <= {fixed.MAX_SENTENCE_CHUNK} then [line] else
+        string_split(regexp_replace(line, '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)) end as p from l),
+    f as (select doc_id, i, p, 1 as k, p[1] as cur, [] :: varchar[] as done from s
+        union all select doc_id, i, p, k + 1, case when cur <> '' and length(cur) + length(p[k + 1]) + 1 > {fixed.MAX_SENTENCE_CHUNK} then p[k + 1] else trim(cur || ' ' || p[k + 1]) end,
+          case when cur <> '' and length(cur) + length(p[k + 1]) + 1 > {fixed.MAX_SENTENCE_CHUNK} then list_append(done, cur) else done end from f where k < len(p)),
+    c as (select doc_id, flatten(list(list_append(done, cur) order by i)) as c from f where k = len(p) group by doc_id)
+    select doc_id, unnest(c) as chunk, generate_subscripts(c, 1) - 1 as pos from c""")
 def sentence_chunks(t):
     parts = t.documents.select("doc_id", F.posexplode(tx.sentence_chunks(F.col("text"))).alias("pos", "chunk"))
     return parts.select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 
-@query("txt19_sentences")
+@query("txt19_sentences", rf"""
+    with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
+    p as (select doc_id, line_no, string_split(regexp_replace(line, '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)) as p from l)
+    select doc_id, line_no, len(p) - len(list_filter(p[:-2], lambda x: regexp_matches(x, {_SQL_ABBREVIATIONS}))) as sentences from p""")
 def sentence_rows(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.size(tx.sentences(F.col("line"))).cast("long").alias("sentences"))

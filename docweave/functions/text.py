@@ -381,10 +381,11 @@ DATE_FORMATS = ["d MMM yyyy", "d MMMM yyyy", "d-M-yyyy", "d/M/yyyy"]  # fixed va
 
 
 def parse_date(col: Column) -> Column:
-    """UTC timestamp of an ISO text, epoch number (seconds or milliseconds) or day-month-year text."""
+    """UTC timestamp of an ISO text, epoch number (seconds or milliseconds) or day-month-year text; 8 digits are a date."""
     text = F.trim(col)
+    date = F.when(F.rlike(text, F.lit(r"^(19|20)\d{6}$")), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
     number = F.when(F.rlike(text, F.lit(r"^-?\d+(\.\d+)?$")), text.cast("double"))
     epoch = F.timestamp_seconds(F.when(number > 1e11, number / 1000).otherwise(number))
     iso = F.when(F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}")), F.try_to_timestamp(text))
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
-    return F.coalesce(epoch, iso, *tries)
+    return F.coalesce(date, epoch, iso, *tries)

@@ -82,11 +82,11 @@ def maintenance_plan(descriptions: DataFrame, stored_ids: DataFrame) -> DataFram
 
 
 def upsert_latest(stored: DataFrame | None, batch: DataFrame, keys: list[str], value: str, at: str) -> DataFrame:
-    """Keyed upsert: created_at is set once, the value with the latest time wins."""
+    """Keyed upsert: created_at is set once, the value with the latest time wins, of equal times the greatest value."""
     fresh = batch.groupBy(*keys).agg(
-        F.min(at).alias("created_at"), F.max(at).alias("updated_at"), F.max_by(value, at).alias(value))
+        F.min(at).alias("created_at"), F.max(at).alias("updated_at"), F.max_by(value, F.struct(at, value)).alias(value))
     if stored is None:
         return fresh
     both = stored.unionByName(fresh)
     return both.groupBy(*keys).agg(
-        F.min("created_at").alias("created_at"), F.max_by(value, "updated_at").alias(value), F.max("updated_at").alias("updated_at"))
+        F.min("created_at").alias("created_at"), F.max_by(value, F.struct("updated_at", value)).alias(value), F.max("updated_at").alias("updated_at"))

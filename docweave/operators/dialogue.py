@@ -27,8 +27,9 @@ def carry_profile(turns: DataFrame, keys: list[str], order: list[str], fields: l
 
 
 def cache_state(stored: DataFrame, key: list[str], now: Column, ttl: int = fixed.CACHE_TTL_SECONDS, most: int = fixed.CACHE_ENTRIES) -> DataFrame:
-    """Entries a bounded cache holds at ``now``: latest per key, younger than the TTL, newest first."""
-    latest = stored.groupBy(*key).agg(F.max("t").alias("t"), F.max_by("v", "t").alias("v"))
+    """Entries a bounded cache holds at ``now``: latest per key (of equal times the greatest value), younger than the
+    TTL, newest first."""
+    latest = stored.groupBy(*key).agg(F.max("t").alias("t"), F.max_by("v", F.struct("t", "v")).alias("v"))
     fresh = latest.filter(F.unix_micros("t") > F.unix_micros(now) - ttl * 1_000_000)
     return fresh.orderBy(F.desc("t"), *key).limit(most)
 

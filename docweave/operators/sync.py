@@ -4,33 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docweave.functions import text as tx
 from docweave.operators.ordering import lookup_join
 
 
-def compare_listing(listing: DataFrame, stored: DataFrame) -> DataFrame:
-    """Class of every listed row: new, updated or unchanged, matched on the lower-cased name.
+def compare_listing(listing: DataFrame, stored: DataFrame, order: str = "ingested_at") -> DataFrame:
+    """Class of every listed row: new, updated or unchanged, matched on the squeezed, lower-cased name.
 
-    ``listing``: scheme_name, last_updated. ``stored``: scheme_name, ingested_at, last_synced; the first
-    stored row of a name counts, so the lookup side is unique per name.
+    ``listing``: scheme_name, last_updated. ``stored``: scheme_name, ingested_at, last_synced. Of several stored
+    rows of a name the first by ``order`` counts (nulls first, then the earlier baseline). A null name is new.
     """
-    known = stored.groupBy(F.lower("scheme_name").alias("_name")).agg(
-        F.max(F.greatest("ingested_at", "last_synced")).alias("_baseline"), F.lit(True).alias("_known"))
+    baseline = F.struct(F.greatest("ingested_at", "last_synced").alias("at"))
+    known = stored.groupBy(F.lower(tx.squeeze(F.col("scheme_name"))).alias("_name")).agg(
+        F.min_by(baseline, F.struct(order, baseline))["at"].alias("_baseline"), F.lit(True).alias("_known"))
     changed = F.col("last_updated").isNotNull() & (F.col("_baseline").isNull() | (F.col("last_updated") > F.col("_baseline")))
     status = F.when(F.col("_known").isNull(), "new").when(changed, "updated").otherwise("unchanged")
-    return listing.withColumn("_name", F.lower("scheme_name")).join(known, "_name", "left").withColumn("status", status).drop(
+    return listing.withColumn("_name", F.lower(tx.squeeze(F.col("scheme_name")))).join(known, "_name", "left").withColumn("status", status).drop(
         "_name", "_baseline", "_known")
 
 
 def merge_fields(stored: DataFrame, incoming: DataFrame, key: str, file: str, fields: list[str]) -> DataFrame:
     """Insert new names, overwrite only non-empty fields of known names, never delete.
 
-    A new name whose file already belongs to another name is reported as an error and not inserted.
+    A new name whose file already belongs to another name is reported as an error and not inserted; of several new
+    names with one file the first by name is inserted. Names without a file never clash.
     """
     old = stored.select(key, F.col(file).alias("_old_file"), *[F.col(f).alias(f"_old_{f}") for f in fields], F.lit(True).alias("_stored"))
     both = incoming.withColumn("_listed", F.lit(True)).join(old, key, "full_outer")
-    taken = stored.select(F.col(file), F.lit(True).alias("_taken")).distinct()
-    marked = both.join(taken, file, "left")
     fresh = F.col("_stored").isNull()
+    # only new names with a file ask who owns it; all others get a key of their own, so that nulls do not meet in one task
+    asks = F.when(fresh & F.col(file).isNotNull(), F.struct(F.col(file).alias("f"), F.lit(0).cast("long").alias("n"))).otherwise(
+        F.struct(F.lit(None).cast("string").alias("f"), F.xxhash64(key).alias("n")))
+    both = both.withColumn("_asks", asks)
+    taken = stored.select(F.struct(F.col(file).alias("f"), F.lit(0).cast("long").alias("n")).alias("_asks"), F.lit(True).alias("_taken")).where(
+        "_asks.f is not null").distinct()
+    first = both.where("_asks.f is not null").groupBy("_asks").agg(F.min(key).alias("_first"))
+    owners = first.join(taken, "_asks", "left")
+    marked = both.join(owners, "_asks", "left")
 
     def merged(field: str) -> Column:
         value = F.col(field)
@@ -40,7 +50,7 @@ def merge_fields(stored: DataFrame, incoming: DataFrame, key: str, file: str, fi
         return F.when(fresh, value).otherwise(F.coalesce(given, F.col(f"_old_{field}"))).alias(field)
 
     action = (
-        F.when(fresh & F.coalesce("_taken", F.lit(False)), "error")
+        F.when(fresh & (F.coalesce("_taken", F.lit(False)) | (F.col(key) != F.col("_first"))), "error")
         .when(fresh, "inserted").when(F.col("_listed"), "updated").otherwise("kept")
     )
     return marked.select(key, F.coalesce("_old_file", file).alias(file), *[merged(f) for f in fields], action.alias("action"))
@@ -83,13 +93,13 @@ def sync_report(compared: DataFrame, failed: DataFrame | None = None) -> DataFra
 
 
 def sync_status(reports: DataFrame) -> DataFrame:
-    """Last successful run, what it changed, and whether the latest run failed."""
+    """Last successful run, what it changed, and whether the latest run failed; of equal times the greater value counts."""
     good = F.col("status") != "failed"
     changed = F.col("new_schemes_added") + F.col("schemes_updated")
     return reports.agg(
         F.max(F.when(good, F.col("sync_timestamp"))).alias("last_sync"),
-        F.coalesce(F.max_by(F.when(good, changed), F.when(good, F.col("sync_timestamp"))), F.lit(0)).alias("schemes_updated_last_sync"),
-        F.coalesce(F.max_by(F.col("status"), "sync_timestamp") == "failed", F.lit(False)).alias("last_sync_failed"))
+        F.coalesce(F.max_by(F.when(good, changed), F.when(good, F.struct("sync_timestamp", changed.alias("n")))), F.lit(0)).alias("schemes_updated_last_sync"),
+        F.coalesce(F.max_by(F.col("status"), F.struct("sync_timestamp", "status")) == "failed", F.lit(False)).alias("last_sync_failed"))
 
 
 def state_scope(bridge: DataFrame, schemes: DataFrame, state: str) -> DataFrame:

@@ -18,11 +18,13 @@ def build_documents(documents: DataFrame, headings: DataFrame, terms: list[str],
     """Nested documents of (doc_id, text), with the reason when one cannot be used.
 
     ``headings``: heading, category, score, the classified vocabulary. Headings are vocabulary matches,
-    so the table has at most one row per term and travels as a literal map.
+    so only those equal to a term (case and space aside) are taken, one for each, and travel as a literal map. Of
+    several rows of a heading the one with the best score counts.
     """
-    rows = headings.select(F.lower(F.trim("heading")).alias("h"), "category", "score").take(len(terms) * 4 + 1)
-    if len(rows) > len(terms) * 4:
-        raise ValueError("more headings than vocabulary terms")
+    known = [t.strip().lower() for t in terms]
+    listed = headings.select(F.lower(F.trim("heading")).alias("h"), "category", "score").filter(F.col("h").isin(known))
+    best = listed.groupBy("h").agg(F.max(F.struct("score", "category")).alias("b")).select("h", "b.category", "b.score")
+    rows = sorted(best.collect())
     category = F.create_map(*[F.lit(x) for r in rows for x in (r["h"], r["category"])])
     score = F.create_map(*[F.lit(x) for r in rows for x in (r["h"], float(r["score"]))])
     split = documents.select("doc_id", sec.split_sections(recovered_text(F.col("text"), terms, noise), terms).alias("d")).select("doc_id", "d.*")
