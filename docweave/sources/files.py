@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from docweave import schemas
@@ -54,6 +55,32 @@ def write_valid(df: DataFrame, valid: Column, path: str, rejected: str, mode: st
     marked.filter("not _valid").drop("_valid").withColumn("logged_at", F.current_timestamp()).write.mode(mode).json(rejected)
 
 
+def write_failures(df: DataFrame, path: str) -> None:
+    """Append the rows with an error (source, error, trace) and the time to a log of failures."""
+    df.filter(F.col("error").isNotNull()).select("source", "error", "trace", F.current_timestamp().alias("logged_at")).write.mode("append").json(path)
+
+
+USAGE = "position bigint, name string, pages bigint, running_total bigint, logged_at timestamp"
+
+
+def append_usage(rows: DataFrame, order: str, path: str) -> None:
+    """Append (name, pages) of a run to the usage log, in ``order``, with the total that goes on from the log's last."""
+    from docweave.operators.ordering import global_scan
+
+    spark = rows.sparkSession
+    try:
+        before = read_usage(spark, path).agg(F.coalesce(F.max("running_total"), F.lit(0)).alias("t"), F.coalesce(F.max("position"), F.lit(0)).alias("p")).first()
+    except AnalysisException:  # no log yet
+        before = {"t": 0, "p": 0}
+    counted = global_scan(rows.select(order, "name", "pages"), [order], {"total": F.col("pages"), "place": F.lit(1)})
+    counted.select((F.col("place") + before["p"]).alias("position"), "name", "pages", (F.col("total") + before["t"]).alias("running_total"),
+                   F.current_timestamp().alias("logged_at")).write.mode("append").json(path)
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(USAGE).json(path)
+
+
 def write_profile(profiled: DataFrame, summary: DataFrame, path: str) -> None:
     """Profile rows as CSV and the summary as one JSON row."""
     profiled.write.mode("overwrite").option("header", True).csv(f"{path}/profile")

@@ -3,7 +3,7 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
-from docweave.functions import arrow, sections as sec
+from docweave.functions import arrow, sections as sec, text as tx
 from docweave.operators import chunks, sync
 from docweave.sources import files
 from docweave.streaming import jobs
@@ -26,6 +26,32 @@ def test_valid_and_rejected_sinks(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.json(f"{tmp_path}/bad").collect()) == [2, 3]
 
 
+def test_usage_goes_on(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", 3), (1, "a", 2)], "id long, name string, pages long")
+    for _ in range(2):
+        files.append_usage(rows, "id", f"{tmp_path}/usage")
+    got = files.read_usage(spark, f"{tmp_path}/usage").orderBy("position").select("name", "running_total").collect()
+    assert list(map(tuple, got)) == [("a", 2), ("b", 5), ("a", 7), ("b", 10)]
+
+
+def test_dates(value):
+    read = lambda x: str(value(tx.parse_date, x))
+    assert read("20240203") == read("2024-02-03") == "2024-02-03 00:00:00" and read("1706918400") == "2024-02-03 00:00:00"
+
+
+def test_first_stored_name_counts(spark):
+    listing = spark.createDataFrame([("A  b", "2024-06-01"), (None, "2024-06-01")], "scheme_name string, last_updated string")
+    stored = spark.createDataFrame([("a b", "2024-01-01", None), ("A B ", "2024-12-01", None)], "scheme_name string, ingested_at string, last_synced string")
+    assert [r["status"] for r in sync.compare_listing(listing, stored).orderBy("scheme_name").collect()] == ["new", "updated"]
+
+
+def test_one_owner_per_file(spark):
+    old = spark.createDataFrame([("a", "fa", "x")], "k string, f string, v string")
+    new = spark.createDataFrame([("c", "fc", "1"), ("d", "fc", "2"), ("e", None, "3"), ("g", None, "4")], "k string, f string, v string")
+    assert {r["k"]: r["action"] for r in sync.merge_fields(old, new, "k", "f", ["v"]).collect()} == {
+        "a": "kept", "c": "inserted", "d": "error", "e": "inserted", "g": "inserted"}
+
+
 def test_vocabulary_fallback(spark, tmp_path):
     (tmp_path / "full.txt").write_text("Share\n\n Benefits \n")
     (tmp_path / "empty.txt").write_text("\n \n")
