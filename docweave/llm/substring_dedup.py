@@ -6,9 +6,10 @@ string lies in exactly one phrase, and equal strings have their trigger in the s
 them. The distinct phrases are the dictionary; the documents in their order, as places of phrases, are the parse.
 
 Sorting the parse by trigger and phrase gives each phrase's first place in the corpus, which settles repetitive
-text: all later places of a phrase are repeats as a whole. What is left are suffixes of different phrases of one
-trigger; only they are sorted one by one, by a 128-bit hash of their first ``LENGTH`` bytes in place of the bytes,
-since only equality counts, and within it by corpus order.
+text: all later places of a phrase are repeats as a whole, and phrases whose trigger has no other phrase hold no
+repeats. Only suffixes of different phrases of one trigger are left. They are sorted in the same way twice more, as
+blocks of ``SUFFIXES`` neighbouring suffixes and one by one. The order is that of 128-bit hashes in place of the
+bytes, since only equality counts, and within equal ones that of the corpus.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.streaming.files import stored
-
 LENGTH = 100  # bytes of a repeated string
-GRAM = 32  # bytes of a trigger
+GRAM = 24  # bytes of a trigger
+SUFFIXES = 8  # neighbouring suffixes of a phrase that are sorted together before one by one
 PART = 2 << 20  # bytes handled at once; longer texts are cut into overlapping parts
 
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -99,94 +99,113 @@ def _parts(texts: list[bytes], order: list[int], length: int) -> Iterator[list[t
         yield held
 
 
+ROW = "key bigint, phrase bigint, doc bigint, place bigint, count int"
+_TEXT = 31  # bits of a place within its text; the checksum of the text stands above them
+
+
+def _rows(key, phrase, doc, place, count) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(doc), pa.array(place),
+                                       pa.array(count.astype(np.int32))], [c.split()[0] for c in ROW.split(", ")])
+
+
 def _phrases(length: int, gram: int):
-    """Phrases of a batch: doc, lo, hi (first and last string), trigger and phrase hash; known repeats have salted ones."""
+    """The phrases of each batch. Known repeats have a negative count, of strings, and a key of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller(length, gram)
         for batch in batches:
-            texts = [(t or "").encode() for t in batch["text"].to_pylist()]
-            ids = np.array([_MINUS if i is None else i for i in batch["doc_id"].to_pylist()], dtype=np.int64)
-            crcs = np.array([c or 0 for c in batch["crc"].to_pylist()], dtype=np.int64)
+            texts, ids = [t.encode() for t in batch["text"].to_pylist()], batch["doc"].to_numpy()
+            crcs = batch["crc"].to_numpy() << _TEXT
             for parts in _parts(texts, np.argsort(ids, kind="stable").tolist(), length):
                 doc = np.array([p[0] for p in parts])
                 froms, sizes = np.array([p[1] for p in parts]), np.array([p[2] - p[1] for p in parts])
                 roller.load(np.frombuffer(b"".join(texts[i][lo:hi] for i, lo, hi in parts), dtype=np.uint8))
                 starts = np.cumsum(sizes) - sizes
                 part = np.repeat(np.arange(len(parts)), sizes)
-                at = np.arange(len(part))
-                inside = np.flatnonzero(at + length <= (starts + sizes)[part])
+                inside = np.flatnonzero(np.arange(len(part)) + length <= (starts + sizes)[part])
                 trigger = roller.triggers()[inside]
                 new = np.r_[True, (trigger[1:] != trigger[:-1]) | (inside[1:] != inside[:-1] + 1)]
                 lo, hi = inside[new], inside[np.r_[np.flatnonzero(new)[1:] - 1, len(inside) - 1]]
                 trigger, own = trigger[new], part[lo]
                 key = roller.hashes(0, trigger, trigger + gram)
                 phrase = roller.hashes(1, lo, hi + length) + (hi - lo).astype(np.uint64)
-                rows = doc[own]
+                text = doc[own]
                 place, last = lo - starts[own] + froms[own], hi - starts[own] + froms[own]
                 # the later ones of equal phrases of this batch are repeats: their runs go as one row each
                 order = np.argsort(phrase, kind="stable")
                 same = np.r_[False, (phrase[order][1:] == phrase[order][:-1]) & (key[order][1:] == key[order][:-1])]
-                again = np.zeros(len(lo), dtype=bool)
-                again[order[same]] = True
                 leads = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-                again[order] &= (ids[rows[order]] != ids[rows[leads]]) | (place[order] > place[leads])
-                starts_run = np.r_[True, ~again[1:] | ~again[:-1] | (rows[1:] != rows[:-1])]
-                firsts = np.flatnonzero(starts_run)
-                last = last[np.r_[firsts[1:] - 1, len(lo) - 1]]
-                lo_, rows_, again_ = place[firsts], rows[firsts], again[firsts]
-                salt = _mixed(_mixed(ids[rows_].astype(np.uint64)) + lo_.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(again_, salt, key[firsts]).view(np.int64)), pa.array(np.where(again_, salt, phrase[firsts]).view(np.int64)),
-                     pa.array(ids[rows_]), pa.array(crcs[rows_]), pa.array(lo_.astype(np.int64)), pa.array(last.astype(np.int64)), pa.array(again_)],
-                    ["key", "phrase", "doc", "crc", "lo", "hi", "again"])
+                again = np.zeros(len(lo), dtype=bool)
+                again[order] = same & ((ids[text[order]] > ids[text[leads]]) | (text[order] == text[leads]) & (place[order] > place[leads]))
+                first = np.flatnonzero(np.r_[True, ~again[1:] | ~again[:-1] | (text[1:] != text[:-1])])
+                last = last[np.r_[first[1:] - 1, len(lo) - 1]]
+                key, phrase, text, place, again = key[first], phrase[first], text[first], place[first], again[first]
+                salt = _mixed(_mixed(ids[text].astype(np.uint64)) + place.astype(np.uint64))
+                count = last - place + 1
+                yield _rows(np.where(again, salt, key), np.where(again, salt, phrase), ids[text], crcs[text] + place, np.where(again, -count, count))
 
     return run
 
 
-def _strings(length: int):
-    """The strings of the open phrases of each text: 128-bit hash, doc, place."""
+def _suffixes(length: int, gram: int, together: int):
+    """The open suffixes of each text, blocks of up to ``together`` neighbours: the key is what all suffixes of a
+    full block have in common, the phrase what those of this one cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller(length, GRAM)
+        roller = Roller(length, gram)
         for batch in batches:
             for text, doc, crc, spans in zip(batch["text"], batch["doc"].to_pylist(), batch["crc"].to_pylist(), batch["spans"].to_pylist()):
                 data = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
-                for lo in range(0, len(data), PART):
-                    part = [(max(s["lo"], lo), min(s["hi"], lo + PART - 1)) for s in spans]
-                    places = np.concatenate([np.arange(a, b + 1) for a, b in part] or [np.zeros(0, np.int64)])
+                for at in range(0, len(data), PART):
+                    ends = [(max(s["lo"], at), min(s["hi"], at + PART - 1)) for s in spans]
+                    places = np.concatenate([np.arange(a, b + 1) for a, b in sorted(ends)] or [np.zeros(0, np.int64)])
                     if not len(places):
                         continue
-                    roller.load(data[lo:lo + PART + length - 1])
-                    h = [roller.hashes(k, places - lo, places - lo + length).view(np.int64) for k in range(2)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(places), doc)), pa.array(np.full(len(places), crc)), pa.array(places)],
-                        ["h0", "h1", "doc", "crc", "place"])
+                    roller.load(data[at:at + PART + length - 1])
+                    here = places - at
+                    trigger = roller.triggers()[here]
+                    back = trigger - here
+                    block = back // together
+                    new = np.r_[True, (trigger[1:] != trigger[:-1]) | (block[1:] != block[:-1]) | (here[1:] != here[:-1] + 1)]
+                    first = np.flatnonzero(new)
+                    lo, hi = here[first], here[np.r_[first[1:] - 1, len(here) - 1]]
+                    core = trigger[first] - block[first] * together
+                    key = roller.hashes(0, core, core + length - together + 1) + block[first].astype(np.uint64)
+                    phrase = roller.hashes(1, lo, hi + length) + (hi - lo).astype(np.uint64)
+                    yield _rows(key, phrase, np.full(len(lo), doc), (crc << _TEXT) + at + lo, hi - lo + 1)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc (the doc_id, the smallest bigint for null), crc (of its text) and spans, an array of lo and hi: the strings
-    of ``length`` bytes that start at lo to hi also start earlier. Texts without any are left out."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("crc", F.crc32("text"))
-    parse = texts.mapInArrow(_phrases(length, gram), "key bigint, phrase bigint, doc bigint, crc bigint, lo bigint, hi bigint, again boolean")
-    # one exchange by trigger serves both windows; a trigger has one row for each phrase and batch at most
+def _sorted(parse: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that repeat an earlier one as a whole, and rows whose key other phrases have too; both as doc, place, count.
+
+    One exchange by key serves both windows and both results. A key has at most a row for each phrase and batch."""
+    parse = parse.repartition("key")
     phrase, key = Window.partitionBy("key", "phrase"), Window.partitionBy("key")
-    ranked = parse.withColumn("first", F.min(F.struct("doc", "lo")).over(phrase)).withColumns(
+    ranked = parse.withColumn("first", F.min(F.struct("doc", "place")).over(phrase)).withColumns(
         {"few": F.min("phrase").over(key), "most": F.max("phrase").over(key)})
-    later = F.col("again") | (F.struct("doc", "lo") > F.col("first"))
-    open_ = F.col("few") != F.col("most")
-    ranked = stored(ranked.withColumn("later", later).where(later | open_).select("doc", "crc", "lo", "hi", "later"), "phrases")
-    spans = F.collect_list(F.struct("lo", "hi")).alias("spans")
-    waiting = ranked.where("not later").groupBy("doc", "crc").agg(spans)
-    named = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_MINUS)))
-    strings = named.select("doc", "crc", "text").join(waiting, ["doc", "crc"]).mapInArrow(
-        _strings(length), "h0 bigint, h1 bigint, doc bigint, crc bigint, place bigint")
-    firsts = F.min(F.struct("doc", "place")).over(Window.partitionBy("h0", "h1"))
-    repeats = strings.withColumn("first", firsts).where(F.struct("doc", "place") > F.col("first"))
-    known = ranked.where("later").select("doc", "crc", "lo", "hi")
-    return known.union(repeats.select("doc", "crc", F.col("place").alias("lo"), F.col("place").alias("hi"))).groupBy("doc", "crc").agg(spans)
+    later = (F.col("count") < 0) | (F.struct("doc", "place") > F.col("first"))
+    columns = "doc", "place", F.abs("count").alias("count")
+    return ranked.where(later).select(*columns), ranked.where(~later & (F.col("few") != F.col("most"))).select(*columns)
+
+
+def _per_text(rows: DataFrame) -> DataFrame:
+    """doc, crc and spans of every text with rows: as many as its length allows."""
+    lo = F.col("place").bitwiseAND((1 << _TEXT) - 1)
+    return rows.groupBy("doc", F.shiftright("place", _TEXT).alias("crc")).agg(
+        F.collect_list(F.struct(lo.alias("lo"), (lo + F.col("count") - 1).alias("hi"))).alias("spans"))
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc, crc and spans, an array of lo and hi: the strings of ``length`` bytes of the text that start at lo to hi
+    also start earlier. ``texts`` has doc, crc and text, none of them null. Texts without repeats are left out."""
+    known, open_ = _sorted(texts.mapInArrow(_phrases(length, gram), ROW))
+    for together in (SUFFIXES, 1):
+        waiting = texts.join(_per_text(open_), ["doc", "crc"]).select("doc", "crc", "text", "spans")
+        more, open_ = _sorted(waiting.mapInArrow(_suffixes(length, gram, together), ROW))
+        known = known.union(more)
+    return _per_text(known)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -194,12 +213,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     Every byte (UTF-8; null counts as empty) of a string of ``length`` bytes that also starts earlier goes: earlier
     is a smaller doc_id (null before all), or the same doc_id and an earlier start. Strings are judged on the input,
-    overlaps count, and no string crosses texts. Rows of one doc_id count as one document: repeated rows are equal
-    and get equal results. Empty tables stay empty; other columns are ignored.
+    overlaps count, and no string crosses texts. A row repeated with its doc_id and text is one document and gets
+    equal results; different texts of one doc_id follow one another in the order of their CRC-32. Empty tables stay
+    empty; other columns are ignored.
     """
-    spans = repeated_spans(docs, length, gram)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(
-        {"crc": F.crc32("text"), "doc": F.coalesce("doc_id", F.lit(_MINUS))})
+    # the same frame each time, so that one exchange of the texts serves all joins
+    texts = docs.select(F.coalesce("doc_id", F.lit(_MINUS)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "crc", F.crc32("text"))
+    spans = repeated_spans(texts, length, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,10 +235,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 kept = b"".join([*kept, data[end:]])
                 out.append((len(data), len(data) - len(kept), n_spans, kept))
             columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch["doc_id"]] + [pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.binary()])],
+            ids = pa.array([None if i == _MINUS else i for i in batch["doc"].to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids] + [pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.binary()])],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.join(spans, ["doc", "crc"], "left").select("doc_id", "text", "spans").mapInArrow(
+    return texts.join(spans, ["doc", "crc"], "left").select("doc", "text", "spans").mapInArrow(
         cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
