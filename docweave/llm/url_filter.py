@@ -72,12 +72,12 @@ class Cascade:
         self.levels.append((bits, held))
 
     def columns(self, df: DataFrame) -> DataFrame:
-        """``df`` with the words of every level as one-row broadcast columns: their size is that of the rules."""
+        """``df`` with the words of every level as scalar columns: their size is that of the rules."""
         if not self.levels:
             return df
         row = df.sparkSession.createDataFrame([[words for _, words in self.levels]],
                                               ", ".join(f"_level{i} array<bigint>" for i in range(len(self.levels))))
-        return df.join(F.broadcast(row))
+        return df.withColumns({c: row.select(c).scalar() for c in row.columns})
 
     def holds(self, key: Column) -> Column:
         """Whether the key is listed: it is, if the first level that does not hold it has an even number, from 1."""
