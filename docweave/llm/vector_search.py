@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.graph import sorted_groups
@@ -26,6 +26,8 @@ TREES = 12
 BITS = 64
 MISS = 0.05
 BLOCK = 2048  # rows, and queries, that one task compares at a time
+ASKED = 128  # queries of a block in one matrix product
+SHORTEST = 6  # bits of the shortest prefix but the empty one: below it, all trees together hold about every row
 ASCENT = (56, 48, 40, 32, 24, 20, 16, 12, 10, 8, 6, 4, 2)  # prefix lengths tried inside a group
 
 
@@ -101,16 +103,18 @@ def _search(trees: int, bits: int, k: int, miss: float, greatest: float):
             order = order[np.argsort(strings[order], kind="stable")]
             rows, row_ids, row_strings = vectors[order], ids[order], strings[order]
             asked = np.flatnonzero(asking)
-            found = [_one(rows, row_ids, row_strings, vectors[i], int(ids[i]), strings[i], trees, bits, k, miss, greatest) for i in asked]
-            counts = [len(f[0]) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids[asked], counts)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
-                ["query_id", "vec_id", "score"])
+            for at in range(0, len(asked), ASKED):
+                some = asked[at:at + ASKED]
+                rough = vectors[some] @ rows.T
+                found = [_one(rows, row_ids, row_strings, vectors[i], int(ids[i]), strings[i], r, trees, bits, k, miss, greatest)
+                         for i, r in zip(some, rough)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([f[0].tolist() for f in found], pa.list_(pa.int64())),
+                                                  pa.array([f[1].tolist() for f in found], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
 
     return run
 
 
-def _one(rows, ids, strings, query, own, string, trees, bits, k, miss, greatest):
+def _one(rows, ids, strings, query, own, string, rough, trees, bits, k, miss, greatest):
     norm = math.sqrt((query * query).sum())
     for length in ASCENT:
         if length <= bits:
@@ -122,14 +126,47 @@ def _one(rows, ids, strings, query, own, string, trees, bits, k, miss, greatest)
             continue
         if 2 * (b - a) > len(rows):
             break
-        near = _best(rows[a:b], ids[a:b], query, own, k, rows[a:b] @ query)
+        near = _best(rows[a:b], ids[a:b], query, own, k, rough[a:b])
         if len(near[1]) == k and settled(near[1][-1] / (norm * greatest), length, trees, miss):
             return near
-    return _best(rows, ids, query, own, k, rows @ query)
+    return _best(rows, ids, query, own, k, rough)
+
+
+def _merged(k: int):
+    """The k nearest of each query over all its cells, folded as they come; rows are sorted by query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, best, out = None, {}, []
+
+        def close() -> None:
+            if current is not None:
+                top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+                out.extend((current, rank, i, s) for rank, (i, s) in enumerate(top, 1))
+
+        for batch in batches:
+            for query, ids, scores in zip(*[batch[c].to_pylist() for c in ("query_id", "ids", "scores")]):
+                if query != current:
+                    close()
+                    current, best = query, {}
+                best.update(zip(ids, scores))
+                if len(best) > 64 * k:
+                    best = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k])
+            yield _ranked(out)
+            out = []
+        close()
+        yield _ranked(out)
+
+    return run
+
+
+def _ranked(rows: list) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))],
+                                      ["query_id", "rank", "vec_id", "score"])
 
 
 def _round(table: DataFrame, active: DataFrame, bits: int, trees: int, k: int, miss: float, greatest: float, block: int) -> DataFrame:
-    """query_id, vec_id, score: what the active queries find in all groups of one prefix length."""
+    """query_id, rank, vec_id, score: the nearest rows that the active queries find in all groups of one prefix length."""
     trees = trees if bits else 1  # without a prefix all trees hold the same rows
 
     def strung(df: DataFrame, column: str) -> DataFrame:
@@ -147,8 +184,10 @@ def _round(table: DataFrame, active: DataFrame, bits: int, trees: int, k: int, m
     dealt = rows.join(blocks, group).withColumn("block", mine("blocks")).withColumn("ask", spread("askers")).select(*columns).union(
         queries.join(blocks, group).withColumn("ask", mine("askers")).withColumn("block", spread("blocks")).select(*columns))
     cell = [*group, "block", "ask"]
-    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(
-        _search(trees, bits, k, miss, greatest), "query_id bigint, vec_id bigint, score double")
+    found = dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(
+        _search(trees, bits, k, miss, greatest), "query_id bigint, ids array<bigint>, scores array<double>")
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(
+        _merged(k), "query_id bigint, rank int, vec_id bigint, score double")
 
 
 def nearest(rows: DataFrame, is_query, id_: str = "vec_id", vector: str = "embedding", k: int = NEAREST, trees: int = TREES,
@@ -164,12 +203,10 @@ def nearest(rows: DataFrame, is_query, id_: str = "vec_id", vector: str = "embed
     n, greatest = vectors.agg(F.count("*"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()
     greatest = math.sqrt(greatest or 0.0)
     table = stored(hashed(vectors, dimension, greatest, trees, is_query), "strings")
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    active, bits, found = table.where("query").select(F.col("vec_id").alias("query_id")), math.ceil(math.log2(max(1, n / block))), []
+    active, found = table.where("query").select(F.col("vec_id").alias("query_id")), []
+    bits = max(SHORTEST, math.ceil(math.log2(max(1, n / block))))
     while True:
-        got = _round(table, active, bits, trees, k, miss, greatest, block)
-        got = got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        got = stored(got.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k), "found")
+        got = stored(_round(table, active, bits, trees, k, miss, greatest, block), "found")
         if not bits:
             found.append(got)
             break
@@ -182,11 +219,11 @@ def nearest(rows: DataFrame, is_query, id_: str = "vec_id", vector: str = "embed
         active = stored(active.join(done, "query_id", "left_anti"), "active")
         if active.isEmpty():
             break
-        bits //= 2
+        bits = bits // 2 if bits // 2 >= SHORTEST else 0
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
