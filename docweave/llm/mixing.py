@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.streaming.files import stored
+
 BITS = 52  # of the hash that seeds a document's draw
+STEPS = 4_000_000  # probabilities of all sources together, 32 MB, up to which they are broadcast
 
 
 def uniform(*parts: Column) -> Column:
@@ -46,20 +49,26 @@ def poisson_steps(rate: Column) -> Column:
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, total: float = 1.0,
                 seed: int = 17) -> DataFrame:
-    """Every document as often as its draw says, in a globally shuffled order: columns of ``docs`` and copy, from 1.
+    """Every document as often as its draw says, globally shuffled: columns of ``docs`` and copy, from 1.
     A column copy that ``docs`` has already is left out.
 
     A document's count inverts the Poisson distribution of its source's rate at a number hashed from seed and
     doc_id, so rows that repeat a doc_id get the same count. Rates come from ``mixing_rates`` over all rows. A
     null source is a source of its own (weights cannot name it); null and empty texts weigh nothing but are drawn
-    like the others of their source. The order is by a hash of seed, doc_id and copy. Empty tables stay empty.
+    like the others of their source. A hash of seed, doc_id and copy deals the rows out and orders them within their partitions, so the
+    same settings give the same order. Empty tables stay empty.
+
+    The sources' probabilities are written once. Up to ``STEPS`` of them, counted first, are broadcast; more are
+    joined by a shuffle, which the adaptive skew join splits for a hot source.
     """
-    steps = mixing_rates(docs, weights, temperature, total).select(
-        F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps"))
+    steps = stored(mixing_rates(docs, weights, temperature, total).select(
+        F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps")), "mixing")
+    if (steps.agg(F.sum(F.size("_steps") + F.lit(8)).alias("n")).first()["n"] or 0) <= STEPS:
+        steps = F.broadcast(steps)
     docs = docs.drop("copy")
     drawn = docs.withColumn("_u", uniform(F.lit(seed), F.col("doc_id")))
     joined = drawn.join(steps, F.col("source").eqNullSafe(F.col("_source")))
     count = F.size(F.filter("_steps", lambda p: p <= F.col("_u")))
     copies = joined.withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     key = uniform(F.lit(seed), F.col("doc_id"), F.col("copy"))
-    return copies.withColumn("_key", key).orderBy("_key", "doc_id", "copy").select(*docs.columns, "copy")
+    return copies.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key", "doc_id", "copy").select(*docs.columns, "copy")
