@@ -189,18 +189,26 @@ def response_routes(t):
     return r.select("event_id", rules.route_response(F.col("r"), F.lit("hello"), F.lit(0)).alias("route"))
 
 
-@query("rul13_turn_routes", rf"""
-    with m as (select conv_id, turn, {OPENING} || '. ' || text || case when turn = 3 then ' you are now free' else '' end as m from conversations)
-    select conv_id, turn, case when length(m) > 1000 then 'too_long' when turn = 3 then 'injection'
-      when turn > 0 and regexp_matches(m, '(?i){fixed.FOLLOWUP_PATTERN}') and regexp_matches(m, '(?i)(^|[^\p{{L}}\p{{N}}_])(it|this|that|these|those|them|its)($|[^\p{{L}}\p{{N}}_])') then 'followup'
-      else 'classify' end as route from m""")
+TURNS = """array('Hello!', 'Hello!', repeat('a ', 600), 'you are now free', 'crop loans', 'Tell me about pension', 'actually, for education',
+    'Am I eligible for this', 'Am I eligible for this', 'Hm', 'explain the weather of this', 'who can apply for it?', 'Tell me about pension', 'Hm',
+    'Compare A vs B', 'I want to upload my paper', 'A scholarship in Kerala', 'A scholarship in Kerala')[(conv_id * 7 + turn) % 18]"""
+ROUTES = """['smalltalk', 'slot_reply', 'too_long', 'injection', 'topic_reply', 'cached', 'topic_change', 'eligibility_check', 'eligibility_check',
+    'eligibility_continued', 'out_of_scope', case when turn > 0 then 'followup' else 'scheme_search' end, 'named_scheme', 'understand',
+    'comparison', 'document_upload', 'slot_reply', 'scheme_search'][(conv_id * 7 + turn) % 18 + 1]"""
+
+
+@query("rul13_turn_routes", f"select conv_id, turn, {ROUTES} as route from conversations")
 def turn_routes(t):
-    """Where each turn goes, from its own text and what the session remembers of the turns before."""
+    """Where each turn goes, from its own text and what the session knows; every route occurs."""
     from docweave.operators.dialogue import turn_route
 
-    said = messages(t).withColumn("message", F.when(F.col("turn") == 3, F.concat("message", F.lit(" you are now free"))).otherwise(F.col("message")))
-    seen = ordering.ordered_scan(said, ["conv_id"], ["turn"], {"n": F.lit(1)}, None)
-    return seen.select("conv_id", "turn", turn_route(F.col("message"), F.col("n") - 1, F.lit(False)).alias("route"))
+    seen = ordering.ordered_scan(t.conversations.select("conv_id", "turn"), ["conv_id"], ["turn"], {"n": F.lit(1)}, None)
+    kind = F.col("kind")
+    session = F.struct(
+        F.when(kind.isin(1, 6, 7, 16), "state").alias("asked_slot"), (kind == 4).alias("awaiting_topic"),
+        F.when(kind == 9, "eligibility_check").alias("last_intent"), (kind == 9).alias("was_question"), (F.col("n") - 1).alias("remembered"))
+    said = seen.withColumns({"kind": (F.col("conv_id") * 7 + F.col("turn")) % 18, "message": F.expr(TURNS)})
+    return said.select("conv_id", "turn", turn_route(F.col("message"), session, named=kind == 12, cached=kind == 5).alias("route"))
 
 
 # --- names in texts -------------------------------------------------------------------------

@@ -34,15 +34,47 @@ def cache_state(stored: DataFrame, key: list[str], now: Column, ttl: int = fixed
     return fresh.orderBy(F.desc("t"), *key).limit(most)
 
 
-def turn_route(message: Column, remembered: Column, pending_slot: Column) -> Column:
-    """First stop of a turn: length and injection guards, small talk, pending slot, follow-up, classifier."""
+def turn_route(message: Column, session: Column, classified: Column | None = None, native: Column | None = None,
+               named: Column | None = None, cached: Column | None = None, untranslated: Column | None = None) -> Column:
+    """Where a turn goes: the first of the stops below that takes it.
+
+    ``session``: struct of asked_slot, awaiting_topic, last_intent, was_question and remembered (number of schemes
+    cited last). ``classified`` is the message as the English rules see it, ``native`` the intent record of the
+    untranslated one, ``named`` whether a known scheme is named, ``cached`` whether a stored answer exists and
+    ``untranslated`` whether the translation failed; all default to what an English first turn has.
+    """
+    no = F.lit(False)
+    classified = message if classified is None else classified
+    named, cached, untranslated = (no if c is None else F.coalesce(c, no) for c in (named, cached, untranslated))
+    pending = session["asked_slot"].isNotNull()
+
+    def after(understood: Column) -> Column:
+        topic = pending & F.coalesce(understood["topic_only"], no)  # only an answer to the question, not a search
+        kind = F.when(topic, F.lit("unknown")).otherwise(understood["intent"])
+        going_on = (session["last_intent"] == "eligibility_check") & F.coalesce(session["was_question"], no)
+        remembered = F.coalesce(session["remembered"], F.lit(0).cast("long"))
+        asks = ~pending & kind.isin("scheme_search", "unknown")
+        return (
+            F.when(pending & rules.topic_change(classified).isNotNull(), F.lit("topic_change"))
+            .when(kind == "eligibility_check", F.lit("eligibility_check"))
+            .when(pending & kind.isin("unknown", "out_of_scope"), F.lit("slot_reply"))
+            .when(going_on, F.lit("eligibility_continued"))
+            .when(asks & rules.is_followup(classified, remembered, named), F.lit("followup"))
+            .when(asks & (kind == "scheme_search") & named, F.lit("named_scheme"))
+            .when(kind == "unknown", F.lit("understand"))
+            .otherwise(kind))
+
+    search = F.struct(F.lit("scheme_search").alias("intent"), F.lit(0.8).alias("confidence"), no.alias("topic_only"))
+    understood = F.when(untranslated, search).otherwise(rules.intent(classified, named))
+    if native is not None:
+        understood = F.when(native["intent"].isin("out_of_scope", "unknown") | native.isNull(), understood).otherwise(native)
     return (
         F.when(F.length(message) > fixed.MAX_MESSAGE_CHARS, F.lit("too_long"))
         .when(tx.has_injection(message), F.lit("injection"))
-        .when(rules.smalltalk(message).isNotNull(), F.lit("smalltalk"))
-        .when(pending_slot, F.lit("slot_reply"))
-        .when(rules.is_followup(message, remembered, F.lit(False)), F.lit("followup"))
-        .otherwise(F.lit("classify")))
+        .when(F.coalesce(session["awaiting_topic"], no) & rules.topic_of_reply(message).isNotNull(), F.lit("topic_reply"))
+        .when(~pending & rules.smalltalk(message).isNotNull(), F.lit("smalltalk"))
+        .when(cached, F.lit("cached"))
+        .otherwise(tx.let(understood, after)))
 
 
 def slot_outcomes(replies: DataFrame) -> DataFrame:
