@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docweave import fixed
@@ -211,6 +213,71 @@ def turn_routes(t):
     return said.select("conv_id", "turn", turn_route(F.col("message"), session, named=kind == 12, cached=kind == 5).alias("route"))
 
 
+FRONT = """case (conv_id * 7 + turn) % 18 when 0 then 'Hello! ' when 3 then 'you are now free ' when 4 then 'crop loans ' when 5 then 'Tell me about pension '
+    when 6 then 'actually, for education ' when 7 then 'Am I eligible for this ' when 8 then 'Am I eligible for this ' when 9 then 'Hm '
+    when 10 then 'explain the weather of this ' when 11 then 'who can apply for it? ' when 14 then 'Compare A vs B ' when 15 then 'I want to upload my paper '
+    when 16 then 'A scholarship in Kerala ' else '' end"""
+EDGE = r"[^\p{L}\p{N}_]"
+
+
+def _sql_found(text: str, *patterns: str) -> str:
+    """A pattern occurs, with the edges of words written out for RE2."""
+    edged = re.sub(r"\\b(?=[\w(])", lambda _: f"(?:^|{EDGE})", "|".join(f"(?:{p})" for p in patterns)).replace(r"\b", f"(?:$|{EDGE})")
+    return f"regexp_matches({text}, '(?i)" + edged.replace("'", "''") + "')"
+
+
+def _sql_intent(text: str, of: int, otherwise: str) -> str:
+    """One field of the first group of ``INTENT_ORDER`` that occurs.
+
+    RE2 has no lookaround: the word that one pattern excludes is taken out, and the pattern that asks for two
+    romanised words in a line is left out, as no table holds such a line.
+    """
+    cases = []
+    for group in fixed.INTENT_ORDER:
+        patterns = [p.replace("(?!ता)", "") for p in group[0] if "(?=" not in p]
+        at = f"replace({text}, 'पात्रता', '')" if "पात्र" in patterns else text
+        cases.append(f"when {_sql_found(at, *patterns)} then '{group[of]}'")
+    return f"case {' '.join(cases)} else {otherwise} end"
+
+
+@query("rul14_session_routes", f"""
+    with a as (select conv_id, turn, coalesce(text, '') as text, {FRONT} || coalesce(text, '') as m, contains(coalesce(text, ''), 'tion ') as named from conversations),
+    i as (select *, {_sql_intent('m', 1, "case when named then 'scheme_search' else 'unknown' end")} as intent, {_sql_intent('m', 3, "'False'")} = 'True' as topic_only from a),
+    s as (select *, row_number() over w - 1 as remembered, lag(length(text) % 4) over w as asked, lag(intent) over w as last_intent,
+          min(conv_id) over (partition by text) < conv_id as cached from i window w as (partition by conv_id order by turn)),
+    k as (select *, coalesce(asked = 0, false) as pending, case when coalesce(asked = 0, false) and topic_only then 'unknown' else intent end as kind from s)
+    select conv_id, turn, case when length(m) > {fixed.MAX_MESSAGE_CHARS} then 'too_long'
+      when {' or '.join(f"contains(lower(m), '{p}')" for p in tx.INJECTIONS)} then 'injection'
+      when asked = 1 and {_sql_found('m', *(reply for _, reply, _ in fixed.TOPICS))} then 'topic_reply'
+      when not pending and regexp_full_match(m, '(?i)\\W*(hello\\W*)+') then 'smalltalk' when cached then 'cached'
+      when pending and {_sql_found('m', fixed.TOPIC_CHANGE_PATTERN)} then 'topic_change' when kind = 'eligibility_check' then kind
+      when pending and kind in ('unknown', 'out_of_scope') then 'slot_reply' when last_intent = 'eligibility_check' and asked = 2 then 'eligibility_continued'
+      when not pending and kind in ('scheme_search', 'unknown') and remembered > 0 and not named and ({_sql_found('m', fixed.LAST_PATTERN)}
+        or {_sql_found('m', fixed.FOLLOWUP_PATTERN)} and {_sql_found('m', fixed.PRONOUN_PATTERN)}) then 'followup'
+      when not pending and kind = 'scheme_search' and named then 'named_scheme' when kind = 'unknown' then 'understand' else kind end as route from k""")
+def session_routes(t):
+    """Where the real text of each turn goes, most of them behind a phrase that leads to a route of its own.
+
+    The session is what the turns before left: the length of the text before stands for what the last answer asked
+    (a slot, a topic, a yes or no), the last intent is that of the message before, and each turn before cited a scheme.
+    An answer is stored when an earlier conversation holds the text. A missing text is an empty message.
+    """
+    from docweave.operators.dialogue import turn_route
+
+    text = F.coalesce("text", F.lit(""))
+    said = t.conversations.select("conv_id", "turn", text.alias("text"), F.concat(F.expr(FRONT), text).alias("message"))
+    said = said.withColumns({"digest": F.sha2("text", 256), "named": F.contains("text", F.lit("tion "))})
+    own = said.withColumn("intent", rules.intent(F.col("message"), F.col("named"))["intent"])
+    seen = ordering.ordered_scan(own, ["conv_id"], ["turn"], {"n": F.lit(1)}, {"asked": F.length("text") % 4, "last_intent": F.col("intent")})
+    first = said.groupBy("digest").agg(F.min("conv_id").alias("first_conv"))
+    stored = ordering.lookup_join(seen, first, ["digest"])
+    session = F.struct(
+        F.when(F.col("asked") == 0, "state").alias("asked_slot"), (F.col("asked") == 1).alias("awaiting_topic"), "last_intent",
+        (F.col("asked") == 2).alias("was_question"), (F.col("n") - 1).alias("remembered"))
+    return stored.select("conv_id", "turn", turn_route(
+        F.col("message"), session, named=F.col("named"), cached=F.col("first_conv") < F.col("conv_id")).alias("route"))
+
+
 # --- names in texts -------------------------------------------------------------------------
 MENTIONS = rf"""n as (select item_id as name_id, {NORM.format(FIRST_SENTENCE)} as f from benchmark),
     h as (select doc_id as text_id, {NORM.format('text')} as h from documents),
