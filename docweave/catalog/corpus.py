@@ -422,6 +422,14 @@ def stray_stars(t):
     return kept.select("page_id", F.length(tx.drop_stray_stars(F.col("html"))).cast("long").alias("n"))
 
 
+@query("txt21_all_stars")
+def all_stars(t):
+    """Every page, half of them with bullets, bold and lone stars put in; the lookarounds have no SQL form, a brute-force test covers them."""
+    body = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.regexp_replace(
+        F.replace(F.replace("html", F.lit("<p>"), F.lit("\n * **")), F.lit("</p>"), F.lit("** x*y")), "<h[1-6]", "*$0"))
+    return t.pages.select("page_id", F.sha2(tx.drop_stray_stars(body), 256).alias("digest"))
+
+
 @query("txt22_script_tests", r"""
     select doc_id, regexp_matches(text, '[^\x{0}-\x{2FF}]') as non_latin,
       case when lang = 'en' or not regexp_matches(text, '[^\x{0}-\x{2FF}]') then false

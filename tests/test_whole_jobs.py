@@ -1,7 +1,11 @@
 """Queries that take every row and the whole text, on small tables that hold what the test tables lack."""
 
+import hashlib
+
 import __spark_entry__ as entry
 
+SPACE = " \t\n\x0b\f\r"
+
 
 def run(spark, folder, name, **tables):
     for table, (rows, schema) in tables.items():
@@ -17,3 +21,45 @@ def test_routes_follow_the_text(spark, tmp_path):
     got = {(r.conv_id, r.turn): r.route for r in run(spark, tmp_path, "rul14_session_routes", conversations=(rows, "conv_id bigint, turn bigint, role string, text string"))}
     assert got == {(0, 1): "smalltalk", (0, 2): "too_long", (18, 1): "smalltalk", (18, 2): "followup", (36, 1): "understand", (36, 2): "understand", (36, 13): "eligibility_check",
                    (54, 1): "injection", (54, 2): "slot_reply", (54, 13): "eligibility_check", (72, 1): "understand", (72, 2): "slot_reply", (72, 13): "scheme_search", (90, 1): "cached", (90, 2): "topic_change"}
+
+
+def starless(text):
+    """Star bullets to dashes, bold kept, other stars dropped: character by character."""
+    lines = []
+    for line in text.split("\n"):
+        lead = len(line) - len(line.lstrip())
+        rest = line[lead + 1:]
+        if line[lead:lead + 1] == "*" and rest[:1].isspace() and rest.strip():
+            line = line[:lead] + "- " + rest.lstrip()
+        out, i = "", 0
+        while i < len(line):
+            end = line.find("*", i + 2)
+            body = line[i + 2:end] if end > 0 else ""
+            if line[i:i + 2] == "**" and body and body[0] not in SPACE and body[-1] not in SPACE and line[end:end + 2] == "**":
+                out, i = out + line[i:end + 2], end + 2
+            else:
+                out, i = out + line[i].replace("*", ""), i + 1
+        lines.append(out)
+    return "\n".join(lines)
+
+
+def test_stars_of_every_page(spark, tmp_path):
+    pages = ["* item\n  *  next\n*none\n* ", "a **bold** b", "** not bold** and **not bold **", "x*y", "***", "***a***", "**a*b**", "**a** **b** * c", "", "no stars", "****", "* **b** *"]
+    rows = [(2 * i, "u", x) for i, x in enumerate(pages)]
+    got = {r.page_id: r.digest for r in run(spark, tmp_path, "txt21_all_stars", pages=(rows, "page_id bigint, url string, html string"))}
+    assert got == {i: hashlib.sha256(starless(x).encode()).hexdigest() for i, _, x in rows}
+
+
+def test_stars_put_into_the_pages(spark):
+    """All pages of the smallest table, of which every other one gets a bullet with bold and a lone star per paragraph."""
+    folder = "/root/testdata/sf0.001"
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+
+    def put(text):
+        import re
+
+        return re.sub("<h[1-6]", r"*\g<0>", text.replace("<p>", "\n * **").replace("</p>", "** x*y"))
+
+    got = {r.page_id: r.digest for r in entry.queries()["txt21_all_stars"](spark, folder).collect()}
+    assert got == {i: hashlib.sha256(starless(put(x) if i % 2 else x).encode()).hexdigest() for i, x in html.items()}
+    assert sum("*" in starless(put(x)) for x in html.values()) > 5
