@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.graph import components, in_pairs_of_blocks, sorted_groups
@@ -97,9 +97,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = iter(signatures(values, at).view(np.int32).tolist())
             names = [hashlib.blake2b(values[lo:hi].tobytes(), digest_size=16).digest() if hi > lo else None for lo, hi in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].slice(a, b - a), batch["crc"].slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+                [batch["doc_id"].slice(a, b - a), batch["sum"].slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
                  pa.array([next(rows) if n else None for n in sizes], pa.list_(pa.int32()))],
-                ["doc_id", "crc", "n_shingles", "name", "signature"])
+                ["doc_id", "sum", "n_shingles", "name", "signature"])
 
 
 def threshold(similar: int) -> int:
@@ -176,13 +176,13 @@ def candidate_links(classes: DataFrame, least: int) -> DataFrame:
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, similar: int, least: int) -> DataFrame:
     """Links a, b of the similarity that join all nodes it joins: a forest for each pair of blocks of a group."""
-    members = groups.join(classes.select("node", "doc_id", "crc", "name"), "node")
+    members = groups.join(classes.select("node", "first", "name"), "node")
     sizes = groups.join(classes.select("node", "n_shingles"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     blocks = sizes.select("root", F.greatest(F.ceil(F.col("n") / GROUP_BLOCK), F.ceil(F.col("shingles") / GROUP_SHINGLES)).alias("blocks"))
-    members = members.join(blocks, "root").select("root", "node", "doc_id", "crc", "name", "blocks").toDF(
-        "root", "node", "_id", "_crc", "name", "blocks")
+    members = members.join(blocks, "root").select("root", "node", "first.doc_id", "first.sum", "name", "blocks").toDF(
+        "root", "node", "_id", "_sum", "name", "blocks")
     # a text is found by its id and checksum: null and repeated ids alone would pair all their rows
-    texts = docs.select("doc_id", "text").join(members, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32("text") == F.col("_crc")))
+    texts = docs.select("doc_id", "text").join(members, F.col("doc_id").eqNullSafe(F.col("_id")) & (checksum() == F.col("_sum")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -243,33 +243,57 @@ def _confirm(group: pa.Table, similar: int, least: int) -> list[tuple[int, int]]
     return links
 
 
-def near_groups(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (it is its own).
+def checksum() -> Column:
+    """128 bits of a row's text, null as empty: with the doc_id they say which row is meant."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
-    Two texts are linked when 100 * shared shingles >= ``similar`` * all their shingles, counted on full sets;
-    equal sets always are. Null and empty texts and texts without words have no shingles and are linked with
-    nothing. Rows that repeat a doc_id are texts of their own. A null doc_id counts as greater than any other; a
-    component of null ids alone has a null component_id and its rows are kept. Empty tables stay empty.
-    """
-    signed = stored(docs.select("doc_id", "text", F.crc32("text").alias("crc")).mapInArrow(
-        _signed, "doc_id bigint, crc bigint, n_shingles bigint, name binary, signature array<int>"), "signatures")
+
+def _judged(docs: DataFrame, similar: int) -> DataFrame:
+    """Per row: doc_id, sum, n_shingles, component_id, kept, and whether the row has words."""
+    signed = stored(docs.select("doc_id", "text", checksum().alias("sum")).mapInArrow(
+        _signed, "doc_id bigint, sum binary, n_shingles bigint, name binary, signature array<int>"), "signatures")
     least = threshold(similar)
     named = signed.where("name is not null")
-    classes = named.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("crc", "doc_id"), F.first("crc")).alias("crc"),
-                                        F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "sum")
+    classes = named.groupBy("name").agg(F.min(row).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     groups = components(candidate_links(classes, least))
     linked = components(confirmed_links(docs, classes, groups, similar, least))
-    smallest = linked.join(classes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = linked.join(smallest, "root").select("node", "component_id")
-    ids = classes.select("node", "name", F.col("doc_id").alias("_first")).join(found, "node", "left").select(
-        "name", F.coalesce("component_id", "_first").alias("component_id"))
-    with_words = named.select("doc_id", "n_shingles", "name").join(ids, "name").select("doc_id", "n_shingles", "component_id")
-    without = signed.where("name is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return with_words.union(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    smallest = linked.join(classes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("smallest"))
+    found = linked.join(smallest, "root").select("node", "smallest")
+    firsts = classes.select("node", "name", "first").join(found, "node", "left").select("name", F.coalesce("smallest", "first").alias("keep"))
+    with_words = named.select("doc_id", "sum", "n_shingles", "name").join(firsts, "name").select(
+        "doc_id", "sum", "n_shingles", F.col("keep.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("sum") == F.col("keep.sum"))).alias("kept"), F.lit(True).alias("words"))
+    without = signed.where("name is null").select(
+        "doc_id", "sum", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(False).alias("words"))
+    return with_words.union(without)
+
+
+def near_groups(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (it is its own).
+
+    Two texts are linked when 100 * shared shingles >= ``similar`` * all their shingles, counted on full sets;
+    equal sets always are. Null and empty texts and texts without words have no shingles, are linked with
+    nothing and are kept. Rows that repeat a doc_id are texts of their own. A null doc_id counts as greater than any
+    other; a component of null ids alone has a null component_id. Of the texts of a component under its smallest
+    doc_id the one of the smallest checksum is kept; rows with that doc_id and text are all marked: they are the same
+    row repeated. Empty tables stay empty.
+    """
+    return _judged(docs, similar).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: those whose doc_id is their component's; others go."""
-    stay = near_groups(docs, similar).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows of ``docs`` that stay, all columns: one for each component, and all without words; others go.
+
+    A repeated row stays once. Only the rows of repeated ones are moved once more for that.
+    """
+    kept = _judged(docs, similar).where("kept").groupBy("doc_id", "sum").agg((F.max("words") & (F.count(F.lit(1)) > 1)).alias("_again"))
+    stay = stored(kept.withColumnsRenamed({"doc_id": "_stay", "sum": "_sum"}), "stays")
+    rows = docs.withColumn("_own", checksum())
+    found = F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.col("_own") == F.col("_sum"))
+    once = rows.join(stay.where("not _again"), found, "left_semi").drop("_own")
+    if stay.where("_again").isEmpty():
+        return once
+    again = rows.join(stay.where("_again"), found, "left_semi").dropDuplicates(["doc_id", "_own"])
+    return once.union(again.drop("_own"))

@@ -73,6 +73,35 @@ def test_odd_rows(spark):
     assert near_groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def one_of_each(spark, rows, groups, alone=()):
+    """``drop_near`` keeps one row of each group, the first it lists, and all rows alone; rows are (doc_id, text)."""
+    for parts in (1, 3):
+        df = spark.createDataFrame([(i, t, str(n)) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, place string").repartition(parts)
+        got = sorted(((r.doc_id, r.text) for r in drop_near(df).collect()), key=str)
+        assert len(got) == len(groups) + len(alone)
+        for group in groups:
+            smallest = min((i is None, i or 0) for i, _ in group)
+            assert [g for g in got if g in group] and all((g[0] is None, g[0] or 0) == smallest for g in got if g in group)
+            assert sum(g in group for g in got) == 1
+        assert sorted((g for g in got if not any(g in x for x in groups)), key=str) == sorted(alone, key=str)
+
+
+def test_one_row_of_a_component_stays(spark):
+    """Repeated and null ids: near copies under one id, an id kept through another text, rows repeated, null ids alone."""
+    a, b, c, d = (" ".join(f"{x}{n}" for n in range(40)) for x in "abcd")
+    same = [(7, a), (7, a + " x"), (9, a)]
+    other = [(3, b), (7, b + " x"), (None, b + " y")]  # 7 stays through another text, but 3 is the smaller id here
+    nulls = [(None, c), (None, c + " x"), (None, c.upper())]
+    again = [(5, d), (5, d), (None, d + " x")]
+    groups = [same, other, nulls, again]
+    alone = [(None, "solo"), (None, None), (None, ""), (None, ""), (8, None), (8, None)]
+    one_of_each(spark, [r for g in groups for r in g] + alone, groups, alone)
+    one_of_each(spark, same + other, [same, other])
+    df = spark.createDataFrame([r for g in groups for r in g], "doc_id bigint, text string")
+    kept = sorted((r.doc_id for r in near_groups(df).where("kept").collect()), key=str)
+    assert kept == [3, 5, 5, 7, None]  # both rows of the repeated one are marked
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7), (100, 101)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
