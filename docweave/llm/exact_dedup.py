@@ -38,7 +38,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for body, members in found.items():
             digest = hashlib.sha256(body)
-            points, best = max(members, key=lambda m: (m[0], m[1] is None, -(m[1] or 0)))
+            points, best = max(members, key=lambda m: (m[0], m[1] is not None, -(m[1] or 0)))
             first = int.from_bytes(digest.digest()[:8], "big", signed=True)
             rows.append((first, digest.hexdigest(), body, len(body), [m[1] for m in members], points, best))
         columns = list(zip(*rows)) if rows else [[]] * 7

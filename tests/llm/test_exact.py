@@ -45,6 +45,15 @@ def test_exact_odd_rows(spark):
     assert exact_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_known_id_wins_over_null_of_equal_length(spark, parts):
+    rows = [(None, "a"), (3, "a"), (None, "b"), (7, "b"), (-2, "b"), (None, "b"), (None, "c"), (None, "c")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    df = df.repartition(parts) if parts > 1 else df
+    assert {(r.keep_id, r.group_size) for r in exact_groups(df).collect()} == {(3, 2), (-2, 4), (None, 2)}
+    assert sorted((r.text, r.doc_id) for r in drop_exact(df).collect()) == [("a", 3), ("b", -2), ("c", None)]
+
+
 def test_directory_splits_only_what_is_overfull(spark):
     hashes = [h << 55 for h in range(-256, 256)] + [5 << 20] * 400 + [(5 << 20) + (1 << 12)]
     entries = spark.createDataFrame([(h, 100) for h in hashes], "hash bigint, size bigint")
