@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.catalog import registry
 from docweave.llm import quality, toxicity
 from docweave.llm.exact_dedup import exact_groups
+from docweave.llm.filter_audit import filter_audit
 from docweave.llm.mixing import poisson_mix
 from docweave.llm.near_dedup import near_groups
 from docweave.llm.packing import pack_documents
@@ -114,3 +115,31 @@ def op9(t):
 @query("op10_token_counts")
 def op10(t):
     return token_counts(t.documents, tokenizer("byte_bpe_50k.json"))
+
+
+@query("op11_filter_audit", r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws, min(doc_id) over (partition by text) as lo from d),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+f as (select part, (case when len(ws) < 200 then 'A' else '' end) || (case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 'B' else '' end)
+             || (case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) then 'C' else '' end)
+             || (case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end) || (case when lo < w.doc_id then 'E' else '' end) as fails,
+             coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from w left join l on w.doc_id = l.doc_id),
+c as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by 1, 2),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e
+      where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, step, substr(filter_order, step, 1) as letter, substr(filter_order, 1, step - 1) as earlier
+      from o, (select unnest([1, 2, 3, 4, 5]) as step)),
+h as (select part, filter_order, step, letter, fails, n, good, toxic, contains(fails, letter) as hit,
+             translate(fails, earlier, '') = fails as there from c, s),
+r as (select part, filter_order, step, letter, sum(case when there and not hit then n else 0 end) as kept,
+             sum(case when there and hit then n else 0 end) as removed, sum(case when hit and not there then n else 0 end) as redundant,
+             sum(case when fails = letter then n else 0 end) as unique_fails, sum(case when there and hit then good else 0 end) as good_lost,
+             sum(case when there and hit then toxic else 0 end) as toxic_lost from h group by 1, 2, 3, 4)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, letter) as bigint) as shapley from r
+""")
+def op11(t):
+    return filter_audit(t.documents, t.labels)
