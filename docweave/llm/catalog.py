@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave.catalog import registry
 from docweave.llm import quality, toxicity
+from docweave.llm.conversation_trie import conversation_trie
 from docweave.llm.exact_dedup import exact_groups
 from docweave.llm.filter_audit import filter_audit
 from docweave.llm.mixing import poisson_mix
@@ -143,3 +144,26 @@ select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as b
 """)
 def op11(t):
     return filter_audit(t.documents, t.labels)
+
+
+@query("op12_conversation_trie", """
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+c as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as turns from t group by 1),
+h as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda s: ascii(s)::bigint)),
+                    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                                            lambda x, z: xor(x >> 1, (x & 1) * 3988292384::bigint))), 4294967295::bigint) % 6 as h from c),
+r as (select h.conv_id, coalesce(b.turns[1:h], []) || h.turns[h + 1:] as path from h left join c b on b.conv_id = h.conv_id - h.conv_id % 100),
+v as (select conv_id, d as depth, md5(to_json(path[1:d])::varchar) as key, case when d > 0 then md5(to_json(path[1:d - 1])::varchar) end as parent,
+             case when d > 0 then length(path[d].text) else 0 end as points, d = len(path) as ends
+      from (select conv_id, path, unnest(range(0, len(path) + 1)) as d from r)),
+n as (select key, depth, parent, min(conv_id) as conv_id, count(*) as n_convs, max(points) as points, bool_and(ends) as leaf,
+             string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends) as ids from v group by 1, 2, 3),
+s as (select top, count(*) filter (leaf) as n_leaves, sum((n_convs - 1) * points) as saved_tokens
+      from (select distinct a.key as top, b.key as key from v a join v b on a.conv_id = b.conv_id and b.depth >= a.depth) join n using (key) group by 1),
+k as (select parent as key, count(*) as n_children from n where parent is not null group by 1)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves,
+       cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(n.ids, '')) as ends_sha256
+from n join s on s.top = n.key left join k on k.key = n.key left join n p on p.key = n.parent
+""")
+def op12(t):
+    return conversation_trie(t.conversations)
