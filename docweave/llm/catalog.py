@@ -14,6 +14,7 @@ from docweave.llm.near_dedup import near_groups
 from docweave.llm.packing import pack_documents
 from docweave.llm.substring_dedup import remove_repeats
 from docweave.llm.token_counts import token_counts
+from docweave.llm.topk_search import best_products
 from docweave.llm.vector_search import nearest
 from docweave.llm.url_filter import RULES, judge_urls
 
@@ -167,3 +168,15 @@ from n join s on s.top = n.key left join k on k.key = n.key left join n p on p.k
 """)
 def op12(t):
     return conversation_trie(t.conversations)
+
+
+@query("op13_no_random_access", """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 10
+""")
+def op13(t):
+    return best_products(t.embeddings, F.col("vec_id") % 100 == 0)
