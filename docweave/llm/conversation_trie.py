@@ -166,7 +166,7 @@ def conversation_trie(conversations: DataFrame, height: int = HEIGHT, target_row
     Turns are ordered by turn, null first, then by role, the first 64 characters of the text and the hash of both.
     Null roles and texts are empty strings; a repeated row is one more turn. Rows without a conv_id belong to no
     conversation and take no part. A conversation without turns after the rebuilding is a member of the root alone.
-    Nodes are told apart by 128-bit hashes. Other columns are ignored. An empty table gives no rows.
+    Remainders of negative ids are those of SQL (-5 % 100 = -5). Nodes are told apart by 128-bit hashes. Other columns are ignored. An empty table gives no rows.
     """
     visits = stored(rebuilt_visits(conversations, target_rows), "visits")
     root = visits.where("depth = 0").groupBy("key", "depth").agg(

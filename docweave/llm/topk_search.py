@@ -29,7 +29,7 @@ ASKERS = 8192      # queries that meet a block in one task
 PLANES = 16        # signs that bring neighbouring rows together
 FIRST = 32         # entries of each list that are read first; each later reading doubles the depth
 FEW = 4            # times k: contenders that are resolved rather than read on for
-LEAST = -(1 << 63)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def scaled(values: np.ndarray) -> np.ndarray:
@@ -71,9 +71,10 @@ class SortedLists:
         bar, depth, frontier = least, 0, weights * np.where(forward[:, 0], self.values[used, -1], self.values[used, 0])
         contenders = np.flatnonzero(other)
         while depth < n and len(used):
-            if not met.any() and int(frontier.sum()) < bar:  # no row of the block can qualify
+            unmet_fail = LEAST < bar > int(frontier.sum())  # rows that no list has shown yet cannot qualify
+            if unmet_fail and not depth:
                 return contenders[:0], known[:0]
-            if met.any() and len(contenders) <= FEW * k and int(frontier.sum()) < bar:
+            if unmet_fail and len(contenders) <= FEW * k:
                 break
             deeper = min(n, max(FIRST, 2 * depth))
             places = best_first(self.order, depth, deeper)
@@ -85,12 +86,13 @@ class SortedLists:
             low = known + (~met) @ worst
             high = known + (~met) @ frontier
             if int(other.sum()) >= k:
-                bar = max(bar, int(np.partition(low[other], -k)[-k]))
-            contenders = np.flatnonzero(other & (high >= bar))
+                bar = min(max(bar, int(np.partition(low[other], -k)[-k])), MOST)
+            contenders = np.flatnonzero(other & (high >= bar)) if bar > LEAST else contenders
         score = (self.rows[contenders] * query).sum(axis=1)
+        if score.dtype == object:
+            score = np.array([min(max(x, LEAST), MOST) for x in score.tolist()], dtype=np.int64)
         contenders, score = contenders[score >= least], score[score >= least]
-        chosen = np.lexsort((self.ids[contenders], -score))[:k] if self.rows.dtype != object else np.array(
-            sorted(range(len(score)), key=lambda i: (-score[i], self.ids[contenders[i]]))[:k], dtype=np.int64)
+        chosen = np.lexsort((self.ids[contenders], ~score))[:k]
         return contenders[chosen], score[chosen]
 
 
@@ -116,7 +118,7 @@ def _searched(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([q for q, _, _ in found], [len(p) for _, p, _ in found]).astype(np.int64)),
                      pa.array(np.concatenate([lists.ids[p] for _, p, _ in found])),
-                     pa.array([min(max(int(x), LEAST), -LEAST - 1) for _, _, s in found for x in s], pa.int64())], ["query_id", "vec_id", "score"])
+                     pa.array(np.concatenate([s for _, _, s in found]))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -152,7 +154,7 @@ def best_products(rows: DataFrame, is_query: Column, id_: str = "vec_id", vector
     ``is_query`` is a condition on ``vec_id``. A query's own row is no candidate; equal scores go to the smaller vec_id;
     with fewer candidates all are returned. Null ids, null or empty vectors and vectors with null or non-finite
     components take no part, nor do those of another length than most have; zero vectors do. Of several rows of one id
-    the smallest vector counts. Scores beyond a bigint are compared exactly and reported as its limit. Other columns are
+    the smallest vector counts. Scores beyond a bigint count as its limit. Other columns are
     ignored. Empty tables give no rows.
 
     Blocks of ``block`` rows and groups of ``askers`` queries bound a task; the k-th score of a query's own block
