@@ -237,3 +237,49 @@ def session_answers(t):
 @query("eli13_event_answers", answers_sql(EVENTS, "user_id day", "event_id").replace("select user_id, day, event_id, action, topic, e + y", "select event_id, action, topic, e + y"))
 def event_answers(t):
     return answers(t, moved(event_turns(t), ["user_id", "day"], ["event_id"]), ["event_id"])
+
+
+# --- sessions that expire --------------------------------------------------------------------------
+def session_rows(events):
+    """Events as turns with what their answers cite: up to seven names, of which five are remembered."""
+    rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", _said(F.col("event_id") * 5 + F.length("props"), F.lit("")).alias("message"))
+    hint = rules.topic_hint(F.when(F.col("user_id") % 3 == 0, F.lit("Farmer")), F.lit(False))
+    said = dialogue.read_turns(rows, "message", hint, F.col("event_id") % 19 == 0)
+    names = F.when(F.col("event_type") == "view", F.transform(F.sequence(F.lit(0), (F.col("event_id") % 8).cast("int")), lambda i: F.concat(F.lit("S"), i + F.col("event_id"))))
+    return said.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("turn"), F.col("_code").alias("code"), F.slice(names, 2, 8).alias("cited"),
+                       F.col("event_type").alias("said"), F.col("event_type").alias("intent"), (F.col("event_id") % 3 == 0).alias("question"))
+
+
+GAP = 12 * 3600
+STAMPED = f"""select *, sum(case when before is null or ts - before > interval {GAP} second then 1 else 0 end) over (partition by user_id order by ts, event_id) as session
+    from (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events)"""
+NUMBERED = f"""select user_id, cast(session as bigint) as session, row_number() over (partition by user_id, session order by ts, event_id) as turn_no, event_id,
+    ({LISTED})[(event_id * 5 + length(props)) % {len(PHRASES)} + 1] as m, case when user_id % 3 = 0 then 'Farmer' end as occupation, event_id % 19 = 0 as stored from ({STAMPED})"""
+SESSIONS = f"""{turns_sql(NUMBERED.replace('turn_no, event_id,', 'turn_no,'), 'user_id session', 'turn_no')},
+    x as (select *, row_number() over w as turn_no, case when event_type = 'view' and event_id % 8 > 0 then list_transform(range(1, event_id % 8 + 1), lambda i: 'S' || (event_id + i))[1:5] end as c from ({STAMPED})
+        window w as (partition by user_id, session order by ts, event_id))
+    select cast(user_id as varchar) as key, epoch_us(min(ts) over (partition by user_id, session)) as started, event_id as turn, turn_no, action, slot, failures,
+      coalesce(array_to_string(last(c ignore nulls) over (w rows between unbounded preceding and 1 preceding), ','), '') as remembered,
+      coalesce(string_agg(event_type, ',') over (w rows between 6 preceding and 1 preceding), '') as recent, lag(event_type) over w as last_intent,
+      lag(event_id % 3 = 0) over w as was_question from x join turns using (user_id, session, turn_no) {{where}} window w as (partition by user_id, session order by ts, event_id)"""
+
+
+def _stamped(df):
+    return df.withColumn("started", F.unix_micros(F.col("started").cast("timestamp")))
+
+
+@query("str2_expiring_sessions", SESSIONS.replace("{where}", ""))
+def expiring_sessions(t):
+    from docweave.streaming.sessions import dialogue_sessions
+
+    return _stamped(dialogue_sessions(session_rows(t.events), GAP))
+
+
+@query("str3_expiring_sessions_stream", f"select * exclude (seen, newest) from (select s.*, epoch_ms(e.ts) as seen, (select epoch_ms(max(ts)) from events) as newest from ({SESSIONS.replace('{where}', '')}) s join events e on e.event_id = s.turn) where seen < newest - 600000")
+def expiring_sessions_stream(t):
+    """The turns that the watermark has passed; a stream sees the same sessions as the whole table."""
+    from docweave.catalog.streams import Streams
+    from docweave.streaming.files import work_folder
+    from docweave.streaming.sessions import dialogue_stream
+
+    return _stamped(dialogue_stream(session_rows(Streams(t).events), work_folder(t.spark, "dialogue"), GAP))

@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from docweave.streaming.files import stored
+
 TARGET_ROWS = 2_000_000
 HOT_KEYS = 10_000       # cut keys whose bounds are broadcast; more are joined by a shuffle
 SAMPLES = 200_000       # order values that are gathered of one key at most
@@ -47,7 +49,8 @@ def cut_pieces(df: DataFrame, keys: list[str], order: list[str], target_rows: in
 
     Bounds are order values of the rows themselves, chosen by a hash, so outliers do not matter and a recomputed
     task cuts the same pieces. Rows that agree in all order columns stay together. Whether any key is hot is
-    counted first: mostly none is, and the rows are left as they are.
+    counted first: mostly none is, and the rows are left as they are. Else they are written once to the shared folder,
+    since every scan reads its pieces more than once.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows)
     n_hot = sizes.limit(HOT_KEYS + 1).count()
@@ -60,7 +63,8 @@ def cut_pieces(df: DataFrame, keys: list[str], order: list[str], target_rows: in
     bounds = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list("_row")).alias("_s"), F.max("_every").alias("_every"))
     bounds = sizes.select(*keys).transform(lambda x: lookup_join(x, bounds.select(*keys, _bounds(F.col("_s"), F.col("_every"), target_rows).alias("_b")), keys, "left"))
     cut = lookup_join(df, checked(bounds.withColumn("_hot", F.lit(True))), keys, "left")
-    return cut.withColumns({"_piece": _place(F.col("_b"), order), "_hot": F.coalesce("_hot", F.lit(False))}).drop("_b")
+    cut = cut.withColumns({"_piece": _place(F.col("_b"), order), "_hot": F.coalesce("_hot", F.lit(False))}).drop("_b")
+    return stored(cut, "pieces")
 
 
 def _place(bounds: Column, order: list[str]) -> Column:
