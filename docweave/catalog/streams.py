@@ -98,3 +98,32 @@ def feedback_stream(t):
 def answer_reuse(t):
     asked = t.events.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     return dialogue.answer_starts(asked, ["user_id", "event_type"], "ts")
+
+
+REUSED = """
+    g as (select *, event_id % 4 <> 0 as grounded from events),
+    s(user_id, event_type, st) as (
+      select user_id, event_type, min(ts) from g where grounded group by 1, 2
+      union all
+      select s.user_id, s.event_type, min(e.ts) from s join g e on e.grounded and e.user_id = s.user_id and e.event_type = s.event_type and e.ts >= s.st + interval 24 hour group by s.user_id, s.event_type, s.st),
+    b as (select s.user_id, s.event_type, st, min(event_id) as first_id from s join g on grounded and g.ts = st and g.user_id = s.user_id and g.event_type = s.event_type group by 1, 2, 3),
+    r as (select event_id as turn, exists(select 1 from b where b.user_id = g.user_id and b.event_type = g.event_type and (b.st < g.ts or (b.st = g.ts and b.first_id < g.event_id))
+      and g.ts < b.st + interval 24 hour) as reused, ts from g)"""
+
+
+def questions(events):
+    """Questions of a user and kind; three of four answers are grounded."""
+    return events.select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("turn"),
+                         (F.col("event_id") % 4 != 0).alias("grounded"))
+
+
+@query("str7_grounded_reuse", f"with recursive {REUSED} select turn, reused from r")
+def grounded_reuse(t):
+    return dialogue.answer_reuse(questions(t.events), ["key"], "ts", F.col("grounded")).select("turn", "reused")
+
+
+@query("str7_grounded_reuse_stream", f"with recursive {REUSED} select turn, reused from r where epoch_ms(ts) < (select epoch_ms(max(ts)) from events) - 600000")
+def grounded_reuse_stream(t):
+    from docweave.streaming.sessions import reuse_stream
+
+    return reuse_stream(questions(Streams(t).events), work_folder(t.spark, "reuse")).select("turn", "reused")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docweave import fixed
 from docweave.functions import rules, text as tx
 from docweave.operators.ordering import TARGET_ROWS, as_number, cut_pieces, lookup_join, ordered_scan, scan_pieces
+from docweave.streaming.files import stored
 
 
 def session_numbers(turns: DataFrame, keys: list[str], order: list[str], gap_seconds: int = fixed.SESSION_GAP_SECONDS,
@@ -26,10 +27,10 @@ def carry_profile(turns: DataFrame, keys: list[str], order: list[str], fields: l
     return known
 
 
-def cache_state(stored: DataFrame, key: list[str], now: Column, ttl: int = fixed.CACHE_TTL_SECONDS, most: int = fixed.CACHE_ENTRIES) -> DataFrame:
+def cache_state(entries: DataFrame, key: list[str], now: Column, ttl: int = fixed.CACHE_TTL_SECONDS, most: int = fixed.CACHE_ENTRIES) -> DataFrame:
     """Entries a bounded cache holds at ``now``: latest per key (of equal times the greatest value), younger than the
     TTL, newest first."""
-    latest = stored.groupBy(*key).agg(F.max("t").alias("t"), F.max_by("v", F.struct("t", "v")).alias("v"))
+    latest = entries.groupBy(*key).agg(F.max("t").alias("t"), F.max_by("v", F.struct("t", "v")).alias("v"))
     fresh = latest.filter(F.unix_micros("t") > F.unix_micros(now) - ttl * 1_000_000)
     return fresh.orderBy(F.desc("t"), *key).limit(most)
 
@@ -92,27 +93,51 @@ def slot_outcomes(replies: DataFrame) -> DataFrame:
                          (F.col("_skip") | (F.col("failures") >= fixed.MAX_SLOT_FAILURES)).alias("skipped"))
 
 
-def answer_starts(asked: DataFrame, keys: list[str], at: str, ttl: int = fixed.CACHE_TTL_SECONDS, folder: str | None = None) -> DataFrame:
-    """The questions that had to be answered: later equal ones within the TTL reuse the stored answer.
+def successors(times: DataFrame, keys: list[str], step: int, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """``keys``, t and next: the first time of the key that is at least ``step`` later (null: none).
 
-    A hit does not renew an entry, so starts of one key are at least a TTL apart: a period of TTL length
-    holds at most one, and only the start of the period before can still be valid. Periods are taken in
-    turn; each is one partial aggregate per key over that period's rows, so every row is read once and
-    no key is gathered. The starts of a period are written to the shared folder before the next one.
+    ``times`` has distinct (keys, t). Times and the times asked for are one table, scanned backwards.
     """
-    from docweave.streaming.files import work_folder
-
-    spark, step = asked.sparkSession, ttl * 1_000_000
-    folder = folder or work_folder(spark, "answers")
-    cut = asked.select(*keys, F.unix_micros(at).alias("_t")).withColumn("period", F.floor(F.col("_t") / step))
-    cut.write.partitionBy("period").parquet(f"{folder}/asked")
-    rows = spark.read.parquet(f"{folder}/asked")
-    periods = sorted(r[0] for r in rows.select("period").distinct().collect())   # one value per TTL of history
-    schema = cut.select(*keys, F.col("_t").alias("start")).schema
-    for before, period in zip([None, *periods], periods):
-        found = rows.filter(F.col("period") == period)
-        if before == period - 1:
-            last = spark.read.schema(schema).parquet(f"{folder}/starts/period={before}").withColumnRenamed("start", "_s")
-            found = found.join(last, keys, "left").filter(F.col("_s").isNull() | (F.col("_t") >= F.col("_s") + step))
-        found.groupBy(*keys).agg(F.min("_t").alias("start")).write.mode("overwrite").parquet(f"{folder}/starts/period={period}")
-    return spark.read.schema(schema).parquet(f"{folder}/starts").select(*keys, "start")
+    asked = times.select(*keys, (F.col("t") + step).alias("_at"), F.col("t").alias("_of"), F.lit(0).alias("_event"))
+    both = times.select(*keys, F.col("t").alias("_at"), F.lit(None).cast("long").alias("_of"), F.lit(1).alias("_event")).unionByName(asked)
+    both = both.withColumn("_back", -F.col("_at")).withColumn("_last", -F.col("_event"))
+    seen = ordered_scan(both, keys, ["_back", "_last", "_of"], None, {"next": F.when(F.col("_event") == 1, F.col("_at"))}, target_rows)
+    return seen.filter("_event = 0").select(*keys, F.col("_of").alias("t"), "next")
+
+
+def answer_starts(asked: DataFrame, keys: list[str], at: str, ttl: int = fixed.CACHE_TTL_SECONDS, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """``keys`` and start (microseconds) of the questions whose answer was stored: later equal ones within the TTL reuse it.
+
+    A hit does not renew an entry, so each start has one successor, the first question a TTL later. The chain of
+    successors from a key's first question is marked by doubling: round r marks what lies 2**r starts after a marked
+    one, and squares the pointers, so n starts of a key take log2(n) rounds however long the history is.
+    """
+    times = stored(asked.select(*keys, F.unix_micros(at).alias("t")).distinct(), "asked")
+    marked = stored(times.groupBy(*keys).agg(F.min("t").alias("t")), "starts")
+    pointers = stored(successors(times, keys, ttl * 1_000_000, target_rows).filter("next is not null"), "pointers")
+    while not pointers.isEmpty():
+        step = pointers.withColumnRenamed("next", "_to")
+        found = lookup_join(marked, step, [*keys, "t"]).select(*keys, F.col("_to").alias("t"))
+        if found.isEmpty():
+            break
+        marked = stored(marked.unionByName(found).distinct(), "starts")
+        squared = lookup_join(pointers.withColumnsRenamed({"t": "_from", "next": "t"}), step, [*keys, "t"])
+        pointers = stored(squared.select(*keys, F.col("_from").alias("t"), F.col("_to").alias("next")), "pointers")
+    return marked.select(*keys, F.col("t").alias("start"))
+
+
+def answer_reuse(asked: DataFrame, keys: list[str], at: str, grounded: Column, ttl: int = fixed.CACHE_TTL_SECONDS, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """``asked`` with reused: whether the answer stored for an earlier question of the key still lives.
+
+    Only grounded answers are stored. Of several questions at the time of a start, the first by the other columns
+    ``turn`` of ``asked`` is answered; the others reuse its answer if it was grounded.
+    """
+    starts = answer_starts(asked.filter(F.coalesce(grounded, F.lit(False))), keys, at, ttl, target_rows)
+    rows = asked.withColumns({"_t": F.unix_micros(at), "_good": F.coalesce(grounded, F.lit(False))})
+    first = lookup_join(rows.filter("_good"), starts.withColumnRenamed("start", "_t"), [*keys, "_t"]).groupBy(*keys, "_t").agg(F.min("turn").alias("turn"))
+    entries = first.select(*keys, "_t", "turn", F.lit(False).alias("_asks"))
+    both = rows.withColumn("_asks", F.lit(True)).unionByName(entries, allowMissingColumns=True)
+    seen = ordered_scan(both, keys, ["_t", "turn", "_asks"], None, {"_start": F.when(~F.col("_asks"), F.struct(F.col("_t").alias("t"), F.col("turn").alias("turn")))}, target_rows)
+    live = (F.col("_start.turn") != F.col("turn")) | (F.col("_start.t") != F.col("_t"))
+    reused = F.coalesce(live & (F.col("_t") < F.col("_start.t") + ttl * 1_000_000), F.lit(False))
+    return seen.filter("_asks").withColumn("reused", reused).select(*asked.columns, "reused")

@@ -1,71 +1,41 @@
-"""The dialogue as a stream: sessions that expire, remember what was cited and said last, and wait for fields.
+"""The dialogue as a stream: sessions that expire, remember what was cited and said last, and wait for fields; and the
+reuse of stored answers, which live for a day and are stored only when they are grounded.
 
-Rows are folded in the order of their event time, so those newer than the watermark are held back in the key's state
-and an event-time timer asks for them. A session ends when nothing is said for longer than the gap; its state goes with
-it. State per key is bounded: a place in the state machine, five names, six turns, and the rows of the lateness window.
+Rows are folded in the order of their event time (``docweave.streaming.ordered``). State per key is bounded: a place in
+the state machine, five names, six turns or one stored answer, and the rows of the lateness window.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docweave import fixed
 from docweave.operators.ordering import TARGET_ROWS, cut_pieces, lookup_join, scan_pieces, trailing_rows
 from docweave.operators.transitions import scan_transitions
 from docweave.operators.turns import ACTIONS, SLOTS, START, STATES, turn_step
 from docweave.streaming.files import run_append, stored
+from docweave.streaming.ordered import fold_in_event_order
 
 HISTORY = 6
-STATE = "started long, last long, place int, turns long, cited array<string>, said array<string>, intent string, question boolean, held array<string>"
-ROWS = ("key string, started timestamp, turn long, turn_no long, action string, slot string, failures int, remembered string, recent string, "
+TOLD = ("started long, turn long, turn_no long, action string, slot string, failures_n long, remembered string, recent string, "
         "last_intent string, was_question boolean")
-NEW = (None, None, START, 0, [], [], None, None)
+NEW = [None, None, START, 0, [], [], None, None]
 MICROS = 1_000_000
 
 
-def _fold(state: tuple, row: dict, gap: int) -> tuple[tuple, tuple]:
-    """The session after one turn, and what is known at that turn; a turn beyond the gap opens a session."""
-    started, last, place, turns, cited, said, intent, question = state
-    if last is None or row["at"] - last > gap * MICROS:
-        started, last, place, turns, cited, said, intent, question = (row["at"], *NEW[1:])
-    after, (action, asked, failures, _, _) = turn_step(row["code"], place)
-    known = (started, row["turn"], turns + 1, ACTIONS[action], SLOTS[asked] if asked >= 0 else None, failures if asked >= 0 else None,
-             ",".join(cited), ",".join(said), intent, question)
-    cited = row["cited"][: fixed.MAX_REMEMBERED] if row["cited"] else cited
-    return (started, row["at"], after, turns + 1, cited, [*said, row["said"]][-HISTORY:], row["intent"], row["question"]), known
-
-
-def _session_fold(gap: int):
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *known, held = state.get if state.exists else (*NEW, [])
-        session, rows = tuple(list(x) if isinstance(x, (list, tuple)) else x for x in known), [json.loads(x) for x in held]
-        if not state.hasTimedOut:
-            for batch in batches:
-                rows += batch[["at", "turn", "code", "cited", "said", "intent", "question"]].assign(
-                    cited=batch["cited"].map(lambda x: [] if x is None else list(x))).to_dict("records")
-        watermark = state.getCurrentWatermarkMs()
-        rows.sort(key=lambda r: (r["at"], r["turn"]))
-        out = []
-        while rows and rows[0]["at"] // 1000 < watermark:
-            session, told = _fold(session, rows.pop(0), gap)
-            out.append((key[0], *told))
-        ends = None if session[1] is None else session[1] // 1000 + gap * 1000
-        if not rows and (ends is None or ends < watermark):
-            state.remove()
-        else:
-            state.update((*session, [json.dumps(r, default=lambda x: x.item()) for r in rows]))
-            due = [x for x in (ends, rows[0]["at"] // 1000 if rows else None) if x is not None]
-            state.setTimeoutTimestamp(max(min(due), watermark + 1))
-        if out:
-            found = pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
-            yield found.assign(started=pd.to_datetime(found["started"], unit="us"), failures=found["failures"].astype("Int32"))
-
-    return run
+def _session(gap: int):
+    def fold(state: list, row: dict) -> tuple[list, tuple]:
+        """The session after one turn, and what is known at that turn; a turn beyond the gap opens a session."""
+        started, last, place, turns, cited, said, intent, question = state
+        if last is None or row["at"] - last > gap * MICROS:
+            started, last, place, turns, cited, said, intent, question = row["at"], *NEW[1:]
+        after, (action, asked, failures, _, _) = turn_step(row["code"], place)
+        known = (started, row["turn"], turns + 1, ACTIONS[action], SLOTS[asked] if asked >= 0 else None, failures if asked >= 0 else None,
+                 ",".join(cited), ",".join(said), intent, question)
+        cited = row["cited"].split(",")[: fixed.MAX_REMEMBERED] if row["cited"] else cited
+        return [started, row["at"], after, turns + 1, cited, [*said, row["said"]][-HISTORY:], row["intent"], row["question"]], known
+
+    return fold
 
 
 def dialogue_stream(turns: DataFrame, folder: str, gap_seconds: int = fixed.SESSION_GAP_SECONDS, late: str = "10 minutes") -> DataFrame:
@@ -75,9 +45,22 @@ def dialogue_stream(turns: DataFrame, folder: str, gap_seconds: int = fixed.SESS
     intent and question of the answer. Rows later than the watermark are dropped; turns that the watermark has not
     passed are still held back when the available data ends.
     """
-    timed = turns.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    rows = timed.select(F.col("key").cast("string").alias("key"), "ts", F.unix_micros("ts").alias("at"), "turn", "code", "cited", "said", "intent", "question")
-    told = rows.groupBy("key").applyInPandasWithState(_session_fold(gap_seconds), ROWS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = turns.select(F.col("key").cast("string").alias("key"), "ts", "turn", "code", F.array_join("cited", ",").alias("cited"), "said", "intent", "question")
+    told = fold_in_event_order(rows, late, _session(gap_seconds), NEW, lambda s: None if s[1] is None else s[1] + gap_seconds * MICROS, TOLD)
+    return run_append(told, folder).withColumn("started", F.timestamp_micros("started")).withColumn("failures", F.col("failures_n").cast("int")).drop("failures_n")
+
+
+def reuse_stream(asked: DataFrame, folder: str, ttl_seconds: int = fixed.CACHE_TTL_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """turn and reused of every question (key, ts, turn, grounded), as in ``answer_reuse``, once the watermark has passed it."""
+
+    def fold(state: list, row: dict) -> tuple[list, tuple]:
+        start, = state
+        if start is not None and row["at"] < start + ttl_seconds * MICROS:
+            return state, (row["turn"], True)
+        return [row["at"] if row["grounded"] else None], (row["turn"], False)
+
+    rows = asked.select(F.col("key").cast("string").alias("key"), "ts", "turn", "grounded")
+    told = fold_in_event_order(rows, late, fold, [None], lambda s: None if s[0] is None else s[0] + ttl_seconds * MICROS, "turn long, reused boolean")
     return run_append(told, folder)
 
 

@@ -91,7 +91,8 @@ def test_copies_of_null_are_copies(spark):
     assert kept == set(first.values())
 
 
-def test_answer_starts(spark, tmp_path):
+@pytest.mark.parametrize("target", [20, 2_000_000])
+def test_answer_starts(spark, target):
     rng = random.Random(5)
     asked = [(rng.choice("ab"), rng.randrange(1_000_000)) for _ in range(300)]
     want = []
@@ -102,5 +103,5 @@ def test_answer_starts(spark, tmp_path):
                 start = t
                 want.append((key, t * 1_000_000))
     df = spark.createDataFrame(asked, "k string, s long").withColumn("ts", F.timestamp_seconds("s"))
-    got = dialogue.answer_starts(df, ["k"], "ts", folder=str(tmp_path / "x"))
+    got = dialogue.answer_starts(df, ["k"], "ts", target_rows=target)
     assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators import turns as dialogue
+from docweave.operators.dialogue import answer_reuse
 from docweave.streaming.files import stream_table, work_folder
-from docweave.streaming.sessions import dialogue_sessions, dialogue_stream
+from docweave.streaming.sessions import dialogue_sessions, dialogue_stream, reuse_stream
 
 SCHEMA = "key long, ts timestamp, turn long, message string, cited array<string>, intent string, question boolean"
 SAID = ["Am I eligible for any scheme?", "34", "Kerala", "2 lakh", "obc", "a lady", "hmm", "skip", "crop loans", "Hello", "Tell me about pension"]
@@ -73,3 +74,35 @@ def test_five_names_and_six_turns(spark, target):
     rows = [(1, BASE + dt.timedelta(minutes=i), i, f"t{i}", [f"S{j}" for j in range(7)] if i == 0 else [], None, False) for i in range(9)]
     last = rows_of(dialogue_sessions(coded(spark.createDataFrame(rows, SCHEMA)), 3600, target))[-1]
     assert last[7:9] == ("S0,S1,S2,S3,S4", "t2,t3,t4,t5,t6,t7")
+
+
+def reuse(rows, ttl):
+    out, start = [], {}
+    for key, ts, n, grounded in sorted(rows, key=lambda x: (x[1], x[2])):
+        hit = key in start and ts < start[key] + dt.timedelta(seconds=ttl)
+        if not hit:
+            start.pop(key, None)
+            if grounded:
+                start[key] = ts
+        out.append((n, hit))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("target", [4, 2_000_000])
+def test_answers_are_reused_while_they_live(spark, target):
+    r = random.Random(target)
+    rows = [(r.choice(["a", "b", None]), BASE + dt.timedelta(hours=r.randrange(200)), n, r.choice([True, False, None])) for n in range(250)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, turn long, grounded boolean").repartition(3)
+    got = answer_reuse(df, ["key"], "ts", F.col("grounded"), 24 * 3600, target)
+    assert sorted((x.turn, x.reused) for x in got.collect()) == reuse(rows, 24 * 3600)
+    assert answer_reuse(df.limit(0), ["key"], "ts", F.col("grounded")).count() == 0
+
+
+def test_reuse_stream_equals_the_batch(spark, tmp_path):
+    r = random.Random(3)
+    rows = [[(r.choice(["a", "b"]), BASE + dt.timedelta(hours=b * 30 + r.randrange(30), minutes=r.randrange(9)), b * 50 + i, r.random() < 0.5) for i in range(50)] for b in range(4)]
+    folder = str(tmp_path / "asked")
+    for batch in [*rows, [("c", BASE + dt.timedelta(hours=500), 999, True)], [("a", BASE, 1000, True)], [("c", BASE + dt.timedelta(hours=501), 1001, True)]]:
+        spark.createDataFrame(batch, "key string, ts timestamp, turn long, grounded boolean").coalesce(1).write.mode("append").parquet(folder)
+    got = reuse_stream(stream_table(spark, folder, 1), work_folder(spark, "test"), 24 * 3600)
+    assert sorted((x.turn, x.reused) for x in got.filter("turn <> 999").collect()) == reuse([x for b in rows for x in b], 24 * 3600)
