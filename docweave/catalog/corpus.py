@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from docweave import fixed
 from docweave.catalog.registry import query
@@ -185,6 +185,35 @@ def schema_errors(t):
     return profile.json_field_errors(rows, "event_id", "raw", {"k": "BIGINT|TINYINT|SMALLINT|INT|LONG"})
 
 
+ORDER_TYPE = ("order struct<id: bigint not null, priority: string not null, note: string> not null, "
+              "items array<struct<part: bigint not null, tags: array<string>, price: struct<net: double not null>>> not null")
+
+
+@query("qua2_nested_errors", """
+    with o as (select o_orderkey, o_custkey, o_orderkey % 17 <> 0 as readable, o_orderkey % 13 = 0 as no_list from orders),
+    l as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as i
+          from lineitem join o on o_orderkey = l_orderkey where readable and not no_list)
+    select o_orderkey, '<root>' as field, 'not JSON' as message, null as value from o where not readable
+    union all select o_orderkey, 'order.id', 'wrong type', '"' || o_orderkey || '"' from o where readable and o_orderkey % 7 = 0
+    union all select o_orderkey, 'order.priority', 'field required', null from o where readable and o_custkey % 5 = 0
+    union all select o_orderkey, 'order.note', 'wrong type', '[1]' from o where readable and o_custkey % 5 = 1
+    union all select o_orderkey, 'items', 'wrong type', '{"x":1}' from o where readable and no_list
+    union all select l_orderkey, 'items.' || i || '.part', 'wrong type', 'null' from l where l_partkey % 11 = 0
+    union all select l_orderkey, 'items.' || i || '.tags.1', 'wrong type', cast(l_linenumber as varchar) from l where l_suppkey % 3 = 0
+    union all select l_orderkey, 'items.' || i || '.price.net', 'field required', null from l where l_linenumber = 2""")
+def nested_errors(t):
+    """Orders with their items as nested JSON, in which some leaves are missing or of another type."""
+    item = """concat('{"part":', case when l_partkey % 11 = 0 then 'null' else string(l_partkey) end, ',"tags":["a",', case when l_suppkey % 3 = 0 then string(l_linenumber) else '"b"' end,
+        '],"price":{', case when l_linenumber = 2 then '' else concat('"net":', cast(l_extendedprice as string)) end, '}}')"""
+    items = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", F.expr(item).alias("j")))), lambda x: x["j"]), ",").alias("items"))
+    raw = """concat('{"order":{"id":', case when o_orderkey % 7 = 0 then concat('"', o_orderkey, '"') else string(o_orderkey) end, case when o_custkey % 5 = 0 then '' else ',"priority":"high"' end,
+        case when o_custkey % 5 = 1 then ',"note":[1]' when o_custkey % 5 = 2 then ',"note":null' else '' end, '},"items":',
+        case when o_orderkey % 13 = 0 then '{"x":1}' else concat('[', coalesce(items, ''), ']') end, case when o_orderkey % 17 = 0 then '' else '}' end)"""
+    texts = t.orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.expr(raw).alias("raw"))
+    return profile.json_errors(texts, "o_orderkey", "raw", T.StructType.fromDDL(ORDER_TYPE))
+
+
 @query("qua4_missing_fields", f"""
     with e as (select event_id, {PROPS} as raw from events)
     select event_id, case when json_valid(raw) and list_contains(json_keys(raw), 'k') then 'page' else 'k,page' end as missing

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docweave.functions import text as tx
 
@@ -101,6 +101,53 @@ def json_field_errors(df: DataFrame, id_col: str, raw: str, schema: dict[str, st
     return parsed.select(id_col, F.explode(errors).alias("e")).select(id_col, "e.*")
 
 
+#: What ``schema_of_variant`` calls the values that a type accepts.
+VARIANT_KINDS = {"string": "STRING", "boolean": "BOOLEAN", "bigint": "BIGINT|TINYINT|SMALLINT|INT|LONG", "int": "BIGINT|TINYINT|SMALLINT|INT|LONG",
+                 "double": r"DOUBLE|FLOAT|DECIMAL\(.*\)|BIGINT|TINYINT|SMALLINT|INT|LONG"}
+_ERROR = "array<struct<field:string,message:string,value:string>>"
+
+
+def nested_errors(value: Column, kind: T.DataType, path: Column) -> Column:
+    """The failing parts of a VARIANT against a type of any depth, each with its dotted path and its JSON.
+
+    An object's fields follow their declaration, an array's elements their order. A field that is not nullable must
+    be there; one that is may be missing or null. A value of the wrong type is one error, and nothing below it is read.
+    """
+    none = F.array().cast(_ERROR)
+    at = lambda name: F.when(path == "", name).otherwise(F.concat(path, F.lit("."), name))
+
+    def one(message: str) -> Column:
+        shown = F.when(path == "", F.lit("<root>")).otherwise(path)
+        return F.array(F.struct(shown.alias("field"), F.lit(message).alias("message"), F.to_json(value).alias("value")))
+
+    found = F.schema_of_variant(value)
+    if isinstance(kind, T.StructType):
+        inner = []
+        for field in kind.fields:
+            part = F.try_variant_get(value, f"$['{field.name}']", "variant")
+            missing = F.array(F.struct(at(F.lit(field.name)).alias("field"), F.lit("field required").alias("message"), F.lit(None).cast("string").alias("value")))
+            checked = nested_errors(part, field.dataType, at(F.lit(field.name)))
+            if field.nullable:
+                inner.append(F.when(part.isNull() | F.is_variant_null(part), none).otherwise(checked))
+            else:
+                inner.append(F.when(part.isNull(), missing).otherwise(checked))
+        return F.when(F.startswith(found, F.lit("OBJECT")), F.concat(*inner) if inner else none).otherwise(one("wrong type"))
+    if isinstance(kind, T.ArrayType):
+        elements = F.try_variant_get(value, "$", "array<variant>")
+        inner = F.flatten(F.transform(elements, lambda x, i: nested_errors(x, kind.elementType, at(i.cast("string")))))
+        return F.when(F.startswith(found, F.lit("ARRAY")), inner).otherwise(one("wrong type"))
+    accepted = VARIANT_KINDS[kind.simpleString()]
+    return F.when(F.rlike(found, F.lit(f"^(?:{accepted})$")), none).otherwise(one("wrong type"))
+
+
+def json_errors(df: DataFrame, id_col: str, raw: str, schema: T.DataType) -> DataFrame:
+    """One row per failing leaf of a JSON text at any depth: field (such as ``faq.3.answer``), message and value."""
+    parsed = df.select(id_col, raw, F.try_parse_json(raw).alias("_v"))
+    root = lambda message: F.array(F.struct(F.lit("<root>").alias("field"), F.lit(message).alias("message"), F.lit(None).cast("string").alias("value")))
+    errors = F.when(F.col(raw).isNull(), root("unreadable")).when(F.col("_v").isNull(), root("not JSON")).otherwise(nested_errors(F.col("_v"), schema, F.lit("")))
+    return parsed.select(id_col, F.inline(errors))
+
+
 def missing_json_fields(df: DataFrame, id_col: str, raw: str, expected: list[str]) -> DataFrame:
     """Expected keys absent from a parsed record, in the expected order."""
     want = F.array(*[F.lit(x) for x in expected])
