@@ -1,7 +1,7 @@
 """Structured Streaming jobs: sessions, memory, arrivals, index upkeep, feedback, answers, slot dialogue.
 
 Each job keeps only what is bounded per key: native aggregates where the state is a fold that can be
-combined on the map side, append-only batches merged on read where it is an upsert.
+combined on the map side, batches over a compacted base (``docweave.streaming.snapshots``) where it is an upsert.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docweave import fixed
 from docweave.operators.chunks import build_chunks, upsert_latest
 from docweave.streaming.files import run_append, run_batches, write_batch
+from docweave.streaming.snapshots import EVERY, Snapshots, latest
 
 
 def sessions(turns: DataFrame, key: str, at: str, folder: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -25,18 +27,19 @@ def sessions(turns: DataFrame, key: str, at: str, folder: str, gap: str = "30 mi
     return run_append(grouped.select(key, "started", "ended", "turns"), folder)
 
 
-def session_memory(turns: DataFrame, key: str, order: str, remembered: Column, folder: str) -> DataFrame:
+def _kept(stream: DataFrame, folder: str, merge, schema=None, each=None, mode: str = "append", every: int = EVERY) -> DataFrame:
+    """Run a stream into a table of appended batches with a compacted base, and read it."""
+    table = Snapshots(stream.sparkSession, folder, schema or stream.schema, merge, every)
+    run_batches(stream, folder, lambda batch, batch_id: table.append(each(batch) if each else batch, batch_id), mode)
+    return table.read()
+
+
+def session_memory(turns: DataFrame, key: str, order: str, remembered: Column, folder: str, every: int = EVERY) -> DataFrame:
     """Turns so far and the latest remembered value per key, as a native streaming aggregate."""
     seen = turns.withColumn("_r", remembered)
     state = seen.groupBy(key).agg(
         F.count(F.lit(1)).alias("turns"), F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col(order))).alias("remembered"))
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{folder}/state", batch_id)
-
-    run_batches(state, folder, each, "update")
-    stored = turns.sparkSession.read.parquet(f"{folder}/state")
-    return stored.groupBy(key).agg(F.max("turns").alias("turns"), F.max_by("remembered", "batch").alias("remembered"))
+    return _kept(state, folder, latest(key), mode="update", every=every).drop("batch")
 
 
 def arrivals(documents: DataFrame, valid: Column, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -51,32 +54,32 @@ def arrivals(documents: DataFrame, valid: Column, folder: str) -> tuple[DataFram
     return stored.filter(good).drop("valid", "batch"), stored.filter(~good).drop("valid", "batch")
 
 
-def index_upkeep(schemes: DataFrame, folder: str) -> DataFrame:
+def index_upkeep(schemes: DataFrame, folder: str, every: int = EVERY) -> DataFrame:
     """Chunks of changed documents, rebuilt per batch; readers see the last version of each document.
 
-    Batches are only appended. A document keeps the chunks of its latest batch, also when it then has
-    fewer chunks than before.
+    A document keeps the chunks of its latest batch, also when it then has fewer chunks than before: a row without a
+    chunk says that the batch held the document.
     """
+    chunks = build_chunks(schemes)
+    schema = StructType([StructField("source_file", StringType())] + [f for f in chunks.schema.fields if f.name != "source_file"])
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(build_chunks(batch), f"{folder}/chunks", batch_id)
-        write_batch(batch.select("source_file").distinct(), f"{folder}/touched", batch_id)
+    def each(batch: DataFrame) -> DataFrame:
+        return build_chunks(batch).unionByName(batch.select("source_file").distinct(), allowMissingColumns=True)
 
-    run_batches(schemes, folder, each)
-    spark = schemes.sparkSession
-    latest = spark.read.parquet(f"{folder}/touched").groupBy("source_file").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{folder}/chunks").join(latest, ["source_file", "batch"], "left_semi").drop("batch")
+    kept = _kept(schemes, folder, latest("source_file"), schema, each, every=every)
+    return kept.filter("chunk_id is not null").select(*chunks.columns)
 
 
-def feedback(ratings: DataFrame, keys: list[str], value: str, at: str, folder: str) -> DataFrame:
-    """Upserted ratings: every batch is pre-aggregated, the merge on read is the same aggregate."""
+def feedback(ratings: DataFrame, keys: list[str], value: str, at: str, folder: str, every: int = EVERY) -> DataFrame:
+    """Upserted ratings: every batch is pre-aggregated, and the merge is the same aggregate."""
+    none = ratings.sparkSession.createDataFrame([], ratings.select(*keys, value, at).schema)
+    shape = upsert_latest(None, none, keys, value, at)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(upsert_latest(None, batch, keys, value, at), f"{folder}/ratings", batch_id)
+    def merge(rows: DataFrame) -> DataFrame:
+        return upsert_latest(rows.drop("batch"), none, keys, value, at).withColumn("batch", F.lit(0).cast("long"))
 
-    run_batches(ratings, folder, each)
-    stored = ratings.sparkSession.read.parquet(f"{folder}/ratings").drop("batch")
-    return upsert_latest(stored, stored.limit(0).select(*keys, value, F.col("created_at").alias(at)), keys, value, at)
+    kept = _kept(ratings, folder, merge, shape.schema, lambda batch: upsert_latest(None, batch, keys, value, at), every=every)
+    return kept.drop("batch")
 
 
 # --- slot dialogue --------------------------------------------------------------------------
@@ -108,15 +111,8 @@ def _fold_slot(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Itera
                         "skipped": [skip or failures >= fixed.MAX_SLOT_FAILURES]})
 
 
-def slot_dialogue(replies: DataFrame, folder: str) -> DataFrame:
+def slot_dialogue(replies: DataFrame, folder: str, every: int = EVERY) -> DataFrame:
     """Slots per session from replies (session_id, slot, turn, value, is_skip); value null = unreadable."""
     state = replies.groupBy("session_id", "slot").applyInPandasWithState(
         _fold_slot, SLOT_ROWS, SLOT_STATE, "update", GroupStateTimeout.NoTimeout)
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{folder}/slots", batch_id)
-
-    run_batches(state, folder, each, "update")
-    stored = replies.sparkSession.read.parquet(f"{folder}/slots")
-    rest = F.struct("value", "failures", "skipped")
-    return stored.groupBy("session_id", "slot").agg(F.max_by(rest, "batch").alias("s")).select("session_id", "slot", "s.*")
+    return _kept(state, folder, latest("session_id", "slot"), mode="update", every=every).drop("batch")
