@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.operators.ordering import ordered_scan
+from docweave.streaming.files import stored
+
 LENGTH = 100  # bytes of a repeated string
 GRAM = 24  # bytes of a trigger
 SUFFIXES = 8  # neighbouring suffixes of a phrase that are sorted together before one by one
@@ -208,18 +211,34 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return _per_text(known)
 
 
+def named_texts(docs: DataFrame) -> DataFrame:
+    """doc, text and crc, which tells the texts of one doc apart.
+
+    It is the CRC-32 of the text. Where different texts of a doc share one, which is looked up first, all texts of
+    this doc have their number in the order of their MD5 instead; such a doc may hold any part of the rows.
+    """
+    texts = docs.select(F.coalesce("doc_id", F.lit(_MINUS)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    sums = texts.select("doc", F.crc32("text").alias("crc"), F.unhex(F.md5("text")).alias("sum"))
+    shared = sums.groupBy("doc", "crc").agg(F.min("sum").alias("low"), F.max("sum").alias("high")).where("low <> high")
+    shared = stored(shared.select("doc").distinct(), "shared")
+    if shared.isEmpty():
+        return texts.withColumn("crc", F.crc32("text"))
+    numbers = stored(ordered_scan(sums.join(shared, "doc", "left_semi").select("doc", "sum").distinct(), ["doc"], ["sum"], {"nth": F.lit(1)}), "numbers")
+    named = texts.withColumn("sum", F.unhex(F.md5("text"))).join(numbers, ["doc", "sum"], "left")
+    return stored(named.select("doc", "text", F.coalesce("nth", F.crc32("text")).alias("crc")), "named")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept, the bytes that are left.
 
     Every byte (UTF-8; null counts as empty) of a string of ``length`` bytes that also starts earlier goes: earlier
     is a smaller doc_id (null before all), or the same doc_id and an earlier start. Strings are judged on the input,
     overlaps count, and no string crosses texts. A row repeated with its doc_id and text is one document and gets
-    equal results; different texts of one doc_id follow one another in the order of their CRC-32. Empty tables stay
+    equal results; different texts of one doc_id follow one another in the order of ``named_texts``. Empty tables stay
     empty; other columns are ignored.
     """
     # the same frame each time, so that one exchange of the texts serves all joins
-    texts = docs.select(F.coalesce("doc_id", F.lit(_MINUS)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "crc", F.crc32("text"))
+    texts = named_texts(docs)
     spans = repeated_spans(texts, length, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

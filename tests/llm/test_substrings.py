@@ -1,6 +1,8 @@
 """Repeated byte strings against a dictionary of all strings."""
 
+import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -60,3 +62,29 @@ def test_odd_rows(spark):
     n = len(text)
     assert got == sorted([(None, n, 0, 0), (3, n, n, 1), (3, n, n, 1), (4, 0, 0, 0)], key=str)
     assert remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def clash(length, seed):
+    """Two different texts of one length and CRC-32."""
+    r, seen = random.Random(seed), {}
+    while True:
+        text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length))
+        at = zlib.crc32(text.encode())
+        if at in seen and seen[at] != text:
+            return seen[at], text
+        seen[at] = text
+
+
+@pytest.mark.parametrize("id_", [5, None])
+def test_texts_of_one_id_and_crc(spark, id_):
+    r = random.Random(6)
+    shared = "".join(r.choice("abcdefghij ") for _ in range(100))
+    one, other = (shared + tail for tail in clash(20, 1))  # CRCs that are equal stay so behind equal bytes
+    assert one != other and zlib.crc32(one.encode()) == zlib.crc32(other.encode())
+    rows = [(1, shared + "#")] if id_ else []
+    rows += [(id_, one), (id_, other), (id_, "a third text " * 20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = sorted((r.n_bytes, r.n_removed, bytes(r.kept)) for r in remove_repeats(df).collect())
+    ordered = sorted({t for _, t in rows}, key=lambda t: (t == one or t == other or t.startswith("a third"), hashlib.md5(t.encode()).digest()))
+    want = sorted((n, gone, kept) for _, n, gone, _, kept in brute(list(enumerate(ordered)), 100))
+    assert got == want and sum(x[1] for x in got) >= 100
