@@ -343,6 +343,32 @@ def protected_names(t):
                        ((mentions.restore_names(F.col("protected"), F.col("names")) == F.col("text")) & F.contains("protected", F.lit("__SCHEME_0__"))).alias("restored"))
 
 
+MARKED = """case when doc_id % 3 = 0 then '1. ' || text || chr(10) || '- **' || lang || '** 2.' else text end"""
+
+
+@query("txt20_segments", rf"""
+    with n as (select distinct trim(unnest(string_split(replace(text, chr(10), ' '), '.'))) as name from benchmark),
+    p as (select string_agg(regexp_escape(name), '|' order by length(name) desc) || '|\*\*' as pattern from n where length(name) >= 4),
+    d as (select doc_id, {MARKED} as text from documents),
+    s as (select doc_id, text, regexp_extract_all(text, pattern) as names, regexp_split_to_array(text, pattern) as between from d, p),
+    l as (select doc_id, i, j, line from (select doc_id, i, unnest(string_split(b, chr(10))) as line, generate_subscripts(string_split(b, chr(10)), 1) as j
+          from (select doc_id, unnest(between) as b, generate_subscripts(between, 1) as i from s))),
+    b as (select doc_id, i, j, regexp_replace(regexp_replace(line, '^[\s\-–—]*(?:\d+\.\s+)?[\s\-–—]*', ''), '(?:\s+\d+\.)?\s*$', '') as body from l),
+    t as (select doc_id, string_agg(body, '|' order by i, j) as bodies, count(*) as texts from b where regexp_matches(body, '[\p{{L}}\p{{No}}\p{{Nl}}]') group by 1)
+    select doc_id, len(names) as names, sha256(array_to_string(names, '|')) as names_digest, coalesce(texts, 0) as texts, sha256(coalesce(bodies, '')) as texts_digest,
+      sha256(text) as digest from s left join t using (doc_id)""")
+def name_segments(t):
+    """Documents cut around all sentences of the benchmark, and put together again."""
+    from docweave.operators import segments
+
+    sentences = t.benchmark.select(F.explode(F.split(F.translate("text", "\n", " "), r"\.")).alias("name")).select(F.trim("name").alias("name")).filter(F.length("name") >= 4)
+    cut = segments.split_around_names(t.documents.select("doc_id", F.expr(MARKED.replace("chr(10)", "'\\n'")).alias("text")), sentences, id_="doc_id")
+    parts = lambda *kinds: F.transform(F.filter("segments", lambda s: s["kind"].isin(*kinds)), lambda s: s["part"])
+    named, texts = parts("name", "mark"), parts("text")
+    return cut.select("doc_id", F.size(named).cast("long").alias("names"), F.sha2(F.array_join(named, "|"), 256).alias("names_digest"), F.size(texts).cast("long").alias("texts"),
+                      F.sha2(F.array_join(texts, "|"), 256).alias("texts_digest"), F.sha2(segments.changed_between(F.col("segments"), lambda x: x), 256).alias("digest"))
+
+
 @query("txt24_typo_repair")
 def typo_repair(t):
     """Exact ratio matching has no SQL form; a brute-force test covers it."""

@@ -416,3 +416,9 @@ MAX_SENTENCE_CHUNK = 400
 TYPED_CONFIDENCE = 0.9
 TYPED_MIN_WORDS = 3
 LANGUAGES = ["en", "hi", "ta"]
+
+# --- fixed values: segments around names ------------------------------------------------------
+SEGMENT_MARK = "**"
+SEGMENT_LETTER = r"[^\W\d_]"
+SEGMENT_LEAD = r"[\s\-–—]*(?:\d+\.\s+)?[\s\-–—]*"
+SEGMENT_TRAIL = r"(?:\s+\d+\.)?\s*$"
