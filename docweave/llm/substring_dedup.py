@@ -214,17 +214,20 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 def named_texts(docs: DataFrame) -> DataFrame:
     """doc, text and crc, which tells the texts of one doc apart.
 
-    It is the CRC-32 of the text. Where different texts of a doc share one, which is looked up first, all texts of
-    this doc have their number in the order of their MD5 instead; such a doc may hold any part of the rows.
+    It is the CRC-32 of the text. Where different texts of a doc share one, which is looked up first by 128 more bits,
+    all texts of this doc have their number in the order of these bits instead; such a doc may hold any part of the rows.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(_MINUS)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    sums = texts.select("doc", F.crc32("text").alias("crc"), F.unhex(F.md5("text")).alias("sum"))
-    shared = sums.groupBy("doc", "crc").agg(F.min("sum").alias("low"), F.max("sum").alias("high")).where("low <> high")
+    bits = [F.xxhash64("text").alias("high"), F.xxhash64("text", F.lit(2)).alias("low")]
+    sums = texts.select("doc", F.crc32("text").alias("crc"), *bits)
+    limits = [f(c).alias(f"{f.__name__}_{c}") for c in ("high", "low") for f in (F.min, F.max)]
+    shared = sums.groupBy("doc", "crc").agg(*limits).where("min_high <> max_high or min_low <> max_low")
     shared = stored(shared.select("doc").distinct(), "shared")
     if shared.isEmpty():
         return texts.withColumn("crc", F.crc32("text"))
-    numbers = stored(ordered_scan(sums.join(shared, "doc", "left_semi").select("doc", "sum").distinct(), ["doc"], ["sum"], {"nth": F.lit(1)}), "numbers")
-    named = texts.withColumn("sum", F.unhex(F.md5("text"))).join(numbers, ["doc", "sum"], "left")
+    different = sums.join(shared, "doc", "left_semi").select("doc", "high", "low").distinct()
+    numbers = stored(ordered_scan(different, ["doc"], ["high", "low"], {"nth": F.lit(1)}), "numbers")
+    named = texts.select("*", *bits).join(numbers, ["doc", "high", "low"], "left")
     return stored(named.select("doc", "text", F.coalesce("nth", F.crc32("text")).alias("crc")), "named")
 
 
