@@ -154,6 +154,49 @@ def embedded_chunks(t):
     return rows.select("chunk_id", F.size("v").alias("width"), F.round(length, 4).alias("norm"))
 
 
+def hashed_sql(text: str) -> str:
+    """Counts of the 128 word buckets of a text, as a list."""
+    words = rf"list_transform(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+'), lambda w: cast('0x' || left(md5(w), 8) as bigint) % 128)"
+    return f"list_transform([{words}], lambda b: list_transform(range(0, 128), lambda i: cast(len(list_filter(b, lambda x: x = i)) as double)))[1]"
+
+
+UNIT = "list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y))))"
+
+
+@query("vec4_feature_vectors", f"""
+    with {CHUNKS}, h as (select chunk_id, {hashed_sql("'passage: ' || text")} as c from ch), u as (select chunk_id, {UNIT} as v from h)
+    select chunk_id, sha256(array_to_string(list_transform(v, lambda x: cast(round(x * 1000000) as bigint)), ',')) as digest from u""")
+def feature_vectors(t):
+    """The whole vector of every chunk by the default features."""
+    from docweave.functions.features import hashed_features
+
+    rows = hashed_features(chunks.build_chunks(schemes(t)), "text")
+    return rows.select("chunk_id", F.sha2(F.array_join(F.transform("vector", lambda x: F.round(x * 1_000_000).cast("bigint").cast("string")), ","), 256).alias("digest"))
+
+
+SEEDS_SQL = ", ".join(f"('{c}', '{p}')" for c, listed in fixed.SEED_PHRASES.items() for p in listed)
+HEADING = """case doc_id % 6 when 0 then 'Benefits of the programme' when 1 then 'Who can apply' when 2 then 'Documents to attach' when 3 then 'FAQ list' when 4 then 'How to apply online' else '' end
+    || ' ' || case when doc_id % 2 = 0 then left(text, 20) else lang end"""
+
+
+@query("sec4_seed_categories", f"""
+    with s(category, phrase) as (values {SEEDS_SQL}), sh as (select category, {hashed_sql("'query: ' || phrase")} as c from s),
+    sv as (select category, {UNIT} as v from sh), e as (select category, unnest(v) as x, generate_subscripts(v, 1) as i from sv),
+    m as (select category, list(x order by i) as centroid from (select category, i, avg(x) as x from e group by 1, 2) group by 1),
+    h as (select doc_id, {hashed_sql(f"'query: ' || coalesce({HEADING}, '')")} as c from documents), u as (select doc_id, {UNIT} as v from h),
+    d as (select doc_id, category, list_dot_product(v, centroid) as score from u, m),
+    b as (select *, row_number() over (partition by doc_id order by round(score, 9) desc, category) as place from d)
+    select doc_id, category, round(score, 6) as score, score >= {fixed.CONFIDENCE_THRESHOLD} as confident from b where place = 1""")
+def seed_categories(t):
+    """Headings by the nearest mean of the seed phrases, both embedded as queries."""
+    from docweave.functions.features import QUERY, hashed_features, seed_centroids
+    from docweave.operators.search import classify_vectors
+
+    headings = hashed_features(t.documents.select("doc_id", F.expr(HEADING).alias("heading")), "heading", prefix=QUERY)
+    named = classify_vectors(headings, "vector", seed_centroids(t.spark), "category", "centroid")
+    return named.select("doc_id", "category", F.round("score", 6).alias("score"), "confident")
+
+
 @query("sec13_first_state", f"""
     select l_orderkey, l_linenumber, ({STATES_SQL})[l_partkey % 34 + 1] as state from lineitem""")
 def first_state(t):
