@@ -221,6 +221,79 @@ def document_load(t):
     return loaded.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
+SUFFIX = "case scheme_id % 4 when 0 then ' ** Sign Out **' when 1 then ' Are you sure you want to sign out?' else '' end"
+POPPED = """case scheme_id % 3 when 1 then 'It seems you have already initiated your application earlier. To know more please visit State X Details '
+    when 2 then 'It seems you have already initiated your application earlier. To know more please visit ' else '' end"""
+
+
+def incoming_documents(t):
+    """Documents as nested records with scraped names and descriptions; two rows compete for a file."""
+    name, description = F.concat("scheme_name", F.expr(SUFFIX)), F.concat(F.expr(POPPED), "description")
+    sizes = t.documents.select(F.col("doc_id").alias("scheme_id"), (F.length(F.trim("text")) >= 200).alias("valid"))
+    return schemes(t).join(sizes, "scheme_id").select(
+        F.concat(F.lit("f"), F.floor(F.col("scheme_id") / 2), F.lit(".json")).alias("source_file"), "scheme_id", "valid", F.struct(name.alias("scheme_name")).alias("metadata"),
+        F.struct(description.alias("description")).alias("overview"), "other_benefits", "conditions", "steps")
+
+
+def loaded(t):
+    """Documents with a good label are loaded and embedded; then all are loaded, twice."""
+    from docweave.functions.features import hashed_features
+    from docweave.operators import loads
+    from docweave.streaming.files import work_folder
+
+    def build(records):
+        return chunks.build_chunks(records.select("*", "metadata.scheme_name", "overview.description"))
+
+    def embed(new):
+        return hashed_features(new, "text", "vector").select("chunk_id", "source_file", "section", "text", "vector")
+
+    incoming, folder = incoming_documents(t), work_folder(t.spark, "load")
+    documents = loads.document_table(t.spark, f"{folder}/documents", incoming.drop("valid").schema)
+    held = loads.chunk_table(t.spark, f"{folder}/chunks", embed(build(incoming)).schema)
+    first = incoming.join(labelled(t).withColumnRenamed("doc_id", "scheme_id"), "scheme_id", "left_semi")
+    reports = {}
+    for turn, rows in (("labelled", first), ("all", incoming), ("again", incoming)):
+        reports[turn] = loads.load_documents(documents, rows, "scheme_id", F.col("valid"))
+        if turn == "labelled":
+            reports["embedded"] = loads.embed_documents(documents, held, build, embed)
+    return documents, held, reports
+
+
+LOADED = f"""{CHUNKS}, i as (select *, 'f' || scheme_id // 2 || '.json' as file, length(trim(text)) >= 200 as ok, scheme_id in (select doc_id from labels where quality = 1) as early
+      from s join (select doc_id, text from documents) d on d.doc_id = s.scheme_id),
+    a as (select file, min(scheme_id) as scheme_id from i where ok and early group by 1),
+    b as (select file, min(scheme_id) as scheme_id from i where ok and file not in (select file from a) group by 1),
+    r as (select *, 'done' as embedding_status from a union all select *, 'pending' from b)"""
+
+
+@query("snk3_loaded_documents", f"""
+    with {LOADED} select r.file as source_file, r.scheme_id, embedding_status, scheme_name, case when r.scheme_id % 4 = 1 then 'are you sure you want to sign out' end as suspect,
+      sha256(case when r.scheme_id % 3 = 2 and length(description) <= 250 then '' else description end) as digest from r join i on i.scheme_id = r.scheme_id""")
+def loaded_documents(t):
+    documents, _, _ = loaded(t)
+    return documents.read().select("source_file", "scheme_id", "embedding_status", "metadata.scheme_name", "suspect", F.sha2("overview.description", 256).alias("digest"))
+
+
+@query("snk3_load_counts", f"""
+    with {LOADED} select 'labelled' as run, (select count(*) from a) as inserted, count(*) filter (early and ok) - (select count(*) from a) as skipped, count(*) filter (early and not ok) as failed,
+      count(*) filter (early) as total from i
+    union all select 'all', (select count(*) from b), count(*) filter (ok) - (select count(*) from b), count(*) filter (not ok), count(*) from i
+    union all select 'again', 0, count(*) filter (ok), count(*) filter (not ok), count(*) from i""")
+def load_counts(t):
+    _, _, reports = loaded(t)
+    rows = [reports[n].select(F.lit(n).alias("run"), "*") for n in ("labelled", "all", "again")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("snk4_embedded_chunks", f"""
+    with {LOADED}, e as (select i.*, case when i.scheme_id % 3 = 2 and length(description) <= 250 then '' else description end as shown from a join i on i.scheme_id = a.scheme_id)
+    select file || '_' || section as chunk_id, file as source_file, section, 128 as width from (select *, unnest(['description', 'benefits', 'eligibility', 'application']) as section from e)
+    where section <> 'description' or length(shown) >= 40""")
+def embedded_chunk_rows(t):
+    _, held, _ = loaded(t)
+    return held.read().select("chunk_id", "source_file", "section", F.size("vector").alias("width"))
+
+
 @query("snk4_chunk_append", f"with {CHUNKS} select section, count(*) as embedded from ch where scheme_id not in (select doc_id from labels where quality = 1) group by section")
 def chunk_append(t):
     built = chunks.build_chunks(schemes(t))

@@ -422,3 +422,6 @@ SEGMENT_MARK = "**"
 SEGMENT_LETTER = r"[^\W\d_]"
 SEGMENT_LEAD = r"[\s\-–—]*(?:\d+\.\s+)?[\s\-–—]*"
 SEGMENT_TRAIL = r"(?:\s+\d+\.)?\s*$"
+
+# --- fixed values: loads -----------------------------------------------------------------------
+CORRUPT_NAME_MARKERS = ["are you sure you want to sign out"]

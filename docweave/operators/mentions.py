@@ -16,8 +16,12 @@ WORD_SIZES = [1, 2, 3, 4]         # words per gram
 CHAR_SIZES = [4, 5, 6, 7, 8]      # characters per gram; needles have at least four
 
 
+#: What belongs to a word, wherever names are looked for: letters, numbers, marks, connectors and joiners.
+WORD = r"[\p{L}\p{N}\p{M}\p{Pc}\x{200C}\x{200D}]"
+
+
 def _words(col: Column) -> Column:
-    return F.regexp_extract_all(col, F.lit(r"(?U)(\w+)"), F.lit(1))
+    return F.regexp_extract_all(col, F.lit(f"({WORD}+)"), F.lit(1))
 
 
 def _grams(units: Column, n: int) -> Column:
@@ -77,11 +81,11 @@ def contained_lists(haystacks: DataFrame, needles: DataFrame, whole_words: bool,
 
 
 def _joins(text: str, at: int) -> bool:
-    """Whether the character belongs to a word: letters, digits, marks, connectors and joiners."""
+    """Whether the character belongs to a word; the same class as ``WORD``."""
     if not 0 <= at < len(text):
         return False
-    c = text[at]
-    return c.isalnum() or unicodedata.category(c) in ("Mn", "Mc", "Me", "Pc", "Nl") or c in "\u200c\u200d"
+    kind = unicodedata.category(text[at])
+    return kind[0] in "LNM" or kind == "Pc" or text[at] in "\u200c\u200d"
 
 
 def contained_pairs(haystacks: DataFrame, needles: DataFrame, whole_words: bool, most: int = MAX_SCAN_NEEDLES) -> DataFrame:
@@ -113,7 +117,7 @@ def gram_pairs(haystacks: DataFrame, needles: DataFrame, whole_words: bool) -> D
     texts = candidates.join(haystacks.select("hay_id", "hay"), "hay_id").join(needles.select("needle_id", "needle"), "needle_id")
     found = F.contains(F.col("hay"), F.col("needle"))
     if whole_words:
-        found = found & F.rlike(F.col("hay"), F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("needle"), F.lit(r"\E(?!\w)")))
+        found = found & F.rlike(F.col("hay"), F.concat(F.lit(rf"(?<!{WORD})\Q"), F.col("needle"), F.lit(rf"\E(?!{WORD})")))
     return texts.filter(found).select("hay_id", "needle_id", "needle")
 
 

@@ -111,6 +111,15 @@ def test_automaton_and_grams_agree(spark):
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) != []
 
 
+def test_edges_of_words_do_not_depend_on_the_number_of_names(spark):
+    edges = ["", "²", "½", "Ⓐ", "_", "\u200c", "\u0301", "ⅷ", "٣", "-", "्", "‿", "中", "·", "\U0001d7ce", "℮", "ª"]
+    texts = [(i, f"x {a}alpha beta{b} y") for i, (a, b) in enumerate([(a, b) for a in edges for b in edges])]
+    hay, needles = spark.createDataFrame(texts, "hay_id long, hay string"), spark.createDataFrame([(1, "alpha beta")], "needle_id long, needle string")
+    few, many = ({r.hay_id for r in mentions.contained_pairs(hay, needles, True, most).collect()} for most in (20_000, 0))
+    outside = {"", "Ⓐ", "-", "·", "℮"}
+    assert few == many == {i for i, (a, b) in enumerate([(a, b) for a in edges for b in edges]) if a in outside and b in outside}
+
+
 def test_mentions_match_brute_force(spark):
     rng = random.Random(1)
     names = [(i, " ".join(rng.choices(WORDS, k=rng.randint(1, 5)))) for i in range(60)]
