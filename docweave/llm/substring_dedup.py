@@ -214,12 +214,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 def named_texts(docs: DataFrame) -> DataFrame:
     """doc, text and crc, which tells the texts of one doc apart.
 
-    It is the CRC-32 of the text. Where different texts of a doc share one, which is looked up first by 128 more bits,
-    all texts of this doc have their number in the order of these bits instead; such a doc may hold any part of the rows.
+    It is the CRC-32 of the text. Where different texts of a doc share one, which is looked up among the docs of more
+    than one row by 128 more bits, all texts of this doc have their number in the order of these bits instead; such a
+    doc may hold any part of the rows.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(_MINUS)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    several = stored(texts.groupBy("doc").count().where("count > 1").select("doc"), "several")
     bits = [F.xxhash64("text").alias("high"), F.xxhash64("text", F.lit(2)).alias("low")]
-    sums = texts.select("doc", F.crc32("text").alias("crc"), *bits)
+    if several.isEmpty():
+        return texts.withColumn("crc", F.crc32("text"))
+    sums = texts.select("doc", F.crc32("text").alias("crc"), *bits).join(several, "doc", "left_semi")
     limits = [f(c).alias(f"{f.__name__}_{c}") for c in ("high", "low") for f in (F.min, F.max)]
     shared = sums.groupBy("doc", "crc").agg(*limits).where("min_high <> max_high or min_low <> max_low")
     shared = stored(shared.select("doc").distinct(), "shared")
