@@ -102,7 +102,7 @@ CHAINS = f"""{SECTIONS},
 
 @query("sec6_gap_chains", f"with {CHAINS} select doc_id, cast(pos as bigint) as pos, suppressed, orphan from f")
 def gap_chains(t):
-    rows = classified(t).select("doc_id", F.posexplode("sections").alias("pos", "s"))
+    rows = split(t).withColumn("sections", sec.mark_chains(F.col("sections"))).select("doc_id", F.posexplode("sections").alias("pos", "s"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "s.suppressed", "s.orphan")
 
 

@@ -65,23 +65,41 @@ def classify(sections: Column, category: Column, score: Column, thresholds: dict
     return F.transform(sections, one)
 
 
+def _runs(n: Column, starts: Column, build) -> Column:
+    """``build(first, length)`` of each run that begins at ``starts`` (ascending places from 0) and ends before the next or ``n``.
+
+    A run reads its own elements alone, so all runs of an array together take time in proportion to it.
+    """
+
+    def each(listed: Column) -> Column:
+        return F.transform(listed, lambda first, r: build(first, F.coalesce(F.get(listed, r + 1), n) - first))
+
+    return let(starts, each)
+
+
+def _places(listed: Column, holds) -> Column:
+    """Places from 0 at which ``holds(place)``."""
+    every = F.when(F.size(listed) > 0, F.sequence(F.lit(0), F.size(listed) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(every, holds)
+
+
 def inherit_repeats(sections: Column) -> Column:
     """A heading equal to the one before it continues that section: same category, score and flag."""
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (F.lower(tx.strip(s["heading"])) == F.lower(tx.strip(F.try_element_at(done, F.lit(-1))["heading"])))
-        kept = F.when(same, last)
-        merged = F.struct(
-            s["heading"].alias("heading"), s["content"].alias("content"),
-            F.when(same, kept["category"]).otherwise(s["category"]).alias("category"),
-            F.when(same, kept["score"]).otherwise(s["score"]).alias("score"),
-            F.when(same, kept["confident"]).otherwise(s["confident"]).alias("confident"),
-            same.alias("continuation"))
-        return F.concat(done, F.array(merged))
+    def joined(both: Column) -> Column:
+        rows, keys = both["rows"], both["keys"]
+        starts = _places(keys, lambda i: (i == 0) | (F.get(keys, i) != F.get(keys, i - 1)))
+
+        def run(first: Column, length: Column) -> Column:
+            head = F.get(rows, first)
+            return F.transform(F.slice(rows, first + 1, length), lambda s, k: F.struct(
+                s["heading"].alias("heading"), s["content"].alias("content"), head["category"].alias("category"), head["score"].alias("score"),
+                head["confident"].alias("confident"), (k > 0).alias("continuation")))
 
-    empty = F.array().cast("array<struct<heading:string,content:string,category:string,score:double,confident:boolean,continuation:boolean>>")
-    return F.aggregate(sections, empty, step)
+        return F.flatten(_runs(F.size(rows), starts, run))
+
+    keyed = F.struct(sections.alias("rows"), F.transform(sections, lambda s: F.lower(tx.strip(s["heading"]))).alias("keys"))
+    return let(keyed, joined)
 
 
 def mark_chains(sections: Column) -> Column:
@@ -114,23 +132,13 @@ def of_category(sections: Column, category: str) -> Column:
 
 def faq_pairs(lines: Column) -> Column:
     """A line ending in "?" opens a question; the lines after it, joined by spaces, answer it."""
-    kind = "struct<done:array<struct<question:string,answer:string>>,question:string,answer:array<string>>"
-
-    def finished(state: Column) -> Column:
-        pair = F.struct(state["question"].alias("question"), tx.strip(F.array_join(state["answer"], " ")).alias("answer"))
-        return F.when(state["question"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(pair)))
 
-    def step(state: Column, line: Column) -> Column:
-        asks = F.endswith(tx.strip(line), F.lit("?"))
-        said = F.when(state["question"].isNull(), state["answer"]).otherwise(F.concat(state["answer"], F.array(line)))
-        return F.struct(
-            F.when(asks, finished(state)).otherwise(state["done"]).alias("done"),
-            F.when(asks, line).otherwise(state["question"]).alias("question"),
-            F.when(asks, F.array().cast("array<string>")).otherwise(said).alias("answer")).cast(kind)
+    def pairs(listed: Column) -> Column:
+        asks = _places(listed, lambda i: F.endswith(tx.strip(F.get(listed, i)), F.lit("?")))
+        return _runs(F.size(listed), asks, lambda first, length: F.struct(
+            F.get(listed, first).alias("question"), tx.strip(F.array_join(F.slice(listed, first + 2, length - 1), " ")).alias("answer")))
 
-    start = F.struct(F.array().cast("array<struct<question:string,answer:string>>").alias("done"),
-                     F.lit(None).cast("string").alias("question"), F.array().cast("array<string>").alias("answer")).cast(kind)
-    return F.aggregate(lines, start, step, finished)
+    return let(lines, pairs)
 
 
 def assemble(sections: Column, preamble: Column, stem: Column) -> Column:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave import fixed
-from docweave.functions import text as tx
+from docweave.functions import sections as sec, text as tx
 
 
 @pytest.mark.parametrize("broken, repaired", [
@@ -113,3 +113,26 @@ def test_sentences(value):
 
 def test_junk(value):
     assert [value(tx.is_junk, x) for x in ("short", "-- .. -- .. --", "also ok ?", "What is the plan about?", "A proper condition")] == [True, True, True, False, False]
+
+
+def test_twenty_thousand_sections_take_seconds(spark):
+    """Runs of sections and of answers are read once, however many there are."""
+    import time
+
+    n = 20_000
+    rows = spark.range(1, numPartitions=1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+        F.concat(F.lit("H"), F.floor(i / 3)).alias("heading"), F.lit("c").alias("content"), F.when(i % 3 == 0, i.cast("string")).otherwise("other").alias("category"),
+        (i % 7).cast("double").alias("score"), (i % 2 == 0).alias("confident"))).alias("s"))
+    started = time.time()
+    (got,) = rows.select(sec.inherit_repeats(F.col("s")).alias("s")).collect()
+    assert [(x.category, x.continuation) for x in got.s] == [(str(i - i % 3), i % 3 > 0) for i in range(n)]
+    lines = spark.range(1, numPartitions=1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(i.cast("string"), F.when(i % 4 == 1, "?").otherwise(""))).alias("l"))
+    (pairs,) = lines.select(sec.faq_pairs(F.col("l")).alias("p")).collect()
+    assert [(p.question, p.answer) for p in pairs.p] == [(f"{i}?", " ".join(str(k) for k in range(i + 1, min(i + 4, n)))) for i in range(1, n, 4)]
+    assert time.time() - started < 20
+
+
+def test_sections_and_answers_at_the_edges(value):
+    assert value(lambda c: F.size(sec.inherit_repeats(F.array().cast("array<struct<heading:string,content:string,category:string,score:double,confident:boolean>>"))), "x") == 0
+    assert value(lambda c: F.to_json(sec.faq_pairs(F.split(c, "[|]"))), "no question|at all") == "[]"
+    assert value(lambda c: F.to_json(sec.faq_pairs(F.split(c, "[|]"))), "a|b? |c| d|e?") == '[{"question":"b? ","answer":"c  d"},{"question":"e?","answer":""}]'
