@@ -65,6 +65,31 @@ def json_detail(t):
                        F.date_format("last_updated", "yyyy-MM-dd").alias("day"))
 
 
+RECORD_JSON = """concat('{"data":{"en":{"basicDetails":{"schemeName":"', case when p_size % 5 = 0 then '' else p_name end, '","nodalMinistryName":"', case when p_size % 2 = 0 then concat('Ministry ', p_brand) else '' end,
+    '","nodalDepartmentName":"', p_brand, '","state":"State  of ', p_size, '","level":"Central","schemeCategory":[{"label":"', p_type, '"},"x",""],"tags":["', p_brand, ' box"," b  c ",""]',
+    case when p_size % 3 = 0 then ',"updatedAt":"2024-02-03"' else '' end, '},"schemeContent":{"briefDescription":', case when p_size % 4 = 0 then '[]' else concat('["**Made** of ', p_name, '",{"a":"x","b":["<p>y</p>",""]}]') end,
+    ',"detailedDescription_md":"1. long","benefits":["- one", {"z":"two"}]},"eligibilityCriteria":{"eligibilityDescription":"A\\\\nB"},"documentsRequired":[{"documentsRequired_md":"* id\\\\n* card"},"photo",{"k":"v"}],',
+    '"applicationProcess":[{"process_md":["1. go","2. pay"]},"end"]}}}')"""
+EMPTY_NAMES = "case when p_size % 5 = 0 then 'Listed ' || p_partkey else p_name end"
+
+
+def _details(rows, *keys):
+    listed = ("benefits", "eligibility", "documents", "steps", "tags")
+    return rows.select(*keys, "d.*").select(*keys, "scheme_name", "department", "state", "category", "scheme_type", "description", *[F.array_join(c, "|").alias(c) for c in listed],
+                                            F.date_format("last_updated", "yyyy-MM-dd").alias("day"))
+
+
+@query("src7_detail_record", f"""
+    select p_partkey, {EMPTY_NAMES} as scheme_name, case when p_size % 2 = 0 then 'Ministry ' || p_brand else p_brand end as department, 'State of ' || p_size as state, p_type || ', x' as category,
+      'Central' as scheme_type, case when p_size % 4 = 0 then 'long' else 'Made of ' || p_name || ' x y' end as description, 'one|two' as benefits, 'A|B' as eligibility,
+      'id|card|photo|v' as documents, 'go|pay|end' as steps, p_brand || ' box|b c' as tags, case when p_size % 3 = 0 then '2024-02-03' else '2023-01-02' end as day from part""")
+def detail_record(t):
+    """Every field of the detail record, with list-valued members and what the listing says for those without a name or date."""
+    listed = F.concat(F.lit("Listed "), F.col("p_partkey"))
+    rows = t.part.select("p_partkey", listing.json_detail(F.expr(RECORD_JSON), listed, F.lit("2023-01-02").cast("timestamp")).alias("d"))
+    return _details(rows, "p_partkey")
+
+
 # The pages have no section headings of their own: the line breaks of the lead become one, the article end another.
 PAGE = """replace(replace(replace(html, '<p><b>', '<h2>Details</h2><p><b>'), '<br>', '<h3>Benefits</h3>'),
     '<footer>', '<h2>Eligibility criteria</h2><p>' || url || '</p><h2>Other</h2><p>Last updated: 3 Feb 2024</p>')"""
@@ -90,6 +115,28 @@ def html_detail(t):
                     F.array_join("d.s.eligibility", "|").alias("eligibility"), F.date_format("d.last_updated", "yyyy-MM-dd").alias("day"))
 
 
+PAYLOAD = """'<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"schemeData":{"basicDetails":{"schemeName":"Page ' || page_id || '","level":"State","tags":["t"]},' ||
+    '"documents_required":["form"],"schemeContent":{"benefits":["b1","b2"]}}}}}</script>'"""
+SENT = f"case when page_id % 3 = 0 then replace({PAGE}, '<article>', {PAYLOAD} || '<article>') when page_id % 3 = 1 then replace({PAGE}, 'h1>', 'h4>') else {PAGE} end"
+
+
+@query("src8_page_detail", rf"""
+    with {BODY},
+    h as (select pages.page_id, coalesce(string_agg(line, ' ' order by i, k) filter (title = 'Details'), '') as description, coalesce(string_agg(line, '|' order by i, k) filter (title = 'Benefits'), '') as benefits,
+        coalesce(string_agg(line, '|' order by i, k) filter (title = 'Eligibility criteria'), '') as eligibility, any_value(html) as html
+      from pages left join (select * from c where line <> '') c on pages.page_id = c.page_id group by pages.page_id)
+    select page_id, case page_id % 3 when 0 then 'Page ' || page_id when 1 then 'Listed ' || page_id else replace(replace(replace(regexp_replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') end as scheme_name,
+      case when page_id % 3 = 0 then 'State' else '' end as scheme_type, sha256(case when page_id % 3 = 0 then '' else description end) as description,
+      sha256(case when page_id % 3 = 0 then 'b1|b2' else benefits end) as benefits, case when page_id % 3 = 0 then '' else eligibility end as eligibility,
+      case when page_id % 3 = 0 then 'form' else '' end as documents, case when page_id % 3 = 0 then 't' else '' end as tags, case when page_id % 3 = 0 then '2023-01-02' else '2024-02-03' end as day from h""")
+def whole_page_detail(t):
+    """Pages with an embedded payload, without a title, and with both in HTML alone."""
+    listed = F.concat(F.lit("Listed "), F.col("page_id"))
+    rows = t.pages.select("page_id", listing.page_detail(F.expr(SENT), listed, F.lit("2023-01-02").cast("timestamp")).alias("d"))
+    d = _details(rows, "page_id")
+    return d.select("page_id", "scheme_name", "scheme_type", F.sha2("description", 256).alias("description"), F.sha2("benefits", 256).alias("benefits"), "eligibility", "documents", "tags", "day")
+
+
 @query("src9_detail_fallback", """
     select coalesce(doc_id, page_id) as id, case when doc_id is not null and lang <> 'en' then lang else url end as name,
       case when doc_id is not null and lang <> 'en' then n_chars else length(html) end as size

@@ -95,46 +95,86 @@ def embedded_json(html: Column) -> Column:
     return F.get_json_object(F.nullif(payload, F.lit("")), "$.props.pageProps.schemeData")
 
 
-def json_detail(raw: Column) -> Column:
-    """Normalised detail record of a JSON body: alternative keys, optional ``data`` and ``en`` levels."""
-    body = F.try_parse_json(raw)
-    data = F.coalesce(F.try_variant_get(body, "$.data", "variant"), body)
-    en = F.coalesce(F.try_variant_get(data, "$.en", "variant"), data)
-
-    def text(*paths: str) -> Column:
-        return F.coalesce(*[F.nullif(_text(en, p), F.lit("")) for p in paths])
+DEPTH = 3  # levels of lists and objects that are flattened into lines
+NO_TEXTS = "array<string>"
 
-    def members(path: str, member: str) -> Column:
-        listed = F.try_variant_get(en, path, "array<variant>")
-        return F.coalesce(F.transform(listed, lambda x: F.coalesce(
-            F.try_variant_get(x, f"$.{member}", "string"), x.cast("string"))), F.array().cast("array<string>"))
 
-    def listed(*paths: str) -> Column:
-        return F.coalesce(tx.plain_lines(text(*paths)), F.array().cast("array<string>"))
+def _flat_lines(value: Column, depth: int = DEPTH) -> Column:
+    """Plain lines of a VARIANT: of a text its own, of a list those of its members, of an object those of its values by key."""
+    own = F.coalesce(tx.plain_lines(F.try_variant_get(value, "$", "string")), F.array().cast(NO_TEXTS))
+    if not depth:
+        return own
+    kind = F.schema_of_variant(value)
+    below = lambda listed: F.flatten(F.transform(listed, lambda x: _flat_lines(x, depth - 1)))
+    return F.when(F.startswith(kind, F.lit("ARRAY")), below(F.try_variant_get(value, "$", "array<variant>"))).when(
+        F.startswith(kind, F.lit("OBJECT")), below(F.map_values(F.try_variant_get(value, "$", "map<string,variant>")))).otherwise(own)
 
-    return F.struct(
-        tx.squeeze(F.coalesce(text("$.basicDetails.schemeName"), F.lit(""))).alias("scheme_name"),
-        tx.squeeze(F.coalesce(text("$.basicDetails.nodalMinistryName", "$.basicDetails.nodalDepartmentName"), F.lit(""))).alias("department"),
-        tx.squeeze(F.coalesce(text("$.basicDetails.state"), F.lit(""))).alias("state"),
-        F.array_join(F.filter(F.transform(members("$.basicDetails.schemeCategory", "label"), lambda x: tx.squeeze(x)), lambda x: x != ""), ", ").alias("category"),
-        F.array_join(listed("$.schemeContent.briefDescription", "$.schemeContent.detailedDescription_md"), " ").alias("description"),
-        listed("$.schemeContent.benefits_md", "$.schemeContent.benefits").alias("benefits"),
-        listed("$.eligibilityCriteria.eligibilityDescription_md", "$.eligibilityCriteria.eligibilityDescription").alias("eligibility"),
-        F.flatten(F.transform(members("$.applicationProcess", "process_md"), lambda x: tx.plain_lines(x))).alias("steps"),
-        tx.parse_date(F.coalesce(_first_text(en, UPDATED_KEYS), _first_text(en, UPDATED_KEYS, "$.basicDetails"))).alias("last_updated"),
-    )
 
+def json_detail(raw: Column, name: Column | None = None, updated: Column | None = None) -> Column:
+    """Normalised detail record of a JSON body: alternative keys, optional ``data`` and ``en`` levels, texts or lists.
 
-def page_detail(html: Column) -> Column:
+    ``name`` and ``updated`` are what the listing says, for records without them.
+    """
+    body = F.try_parse_json(raw)
+    data = F.coalesce(F.try_variant_get(body, "$.data", "variant"), body)
+    inner = F.try_variant_get(data, "$.en", "variant")
+    en = F.when(F.startswith(F.schema_of_variant(inner), F.lit("OBJECT")), inner).otherwise(data)
+    name = F.lit(None).cast("string") if name is None else name
+    updated = F.lit(None).cast("timestamp") if updated is None else updated
+
+    def record(en: Column) -> Column:
+        def first(*paths: str) -> Column:
+            given = [F.try_variant_get(en, p, "variant") for p in paths]
+            return F.coalesce(*[F.when(~F.to_json(v).isin('""', "[]", "{}", "null"), v) for v in given])
+
+        def text(*paths: str) -> Column:
+            return tx.squeeze(F.coalesce(F.try_variant_get(first(*paths), "$", "string"), F.lit("")))
+
+        def listed(*paths: str) -> Column:
+            return let(first(*paths), lambda v: F.when(v.isNull(), F.array().cast(NO_TEXTS)).otherwise(_flat_lines(v)))
+
+        def members(member: str, *paths: str) -> Column:
+            every = F.coalesce(F.try_variant_get(first(*paths), "$", "array<variant>"), F.array().cast("array<variant>"))
+            return F.transform(every, lambda x: F.coalesce(F.try_variant_get(x, f"$.{member}", "variant"), x))
+
+        def texts(listed: Column) -> Column:
+            return F.filter(F.transform(listed, lambda x: tx.squeeze(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))), lambda x: x != "")
+
+        def lines(listed: Column) -> Column:
+            return F.flatten(F.transform(listed, lambda x: _flat_lines(x)))
+
+        day = F.coalesce(_first_text(en, UPDATED_KEYS), _first_text(en, UPDATED_KEYS, "$.basicDetails"))
+        return F.struct(
+            F.coalesce(F.nullif(text("$.basicDetails.schemeName"), F.lit("")), tx.squeeze(name), F.lit("")).alias("scheme_name"),
+            text("$.basicDetails.nodalMinistryName", "$.basicDetails.nodalDepartmentName").alias("department"),
+            text("$.basicDetails.state").alias("state"), F.array_join(texts(members("label", "$.basicDetails.schemeCategory")), ", ").alias("category"),
+            F.array_join(listed("$.schemeContent.briefDescription", "$.schemeContent.detailedDescription_md"), " ").alias("description"),
+            listed("$.schemeContent.benefits_md", "$.schemeContent.benefits").alias("benefits"),
+            listed("$.eligibilityCriteria.eligibilityDescription_md", "$.eligibilityCriteria.eligibilityDescription").alias("eligibility"),
+            lines(members("process_md", "$.applicationProcess")).alias("steps"),
+            F.when(day.isNotNull(), tx.parse_date(day)).otherwise(updated).alias("last_updated"),
+            text("$.basicDetails.level").alias("scheme_type"),
+            lines(members("documentsRequired_md", "$.documents_required", "$.documentsRequired")).alias("documents"),
+            texts(members("label", "$.basicDetails.tags")).alias("tags"))
+
+    return let(en, record)
+
+
+def page_detail(html: Column, name: Column | None = None, updated: Column | None = None) -> Column:
     """Detail record of a page: its embedded payload when there is one, else what the HTML shows."""
+    known = F.lit(None).cast("string") if name is None else name
+    day = F.lit(None).cast("timestamp") if updated is None else updated
 
     def choose(payload: Column) -> Column:
-        given, seen = json_detail(payload), html_detail(html)
-        none = F.array().cast("array<string>")
+        given, seen = json_detail(payload, name, updated), html_detail(html)
+        none = F.array().cast(NO_TEXTS)
+        titled = F.rlike(html, F.lit(r"(?i)<h1[\s>]"))
         shown = F.struct(
-            seen["scheme_name"].alias("scheme_name"), F.lit("").alias("department"), F.lit("").alias("state"), F.lit("").alias("category"),
+            F.when(titled, seen["scheme_name"]).otherwise(F.coalesce(tx.squeeze(known), F.lit(""))).alias("scheme_name"),
+            *[F.lit("").alias(n) for n in ("department", "state", "category")],
             seen["s"]["description"].alias("description"), seen["s"]["benefits"].alias("benefits"), seen["s"]["eligibility"].alias("eligibility"),
-            F.coalesce(seen["s"]["steps"], none).alias("steps"), seen["last_updated"].alias("last_updated"))
+            F.coalesce(seen["s"]["steps"], none).alias("steps"), F.coalesce(seen["last_updated"], day).alias("last_updated"),
+            F.lit("").alias("scheme_type"), F.coalesce(seen["s"]["documents"], none).alias("documents"), none.alias("tags"))
         return F.when(payload.isNotNull(), given).otherwise(shown)
 
     return let(embedded_json(html), choose)
