@@ -3,15 +3,20 @@
 All sequences of a batch lie behind one another in one array. In each round every sequence applies its
 lowest-rank pair, at all places where it occurs, and sequences without a pair leave. Merging all places of a pair
 at once gives the library's result because a pair that a merge creates always has a higher rank than the merge.
+
+A round over the array costs its length. A sequence of more than ``LONG`` symbols therefore keeps its places in buckets
+by rank and looks up again only what stands beside a merge, so that its rounds cost their merges.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
+LONG = 4096
 
 
 def byte_characters() -> list[str]:
@@ -81,6 +86,12 @@ class PairTable:
         symbols[ends] = self.last[data[ends]]
         owner = np.repeat(np.arange(len(lengths)), lengths)
         done_symbols, done_owner = [], []
+        for i in np.flatnonzero(lengths > LONG):
+            done_symbols.append(self._merged_alone(symbols[offsets[i]:offsets[i + 1]]))
+            done_owner.append(np.full(len(done_symbols[-1]), i))
+        if done_symbols:
+            short = (lengths <= LONG)[owner]
+            symbols, owner = symbols[short], owner[short]
         while len(symbols):
             ranks = np.full(len(symbols), NONE, dtype=np.int32)
             inside = np.flatnonzero(owner[:-1] == owner[1:])
@@ -106,12 +117,55 @@ class PairTable:
         counts = np.bincount(owner, minlength=len(lengths))
         return symbols[order], np.r_[0, np.cumsum(counts)]
 
-
-def _every_other(at: np.ndarray) -> np.ndarray:
-    """In runs of consecutive numbers (a pair of equal symbols overlapping itself) the 1st, 3rd, ... of each run."""
+    def _merged_alone(self, symbols: np.ndarray) -> np.ndarray:
+        """The merged symbols of one sequence: all places of the lowest rank, then of the next lowest, and so on."""
+        n = len(symbols)
+        symbols = np.r_[symbols, 0]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        ranks = np.full(n + 1, NONE, dtype=np.int32)
+        ranks[:n - 1] = self.rank(symbols[:n - 1], symbols[1:n])
+        left = np.ones(n, dtype=bool)
+        buckets: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            found = ranks[places]
+            places, found = places[found != NONE], found[found != NONE]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else found
+            for rank, lo, hi in zip(found[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(found)]):
+                if rank not in buckets:
+                    buckets[rank] = []
+                    heapq.heappush(waiting, rank)
+                buckets[rank].append(places[lo:hi])
+
+        put(np.arange(n - 1))
+        while waiting:
+            rank = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(buckets.pop(rank)))
+            at = at[ranks[at] == rank]  # places that a merge has changed since are in other buckets
+            if not len(at):
+                continue
+            at = at[_every_other(at, after)]
+            gone = after[at]
+            symbols[at], ranks[gone], left[gone] = self.made[rank], NONE, False
+            after[at] = after[gone]
+            before[after[at]] = at
+            beside = before[at]
+            look = np.unique(np.r_[at, beside[beside >= 0]])
+            paired = after[look] < n
+            ranks[look] = NONE
+            ranks[look[paired]] = self.rank(symbols[look[paired]], symbols[after[look[paired]]])
+            put(look)
+        return symbols[:n][left]
+
+
+def _every_other(at: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """In runs of neighbours (a pair of equal symbols overlapping itself) the 1st, 3rd, ... of each run."""
     if not len(at):
         return np.zeros(0, dtype=bool)
-    start = np.r_[True, np.diff(at) != 1]
+    start = np.r_[True, (at[:-1] + 1 if after is None else after[at[:-1]]) != at[1:]]
     first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
     return (np.arange(len(at)) - first) % 2 == 0
 

@@ -1,12 +1,14 @@
 """Token ids, counts and packing against the tokenizers library."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
+from docweave.llm.bpe import PairTable
 from docweave.llm.packing import Encoder, pack_documents
 from docweave.llm.token_counts import Counter, token_counts
 
@@ -81,3 +83,15 @@ def test_packing_is_whole(spark, parts, open_windows):
 
 def test_packing_nothing(spark):
     assert pack_documents(frame(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_million_letters_take_seconds(name):
+    r = random.Random(9)
+    table, tk = PairTable(open(public_tokenizers.path(name), encoding="utf-8").read()), library(name)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "short", "a" * 50_001, "".join(r.choice("ab") for _ in range(5000)), "", "xyz" * 3000]
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    started = time.time()
+    ids, ends = table.encode(np.frombuffer("".join(texts).encode(), dtype=np.uint8), offsets)
+    assert time.time() - started < 10
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
