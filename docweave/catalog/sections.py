@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from docweave import schemas
 from docweave.catalog.registry import query
 from docweave.functions import sections as sec, text as tx
 from docweave.operators import search
@@ -167,6 +168,66 @@ def assembled(t):
                       F.size("d.eligibility.exclusions").cast("long").alias("exclusions"))
 
 
+# Lines that end in "er", "on" or "e" and a stop are questions, so that sections of questions have some.
+ASKED = r"regexp_replace({0}, '(er|on|e)\.\s*$', '\1?')"
+DOCUMENT = rf"""{ITEMS},
+    label as (select *, len(string_split(item, ' ')) <= 3 and not regexp_matches(item, '\d|[.:]$') and
+       len(list_filter(regexp_split_to_array(item, '\s+'), lambda x: lower(x) in ('of', 'and', 'the', 'for', 'in', 'to', '&') or regexp_matches(x, '^\p{{Lu}}'))) = len(regexp_split_to_array(item, '\s+')) as tag from j),
+    nm as (select doc_id, coalesce(nullif(regexp_replace(list_filter(string_split(p[1], chr(10)), lambda x: regexp_matches(x, '\S'))[1], '^\s+|\s+$', '', 'g'), ''), 'doc' || doc_id) as name from m),
+    ls as (select doc_id, {', '.join(f"list(item order by o) filter (category = '{c}') as {c}" for c in ('objectives', 'benefits', 'eligibility', 'exclusions'))}
+           from label join nm using (doc_id) where not tag and lower(item) <> lower(name) group by doc_id),
+    fq as (select doc_id, o, {ASKED.format('item')} as line from j where category = 'faqs'),
+    fg as (select *, sum(case when line like '%?' then 1 else 0 end) over (partition by doc_id order by o) as grp from fq),
+    fp as (select doc_id, grp, {{'question': arg_min(line, o), 'answer': coalesce(string_agg(line, ' ' order by o) filter (line not like '%?'), '')}} as pair from fg where grp > 0 group by 1, 2),
+    fa as (select doc_id, list(pair order by grp) as faq from fp group by 1),
+    ds as (select documents.doc_id, coalesce(arg_min(content, pos) filter (orphan), '') as description from documents left join f using (doc_id) group by 1),
+    docs as (select nm.doc_id, to_json({{'metadata': {{'scheme_name': name, 'scheme_type': '', 'state': '', 'implementing_department': '', 'category': ''}},
+        'overview': {{'description': description, 'objectives': coalesce(objectives, []), 'beneficiaries': []::varchar[]}},
+        'benefits': {{'financial_assistance': '', 'other_benefits': coalesce(benefits, [])}}, 'eligibility': {{'conditions': coalesce(eligibility, []), 'exclusions': coalesce(exclusions, [])}},
+        'application': {{'mode': '', 'documents': []::varchar[], 'steps': []::varchar[]}}, 'support': {{'official_website': '', 'helpline': '', 'important_dates': []::varchar[], 'source_links': []::varchar[]}},
+        'faq': coalesce(faq, []), 'search_metadata': {{'tags': []::varchar[], 'keywords': []::varchar[]}}, 'notes': ''}}) as doc
+      from nm join ds using (doc_id) left join ls using (doc_id) left join fa using (doc_id))"""
+
+
+def complete_documents(t):
+    """Documents with every leaf of the schema, none of them null."""
+    asked = lambda s: s.withField("content", F.when(F.lower(s["heading"]) == "einer", F.regexp_replace(s["content"], r"(?m)(er|on|e)\.[^\S\n]*$", "$1?")).otherwise(s["content"]))
+    rows = classified(t).withColumn("sections", F.transform("sections", asked))
+    doc = rows.select("doc_id", "sections", sec.assemble(F.col("sections"), F.col("preamble"), F.concat(F.lit("doc"), F.col("doc_id"))).alias("d"))
+    return doc.withColumn("d", schemas.completed(F.col("d"), doc.schema["d"].dataType))
+
+
+@query("sec10_complete_document", f"with {DOCUMENT} select doc_id, sha256(cast(doc as varchar)) as digest from docs")
+def complete_document(t):
+    return complete_documents(t).select("doc_id", F.sha2(F.to_json("d"), 256).alias("digest"))
+
+
+@query("agg10_document_report", rf"""
+    with {DOCUMENT}, el as (select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) as elements from documents),
+    hd as (select doc_id, count(*) as headings, count(*) filter ({SCORE_SQL} < 0.5) as low_confidence from s group by 1)
+    select doc_id, name, elements, (elements + 19) // 20 as pages, coalesce(headings, 0) as headings, coalesce(low_confidence, 0) as low_confidence, length(name) < 90 as valid,
+      case when length(name) < 90 then '' else 'metadata.scheme_name' end as errors from nm join el using (doc_id) left join hd using (doc_id)""")
+def document_report(t):
+    """Elements, pages, headings and validity of each document: the schema asks for a name of under 90 characters."""
+    from docweave.operators.profile import nested_errors
+
+    elements = F.transform(sec.items(F.col("text")), lambda x, i: F.struct(x.alias("text"), (F.floor(i / 20) + 1).alias("page")))
+    counted = t.documents.select("doc_id", elements.alias("e")).select("doc_id", F.size("e").cast("long").alias("elements"), F.coalesce(F.array_max(F.transform("e", lambda x: x["page"])), F.lit(0)).alias("pages"))
+    named = F.when(F.length("d.metadata.scheme_name") >= 90, F.col("d.metadata").withField("scheme_name", F.lit(None).cast("string"))).otherwise(F.col("d.metadata"))
+    checked = complete_documents(t).select("doc_id", "sections", F.col("d.metadata.scheme_name").alias("name"),
+                                           nested_errors(F.to_variant_object(F.struct(named.alias("metadata"), "d.overview", "d.faq")), REPORTED, F.lit("")).alias("bad"))
+    low = F.filter("sections", lambda s: ~s["confident"])
+    return counted.join(checked, "doc_id").select(
+        "doc_id", "name", "elements", "pages", F.size("sections").cast("long").alias("headings"), F.size(low).cast("long").alias("low_confidence"),
+        (F.size("bad") == 0).alias("valid"), F.array_join(F.transform("bad", lambda e: e["field"]), ",").alias("errors"))
+
+
+#: What the report asks of a document; a field that is not nullable must be there with its type.
+REPORTED = T.StructType([
+    T.StructField("metadata", T.StructType([T.StructField("scheme_name", T.StringType(), False)]), False), T.StructField("overview", schemas.SCHEME["overview"].dataType, False),
+    T.StructField("faq", schemas.SCHEME["faq"].dataType, False)])
+
+
 @query("sec11_pages_consumed", "select o_orderkey, coalesce(max(l_linenumber), 0) as pages from orders left join lineitem on l_orderkey = o_orderkey group by 1")
 def pages_consumed(t):
     seen = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").alias("pages"))

@@ -98,8 +98,10 @@ QUOTES = "‘’“”"
 QUOTES_PLAIN = "''\"\""
 MIN_NAME_CHARS = 4
 MIN_LOOKUP_CHARS = 8
-GENERIC_NAME_WORDS = ("scheme schemes for the of and in to a an on by with yojana yojna "
-                      "programme program mission").split()
+GENERIC_NAME_WORDS = [
+    "scheme", "schemes", "for", "the", "of", "and", "in", "to", "a", "an", "on", "by", "with", "yojana", "yojna",
+    "programme", "program", "mission",
+]
 
 # --- fixed values: safety -------------------------------------------------------------------
 ID_MASKS = [
@@ -273,12 +275,14 @@ FOLLOWUP_PATTERN = (
     r"\bbenefits?\b|\bamount\b|how\s+much|tell\s+me\s+more|\bmore\s+(?:details?|info|about)|\bdetails?\b|"
     r"\bdeadline\b|last\s+date|\bexplain\b|what\s+is\s+(?:it|this|that)|\bwhat\s+does\b"
 )
-FILLER_WORDS = (
-    "who can is are all apply applying for how to do i it its this that these those them the a an of "
-    "about on in me my tell more details detail info information documents document needed need required "
-    "require what which scheme schemes benefits benefit eligibility eligible criteria please explain "
-    "first second third fourth fifth last one amount much does and or also"
-).split()
+FILLER_WORDS = [
+    "who", "can", "is", "are", "all", "apply", "applying", "for", "how", "to", "do", "i", "it", "its", "this",
+    "that", "these", "those", "them", "the", "a", "an", "of", "about", "on", "in", "me", "my", "tell", "more",
+    "details", "detail", "info", "information", "documents", "document", "needed", "need", "required", "require",
+    "what", "which", "scheme", "schemes", "benefits", "benefit", "eligibility", "eligible", "criteria", "please",
+    "explain", "first", "second", "third", "fourth", "fifth", "last", "one", "amount", "much", "does", "and", "or",
+    "also",
+]
 MAX_REMEMBERED = 5
 
 SLOTS = ["age", "state", "income_annual", "category", "gender"]
@@ -343,13 +347,16 @@ RESPONSE_INTENTS = ["scheme_search", "scheme_detail", "eligibility", "document_h
                     "clarify", "out_of_scope", "document_upload"]
 
 # --- fixed values: typo repair --------------------------------------------------------------
-TYPO_WORDS = (
-    "scheme schemes farmer farmers student students scholarship scholarships pension subsidy benefit benefits "
-    "eligible eligibility document documents required available apply application about government which "
-    "explain housing education health women woman widow widows loan details process tell criteria disability "
-    "unemployed"
-).split()
-TYPO_KEEP = "former apple tells applied applies applying school schools heath wishes divorce issue about's whole".split()
+TYPO_WORDS = [
+    "scheme", "schemes", "farmer", "farmers", "student", "students", "scholarship", "scholarships", "pension",
+    "subsidy", "benefit", "benefits", "eligible", "eligibility", "document", "documents", "required", "available",
+    "apply", "application", "about", "government", "which", "explain", "housing", "education", "health", "women",
+    "woman", "widow", "widows", "loan", "details", "process", "tell", "criteria", "disability", "unemployed",
+]
+TYPO_KEEP = [
+    "former", "apple", "tells", "applied", "applies", "applying", "school", "schools", "heath", "wishes", "divorce",
+    "issue", "about's", "whole",
+]
 TYPO_CUTOFF = 0.8
 
 # --- fixed values: eligibility rules --------------------------------------------------------
