@@ -47,7 +47,7 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("height, target", [(2, 3), (3, 1000), (16, 40)])
+@pytest.mark.parametrize("height, target", [(2, 3), (16, 40)])
 def test_trie(spark, height, target):
     r = random.Random(height)
     rows = []
