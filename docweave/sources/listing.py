@@ -99,17 +99,23 @@ DEPTH = 3  # levels of lists and objects that are flattened into lines
 NO_TEXTS = "array<string>"
 
 
-def _flat_lines(value: Column, depth: int = DEPTH) -> Column:
-    """Plain lines of a VARIANT: of a text its own, of a list those of its members, of an object those of its values by key."""
-    own = F.coalesce(tx.plain_lines(F.try_variant_get(value, "$", "string")), F.array().cast(NO_TEXTS))
+def _leaves(value: Column, depth: int = DEPTH) -> Column:
+    """The texts of a VARIANT: itself, of a list those of its members, of an object those of its values by key."""
+    own = F.array(F.try_variant_get(value, "$", "string"))
     if not depth:
         return own
     kind = F.schema_of_variant(value)
-    below = lambda listed: F.flatten(F.transform(listed, lambda x: _flat_lines(x, depth - 1)))
+    below = lambda listed: F.flatten(F.transform(listed, lambda x: _leaves(x, depth - 1)))
     return F.when(F.startswith(kind, F.lit("ARRAY")), below(F.try_variant_get(value, "$", "array<variant>"))).when(
         F.startswith(kind, F.lit("OBJECT")), below(F.map_values(F.try_variant_get(value, "$", "map<string,variant>")))).otherwise(own)
 
 
+def _lines_of(values: Column) -> Column:
+    """Plain lines of all texts in VARIANTs."""
+    texts = F.array_compact(F.flatten(F.transform(values, lambda x: _leaves(x))))
+    return F.flatten(F.transform(texts, lambda x: tx.plain_lines(x)))
+
+
 def json_detail(raw: Column, name: Column | None = None, updated: Column | None = None) -> Column:
     """Normalised detail record of a JSON body: alternative keys, optional ``data`` and ``en`` levels, texts or lists.
 
@@ -131,7 +137,7 @@ def json_detail(raw: Column, name: Column | None = None, updated: Column | None
             return tx.squeeze(F.coalesce(F.try_variant_get(first(*paths), "$", "string"), F.lit("")))
 
         def listed(*paths: str) -> Column:
-            return let(first(*paths), lambda v: F.when(v.isNull(), F.array().cast(NO_TEXTS)).otherwise(_flat_lines(v)))
+            return _lines_of(F.array_compact(F.array(first(*paths))))
 
         def members(member: str, *paths: str) -> Column:
             every = F.coalesce(F.try_variant_get(first(*paths), "$", "array<variant>"), F.array().cast("array<variant>"))
@@ -140,9 +146,6 @@ def json_detail(raw: Column, name: Column | None = None, updated: Column | None
         def texts(listed: Column) -> Column:
             return F.filter(F.transform(listed, lambda x: tx.squeeze(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))), lambda x: x != "")
 
-        def lines(listed: Column) -> Column:
-            return F.flatten(F.transform(listed, lambda x: _flat_lines(x)))
-
         day = F.coalesce(_first_text(en, UPDATED_KEYS), _first_text(en, UPDATED_KEYS, "$.basicDetails"))
         return F.struct(
             F.coalesce(F.nullif(text("$.basicDetails.schemeName"), F.lit("")), tx.squeeze(name), F.lit("")).alias("scheme_name"),
@@ -151,10 +154,10 @@ def json_detail(raw: Column, name: Column | None = None, updated: Column | None
             F.array_join(listed("$.schemeContent.briefDescription", "$.schemeContent.detailedDescription_md"), " ").alias("description"),
             listed("$.schemeContent.benefits_md", "$.schemeContent.benefits").alias("benefits"),
             listed("$.eligibilityCriteria.eligibilityDescription_md", "$.eligibilityCriteria.eligibilityDescription").alias("eligibility"),
-            lines(members("process_md", "$.applicationProcess")).alias("steps"),
+            _lines_of(members("process_md", "$.applicationProcess")).alias("steps"),
             F.when(day.isNotNull(), tx.parse_date(day)).otherwise(updated).alias("last_updated"),
             text("$.basicDetails.level").alias("scheme_type"),
-            lines(members("documentsRequired_md", "$.documents_required", "$.documentsRequired")).alias("documents"),
+            _lines_of(members("documentsRequired_md", "$.documents_required", "$.documentsRequired")).alias("documents"),
             texts(members("label", "$.basicDetails.tags")).alias("tags"))
 
     return let(en, record)
