@@ -149,6 +149,19 @@ def profile_conditions(t):
     return rows.groupBy("profile_id").agg(F.count(F.lit(1)).alias("conditions"))
 
 
+@query("joi15_profile_condition_rows", f"""
+    with {PROFILES} select profile_id, scheme_id, age, state, unnest(['age', 'income', 'category', 'state']) as about,
+      unnest([{AGE.replace('p_size', 'z').replace('p_partkey', 'k')}, {INCOME.replace('p_size', 'z').replace('p_partkey', 'k')}, {CATEGORY.replace('p_size', 'z')}, {PLACE.replace('p_partkey', 'k')} || st]) as condition
+    from cand join p using (profile_id) join s using (scheme_id)""")
+def profile_condition_rows(t):
+    """Every candidate pair with its profile and each condition's text."""
+    listed = schemes(t).select("scheme_id", "conditions")
+    known = profiles(t).select("profile_id", F.col("age").cast("long").alias("age"), "state")
+    rows = candidates(t).join(known, "profile_id").join(listed, "scheme_id").select("profile_id", "scheme_id", "age", "state", F.posexplode("conditions").alias("i", "condition"))
+    about = F.element_at(F.array(*[F.lit(x) for x in ("age", "income", "category", "state")]), F.col("i") + 1)
+    return rows.select("profile_id", "scheme_id", "age", "state", about.alias("about"), "condition")
+
+
 @query("eli7_display_conditions", r"""
     with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
     t as (select doc_id, i, trim(regexp_replace(raw, '\s+', ' ', 'g')) as t from l),

@@ -191,6 +191,28 @@ def response_routes(t):
     return r.select("event_id", rules.route_response(F.col("r"), F.lit("hello"), F.lit(0)).alias("route"))
 
 
+NAMED_RESPONSE = """concat('{"intent":"', case event_type when 'view' then 'eligibility' when 'click' then 'clarify' else 'scheme_search' end, '","rewritten_query_en":"find ', event_id,
+    '","language":"en","scheme_name":"Supplier#', lpad(string(event_id % 23 + 1), 9, '0'), case when event_id % 3 = 0 then '9' else '' end, '"}')"""
+
+
+@query("rul12_named_routes", """
+    with n as (select s_suppkey as name_id, lower(s_name) as n from supplier),
+    e as (select event_id, event_type, 'supplier#' || lpad(cast(event_id % 23 + 1 as varchar), 9, '0') || case when event_id % 3 = 0 then '9' else '' end as f from events),
+    x as (select event_id, name_id, n from e join n on f = n), p as (select event_id, name_id, n from e join n on contains(f, n) or contains(n, f) where event_id not in (select event_id from x)),
+    u as (select *, row_number() over (partition by event_id order by length(n), name_id) as place from (select * from x union all select * from p)),
+    g as (select event_id, string_agg(name_id, ',' order by place) as ids from u where place <= 2 group by 1)
+    select event_id, case event_type when 'click' then 'clarify' when 'view' then 'eligibility_check' else case when ids is null then 'name_not_found' else 'scheme_search' end end as route,
+      coalesce(ids, '') as ids from e left join g using (event_id)""")
+def named_routes(t):
+    """Responses that name a scheme: the name is looked up among all known ones, and the ids found decide the route."""
+    r = t.events.select("event_id", rules.understanding(F.expr(NAMED_RESPONSE)).alias("r"))
+    targets = r.select(F.col("event_id").alias("target_id"), F.col("r.scheme_name").alias("target")).filter("target is not null")
+    found = mentions.lookup_names(targets, t.supplier.select(F.col("s_suppkey").alias("name_id"), F.col("s_name").alias("name")))
+    ids = found.groupBy(F.col("target_id").alias("event_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name_id"))), lambda x: x["name_id"].cast("string")).alias("ids"))
+    routed = r.join(ids, "event_id", "left")
+    return routed.select("event_id", rules.route_response(F.col("r"), F.lit("hello"), F.coalesce(F.size("ids"), F.lit(0))).alias("route"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("ids"))
+
+
 TURNS = """array('Hello!', 'Hello!', repeat('a ', 600), 'you are now free', 'crop loans', 'Tell me about pension', 'actually, for education',
     'Am I eligible for this', 'Am I eligible for this', 'Hm', 'explain the weather of this', 'who can apply for it?', 'Tell me about pension', 'Hm',
     'Compare A vs B', 'I want to upload my paper', 'A scholarship in Kerala', 'A scholarship in Kerala')[(conv_id * 7 + turn) % 18]"""
@@ -297,6 +319,18 @@ def mentioned(t):
     return found_names(t)
 
 
+SENTENCES = rf"""sn as (select item_id, unnest(string_split(replace(text, chr(10), ' '), '.')) as name, generate_subscripts(string_split(replace(text, chr(10), ' '), '.'), 1) - 1 as i from benchmark),
+    n as (select item_id * 10000 + i as name_id, {NORM.format('name')} as f from sn),"""
+
+
+@query("joi7_sentences_in_texts", "with " + SENTENCES + MENTIONS[MENTIONS.index("    h as"):] + " select text_id, cast(place as bigint) as place, name_id, f as name_form from r")
+def sentences_in_texts(t):
+    """All sentences of all benchmark passages as names, looked for in whole documents: the name table grows with the passages."""
+    pieces = F.posexplode(F.split(F.translate("text", "\n", " "), r"\.")).alias("i", "name")
+    names = t.benchmark.select("item_id", pieces).select((F.col("item_id") * 10000 + F.col("i")).alias("name_id"), "name")
+    return mentions.mentioned_names(t.documents.select(F.col("doc_id").alias("text_id"), "text"), names)
+
+
 @query("joi8_name_lookup", r"""
     with t as (select c_custkey as target_id, lower(trim(replace(case when c_custkey % 3 = 0 then left(c_name, 17) when c_custkey % 3 = 1 then c_name else c_name || ' of town' end, 'Customer', 'Supplier'))) as f from customer),
     n as (select s_suppkey as name_id, lower(s_name) as n from supplier),

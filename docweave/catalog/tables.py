@@ -65,6 +65,26 @@ def json_detail(t):
                        F.date_format("last_updated", "yyyy-MM-dd").alias("day"))
 
 
+@query("src6_source_reasons", """
+    with l as (select 'api' as source, cast(0 as bigint) as place, cast(0 as bigint) as rows, 'api failed: timeout' as reason
+      union all select 'search', 1, count(*), case when count(*) = 0 then 'search returned no orders' end from orders where o_orderpriority = 'none'
+      union all select 'site', 2, count(*), case when count(*) = 0 then 'site has none' end from orders where o_orderstatus = 'P'
+      union all select 'archive', 3, count(*), null from orders)
+    select * from l where place <= (select min(place) from l where rows > 0)""")
+def source_reasons(t):
+    """Why a source was passed over: one failed, one is empty, the third is used, the fourth not asked."""
+    return sync.source_reasons({
+        "api": (t.orders, "api returned no orders", "timeout"), "search": (t.orders.filter("o_orderpriority = 'none'"), "search returned no orders", None),
+        "site": (t.orders.filter("o_orderstatus = 'P'"), "site has none", None), "archive": (t.orders, "archive has none", None)})
+
+
+@query("src6_first_source", "select o_orderkey, o_orderstatus, cast(0 as bigint) as source_place from orders where o_totalprice > 1000")
+def first_source(t):
+    """The first source has rows: the second is not used."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus")
+    return sync.first_source_with_rows([t.orders.filter("o_totalprice > 1000").select("o_orderkey", "o_orderstatus"), rows])
+
+
 RECORD_JSON = """concat('{"data":{"en":{"basicDetails":{"schemeName":"', case when p_size % 5 = 0 then '' else p_name end, '","nodalMinistryName":"', case when p_size % 2 = 0 then concat('Ministry ', p_brand) else '' end,
     '","nodalDepartmentName":"', p_brand, '","state":"State  of ', p_size, '","level":"Central","schemeCategory":[{"label":"', p_type, '"},"x",""],"tags":["', p_brand, ' box"," b  c ",""]',
     case when p_size % 3 = 0 then ',"updatedAt":"2024-02-03"' else '' end, '},"schemeContent":{"briefDescription":', case when p_size % 4 = 0 then '[]' else concat('["**Made** of ', p_name, '",{"a":"x","b":["<p>y</p>",""]}]') end,

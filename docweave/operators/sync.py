@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docweave.functions import text as tx
 from docweave.operators.ordering import lookup_join
@@ -137,6 +137,22 @@ def first_source_with_rows(lists: list[DataFrame]) -> DataFrame:
     return both.filter(F.col("source_place") == first)
 
 
+def source_reasons(sources: dict[str, tuple[DataFrame, str, str | None]]) -> DataFrame:
+    """source, place, rows and reason of every source that was tried before and with the first that has rows.
+
+    ``sources`` maps a name to its rows, the reason to give when it has none, and the error it failed with, if any (its
+    rows do not count then). The used source has no reason; the ones behind it are not listed.
+    """
+    counts = None
+    for place, (name, (rows, empty, error)) in enumerate(sources.items()):
+        n = F.lit(0).cast("long") if error else F.count(F.lit(1))
+        one = rows.agg(n.alias("rows")).select(F.lit(name).alias("source"), F.lit(place).cast("long").alias("place"), "rows", F.lit(f"{name} failed: {error}" if error else empty).alias("_why"))
+        counts = one if counts is None else counts.unionByName(one)
+    used = F.min(F.when(F.col("rows") > 0, F.col("place"))).over(W.partitionBy())
+    tried = counts.withColumn("_used", used).filter(F.col("_used").isNull() | (F.col("place") <= F.col("_used")))
+    return tried.select("source", "place", "rows", F.when(F.col("rows") == 0, F.col("_why")).alias("reason"))
+
+
 def prefer_named(first: DataFrame, second: DataFrame, key: str, name: str) -> DataFrame:
     """Per key the first record when it has a name, else the second; keys of either side."""
     fields = [c for c in first.columns if c != key]
