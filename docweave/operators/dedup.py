@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweave.functions import text as tx
 from docweave.operators.ordering import lookup_join
+from docweave.streaming.files import stored
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
@@ -25,8 +26,11 @@ def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
 
 
 def duplicate_pairs(df: DataFrame, key: Column, id_col: str) -> DataFrame:
-    """(copy, original) rows: every member of a group but its first."""
-    keyed = df.select(key.alias("group_key"), F.col(id_col))
+    """(copy, original) rows: every member of a group but its first.
+
+    Keys and ids are written once, so the texts behind the keys are read and hashed once.
+    """
+    keyed = stored(df.select(key.alias("group_key"), F.col(id_col)), "keys")
     groups = duplicate_groups(keyed, F.col("group_key"), id_col)
     return lookup_join(keyed, groups, ["group_key"]).filter(F.col(id_col) != F.col("first_id")).select(
         F.col(id_col).alias("copy_id"), F.col("first_id").alias("original_id"), "group_key"
