@@ -12,6 +12,7 @@ from docweave.catalog.messages import EDGE, TOPIC_TEXT, _sql_found, _sql_intent
 from docweave.catalog.registry import query
 from docweave.functions import eligibility as el, rules, text as tx
 from docweave.operators import turns as dialogue, verdicts
+from docweave.streaming.files import stored
 
 PHRASES = [
     "Am I eligible for any scheme?", "Am I eligible for a crop loan?", "I am 34 years old", "61", "Kerala", "I live in orissa", "2 lakh", "general", "a lady",
@@ -184,7 +185,7 @@ def _home():
 
 def answers(t, turns, keys):
     """Answered turns with what was found and shown, the confidence, and the state to note when it has no schemes of its own."""
-    asked = turns.filter(F.startswith("action", F.lit("answer_")))
+    asked = stored(turns.filter(F.startswith("action", F.lit("answer_"))), "answered")  # used twice
     by_topic = F.col("topic").isNotNull()
     about = F.coalesce("topic", rules.topic_of_reply(F.coalesce("query", F.lit(""))), F.lit("any"))
     scope = F.coalesce("state", F.lit(""))
