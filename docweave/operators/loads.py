@@ -54,7 +54,9 @@ def load_documents(table: Snapshots, incoming: DataFrame, order: str, valid: Col
     ``incoming`` has source_file, the record's columns and ``order``, by which the first valid row of a file is taken.
     Loading the same rows again skips all of them.
     """
-    judged = stored(load_new(table.read().select("source_file"), incoming, "source_file", order, valid), "staged")
+    judged = load_new(table.read().select("source_file"), incoming, "source_file", order, valid)
+    kept = F.col("outcome") == "inserted"  # of the other rows only the outcome counts
+    judged = stored(judged.select(*[F.when(kept, F.col(c)).alias(c) for c in incoming.columns], "outcome"), "staged")
     fresh = cleaned(judged.filter("outcome = 'inserted'").drop("outcome"))
     if not fresh.isEmpty():
         table.append(fresh.withColumn("embedding_status", F.lit(PENDING)), next_batch(table))
@@ -62,6 +64,10 @@ def load_documents(table: Snapshots, incoming: DataFrame, order: str, valid: Col
     return counts
 
 
+def _count(rows: DataFrame, name: str) -> DataFrame:
+    return rows.agg(F.count(F.lit(1)).alias(name))
+
+
 def embed_documents(documents: Snapshots, chunks: Snapshots, build: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Embed the chunks of pending documents that are not stored yet, then mark the documents done whose chunks all are;
     one row with embedded, skipped (chunks stored before) and done (documents).
@@ -71,14 +77,15 @@ def embed_documents(documents: Snapshots, chunks: Snapshots, build: Callable[[Da
     """
     pending = documents.read().filter(F.col("embedding_status") == PENDING)
     built = stored(build(pending), "built")
-    new = stored(built.join(chunks.read().select("chunk_id"), "chunk_id", "left_anti"), "new_chunks")
+    new = built.join(chunks.read().select("chunk_id"), "chunk_id", "left_anti")
+    embedded = stored(_count(new, "embedded"), "embedded")  # counted first: a table that has grown is another one
     if not new.isEmpty():
         chunks.append(embed(new), next_batch(chunks))
     missing = built.join(chunks.read().select("chunk_id"), "chunk_id", "left_anti").select("source_file")
-    done = stored(pending.join(missing, "source_file", "left_anti").drop("batch").withColumn("embedding_status", F.lit(DONE)), "done")
+    done = pending.join(missing, "source_file", "left_anti").drop("batch").withColumn("embedding_status", F.lit(DONE))
+    marked = stored(_count(done, "done"), "marked")
     if not done.isEmpty():
         documents.append(done, next_batch(documents))
-    counts = [built.agg(F.count(F.lit(1)).alias("built")), new.agg(F.count(F.lit(1)).alias("embedded")), done.agg(F.count(F.lit(1)).alias("done"))]
-    every, embedded, marked = (c.scalar() for c in counts)
+    every, embedded, marked = (c.scalar() for c in (_count(built, "built"), embedded, marked))
     one = documents.spark.range(1)
     return one.select(embedded.alias("embedded"), (every - embedded).alias("skipped"), marked.alias("done"))

@@ -71,3 +71,24 @@ def test_nothing_to_load(spark, tables):
     documents, chunks = tables
     assert load(documents, records(spark, [])) == {"inserted": 0, "skipped": 0, "failed": 0, "total": 0}
     assert loads.embed_documents(documents, chunks, build, embed).first().asDict() == {"embedded": 0, "skipped": 0, "done": 0}
+
+
+def test_rows_that_are_not_loaded_are_not_written(spark, tables, monkeypatch):
+    """Only inserted records are staged; new chunks and finished documents are written by their tables alone."""
+    documents, chunks = tables
+    names, real = [], loads.stored
+
+    def spy(df, name, *partitions):
+        out = real(df, name, *partitions)
+        names.append((name, out))
+        return out
+
+    monkeypatch.setattr(loads, "stored", spy)
+    load(documents, records(spark, ROWS))
+    staged = dict(names)["staged"].collect()
+    assert len(staged) == len(ROWS)
+    assert all((r.n is None) == (r.outcome != "inserted") for r in staged)
+    assert all(r.overview is None and r.metadata is None for r in staged if r.outcome != "inserted")
+    loads.embed_documents(documents, chunks, build, embed)
+    assert "text" not in {c for n, df in names if n != "staged" and n != "built" for c in df.columns}
+    assert "overview" not in {c for n, df in names if n != "staged" for c in df.columns}
