@@ -59,7 +59,7 @@ DETAIL_JSON = """'{"data":{"en":{"basicDetails":{"schemeName":" ' || p_name || '
     select p_partkey, p_name as scheme_name, p_brand as department, '' as state, p_type || ', x' as category, 'Made of ' || p_name as description,
       'one|two' as benefits, '' as eligibility, 'go|pay|end' as steps, '2024-02-03' as day from part""")
 def json_detail(t):
-    rows = t.part.select("p_partkey", listing.json_detail(F.expr(DETAIL_JSON)).alias("d")).select("p_partkey", "d.*")
+    rows = t.spread("part").select("p_partkey", listing.json_detail(F.expr(DETAIL_JSON)).alias("d")).select("p_partkey", "d.*")
     return rows.select("p_partkey", "scheme_name", "department", "state", "category", "description", F.array_join("benefits", "|").alias("benefits"),
                        F.array_join("eligibility", "|").alias("eligibility"), F.array_join("steps", "|").alias("steps"),
                        F.date_format("last_updated", "yyyy-MM-dd").alias("day"))
@@ -106,7 +106,7 @@ def _details(rows, *keys):
 def detail_record(t):
     """Every field of the detail record, with list-valued members and what the listing says for those without a name or date."""
     listed = F.concat(F.lit("Listed "), F.col("p_partkey"))
-    rows = t.part.select("p_partkey", listing.json_detail(F.expr(RECORD_JSON), listed, F.lit("2023-01-02").cast("timestamp")).alias("d"))
+    rows = t.spread("part").select("p_partkey", listing.json_detail(F.expr(RECORD_JSON), listed, F.lit("2023-01-02").cast("timestamp")).alias("d"))
     return _details(rows, "p_partkey")
 
 
