@@ -223,10 +223,11 @@ def fix_typos(texts: DataFrame, vocabulary: list[str], keep: list[str], states:
     spark = texts.sparkSession
     latin = ~tx.non_latin(F.col("text")) & (F.col("text") != "")
     spaced = F.col("text")
-    for state in states or fixed.STATES:
-        if " " in state:
-            pattern = tx.nocase(r"\b" + r"[\s-]?".join(tx.literal(w) for w in state.lower().split()) + r"\b")
-            spaced = F.regexp_replace(spaced, pattern, state)
+    joint = {s: r"\b" + r"[\s-]?".join(tx.literal(w) for w in s.lower().split()) + r"\b" for s in states or fixed.STATES if " " in s}
+    for state, pattern in joint.items():
+        spaced = F.regexp_replace(spaced, tx.nocase(pattern), state)
+    if joint:  # most texts name none of them: one pass instead of one for each
+        spaced = F.when(F.rlike("text", F.lit(tx.any_of(list(joint.values())))), spaced).otherwise(F.col("text"))
     pieces = F.regexp_extract_all(F.when(latin, spaced).otherwise(F.lit("")), F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
     cut = texts.select("text_id", "text", latin.alias("_latin"), pieces.alias("_pieces"))
     words = cut.select("text_id", F.posexplode("_pieces").alias("pos", "word")).filter(
