@@ -1,14 +1,17 @@
 """Sessions that expire: a stream in several batches, with late rows, against the batch form."""
 
 import datetime as dt
+import json
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators import turns as dialogue
 from docweave.operators.dialogue import answer_reuse
-from docweave.streaming.files import stream_table, work_folder
+from docweave.streaming.files import run_append, stream_table, work_folder
+from docweave.streaming.ordered import fold_in_event_order
 from docweave.streaming.sessions import dialogue_sessions, dialogue_stream, reuse_stream
 
 SCHEMA = "key long, ts timestamp, turn long, message string, cited array<string>, intent string, question boolean"
@@ -105,3 +108,32 @@ def test_reuse_stream_equals_the_batch(spark, tmp_path):
         spark.createDataFrame(batch, "key string, ts timestamp, turn long, grounded boolean").coalesce(1).write.mode("append").parquet(folder)
     got = reuse_stream(stream_table(spark, folder, 1), work_folder(spark, "test"), 24 * 3600)
     assert sorted((x.turn, x.reused) for x in got.filter("turn <> 999").collect()) == reuse([x for b in rows for x in b], 24 * 3600)
+
+
+def test_many_keys_share_few_states(spark, tmp_path):
+    r, big = random.Random(4), 2 ** 60
+    at = lambda: BASE + dt.timedelta(hours=r.randrange(48), microseconds=r.randrange(5))
+    rows = [(r.choice([*map(str, range(300)), None, ""]), at(), big + n, r.choice([n, None])) for n in range(1500)]
+    odd = [("5", None, 1, 1), (None, None, None, None), ("one", BASE, None, big + 1), ("one", BASE, big, None), ("one", BASE, 7, 2)]
+    folder = str(tmp_path / "rows")
+    for batch in [rows[:700] + odd, rows[700:], [("open", BASE + dt.timedelta(hours=100), 0, 0)]]:
+        spark.createDataFrame(batch, "key string, ts timestamp, turn long, said long").coalesce(1).write.mode("append").parquet(folder)
+
+    def fold(state, row):  # the turn before
+        return [row["at"], row["turn"]], (row["turn"], state[1], row["said"])
+
+    work = work_folder(spark, "test")
+    late = "49 hours"  # nothing is late
+    told = fold_in_event_order(stream_table(spark, folder, 1), late, fold, [None, None], lambda s: None if s[0] is None else s[0] + 3_600_000_000,
+                               "turn long, before long, said long", buckets=8)
+    got = run_append(told, work).collect()
+    expected, last = [], {}
+    for key, _, n, said in sorted((x for x in rows + odd if x[1]), key=lambda x: (x[1], x[2] is not None, x[2] or 0)):
+        expected.append((key, n, last.get(key), said))
+        last[key] = n
+    order = lambda x: [(v is not None, v if v is not None else 0) for v in x[1:]] + [str(x[0])]
+    assert sorted(map(tuple, got), key=order) == sorted(expected, key=order)
+    states = [json.loads(zlib.decompress(x.keys)) for x in spark.read.format("statestore").load(f"{work}/checkpoint").select("value.groupState.keys").collect()]
+    assert [[key for key, _, _ in s] for s in states] == [["open"]]  # expired keys are gone, also from buckets still in use
+    first = spark.read.format("statestore").option("batchId", 0).load(f"{work}/checkpoint")
+    assert first.count() <= 8
