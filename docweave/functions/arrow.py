@@ -21,10 +21,15 @@ def nfkc(col: Column) -> Column:
     return F.coalesce(_nfkc(wide), col)
 
 
+def matching_ratio(left: str, right: str) -> float:
+    """Matching-block ratio 2M/T of two strings."""
+    return SequenceMatcher(None, right, left).ratio()
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-block ratio 2M/T of two strings; meant for distinct pairs."""
-    return pd.Series([SequenceMatcher(None, b, a).ratio() for a, b in zip(left, right)])
+    """``matching_ratio`` of two columns; meant for distinct pairs."""
+    return pd.Series([matching_ratio(a, b) for a, b in zip(left, right)])
 
 
 def embedder(load: Callable[[], Callable[[list[str]], list]], prefix: str = "passage: "):

@@ -166,6 +166,12 @@ def test_typos_match_difflib(spark):
     assert {r["text_id"]: r["fixed"] for r in got.collect()} == want
 
 
+def test_typos_are_repaired_in_the_row(spark):
+    df = spark.createDataFrame([(1, "the shcemes in tamilnadu")], "text_id long, text string")
+    plan = mentions.fix_typos(df, fixed.TYPO_WORDS, fixed.TYPO_KEEP)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("Join|Aggregate|Generate|Sort", plan)
+
+
 def test_packing_matches_sequential(spark):
     rng = random.Random(4)
     rows = [tuple(rng.choice("xyz") * rng.choice([0, 3, 200, 450, 900, 3000]) for _ in range(5)) for _ in range(60)]
