@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docweave import fixed
@@ -172,6 +173,35 @@ def test_typos_are_repaired_in_the_row(spark):
     assert not re.search("Join|Aggregate|Generate|Sort", plan)
 
 
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_typos_need_no_ids_and_miss_no_word_of_the_rule(spark, monkeypatch, most):
+    monkeypatch.setattr(mentions, "MAX_KNOWN_WORDS", most)
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def edited(w):
+        for _ in range(rng.randint(1, 5)):
+            i = rng.randrange(len(w) + 1)
+            w = rng.choice([w[:i] + rng.choice(letters) + w[i:], w[:i] + w[i + 1:], w[:i] + rng.choice(letters) + w[i + 1:]])
+        return rng.choice([w, w, w, w.title(), w.upper()])
+
+    texts = [" ".join(edited(rng.choice(fixed.TYPO_WORDS)) for _ in range(40)) for _ in range(100)] + ["", None, "shcemes पेंशन"]
+
+    def word(m):
+        low = m[0].lower()
+        if low in fixed.TYPO_WORDS or low in fixed.TYPO_KEEP or m[0].isupper():
+            return m[0]
+        ratios = [(difflib.SequenceMatcher(None, v, low).ratio(), v) for v in fixed.TYPO_WORDS if v[0] == low[0] and abs(len(v) - len(low)) <= 2]
+        return max((r for r in ratios if r[0] >= 0.8), default=(0, m[0]))[1]
+
+    want = [t if not t or t.endswith("पेंशन") else re.sub("[A-Za-z]{4,}", word, t) for t in texts]
+    rows = [((None, 1, 2)[i % 3], t) for i, t in enumerate(texts)]
+    got = mentions.fix_typos(spark.createDataFrame(rows, "text_id long, text string"), fixed.TYPO_WORDS, fixed.TYPO_KEEP)
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted([(i, t) for (i, _), t in zip(rows, want)], key=key)
+    assert sum(a != b for a, b in zip(texts, want)) > 50
+
+
 def test_packing_matches_sequential(spark):
     rng = random.Random(4)
     rows = [tuple(rng.choice("xyz") * rng.choice([0, 3, 200, 450, 900, 3000]) for _ in range(5)) for _ in range(60)]
